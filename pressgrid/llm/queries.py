@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, langid, minhash, mixing, packing, topk, toxicity, url_filter, warc
+from . import exact_dedup, fuzzy_lines, langid, minhash, mixing, packing, topk, toxicity, url_filter, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_minhash, op3_warc, op4_exact_dedup, op5_packing, op7_language, op8_topk, op9_mixing, op10_urls)
+    f.__name__: f for f in (op1_toxicity, op2_minhash, op3_warc, op4_exact_dedup, op5_packing, op6_lines, op7_language, op8_topk, op9_mixing, op10_urls)
 }
 
 SQL: dict[str, str] = {}
