@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import fraction_filter
 
 #: Places of the hashed feature space.
-FEATURES = 1 << 18
+FEATURES = 1 << 22
+#: A feature counts if this many of the fitted documents have it.
+LEAST_DOCS = 6
+#: After the fit, weights below this share of the largest are dropped, so that words never seen weigh nothing.
+LEAST_WEIGHT = 0.4
 #: Labelled documents of each kind that the model is fitted on at most, chosen by a hash of doc_id.
 FIT_DOCS = 3000
 #: Severity: 0 for no toxicity; a toxic document has 1, 2 or 3 by the number of telling words in it.
@@ -46,7 +50,7 @@ def grade(labelled: list[tuple[list[str], int]], least_docs: int = 4, least_shar
 class OrdinalModel:
     """P(grade > j) = sigmoid(w.x - theta_j): one weight per feature for all thresholds, which are in order."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
+    def __init__(self, weights: dict[int, float], thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
 
     def exceed(self, score: np.ndarray) -> np.ndarray:
@@ -54,7 +58,17 @@ class OrdinalModel:
 
     @staticmethod
     def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 30, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> OrdinalModel:
-        """Likelihood ascent with AdaGrad over small batches."""
+        """Likelihood ascent with AdaGrad over small batches, first over all features, then over those with a weight."""
+        docs = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=FEATURES)
+        rows = [r[docs[r] >= LEAST_DOCS] for r in rows]
+        weights, _ = OrdinalModel._ascend(rows, grades, rounds, rate, decay, seed)
+        kept = np.abs(weights) >= LEAST_WEIGHT * max(np.abs(weights).max(), 1e-9)
+        rows = [r[kept[r]] for r in rows]
+        weights, theta = OrdinalModel._ascend(rows, grades, rounds, rate, decay, seed)
+        return OrdinalModel({int(i): float(weights[i]) for i in np.flatnonzero(kept)}, theta)
+
+    @staticmethod
+    def _ascend(rows: list[np.ndarray], grades: np.ndarray, rounds: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
         levels = GRADES - 1
         weights, sums = np.zeros(FEATURES), np.full(FEATURES, 1e-6)
         theta, theta_sums = np.linspace(1.0, 3.0, levels), np.full(levels, 1e-6)
@@ -83,7 +97,7 @@ class OrdinalModel:
                     dtheta[j] = (np.sum(-dhi[g == j] / p[g == j]) + np.sum(dlo[g == j + 1] / p[g == j + 1])) / len(pick)
                 theta_sums += dtheta * dtheta
                 theta = np.sort(theta - rate * dtheta / np.sqrt(theta_sums))
-        return OrdinalModel(weights, theta)
+        return weights, theta
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -96,7 +110,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> OrdinalModel | None:
-    """Fits on at most about ``fit_docs`` toxic and as many other labelled documents; None without both kinds.
+    """Fits on at most about ``fit_docs`` toxic and twice as many other labelled documents; None without both kinds.
 
     ``labels(doc_id, toxic)``; null labels are left out, of several labels of a document the highest counts.
     """
@@ -105,7 +119,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -
     if not counts.get(1) or not counts.get(0):
         return None
     key = F.col("doc_id")
-    kept = marks.filter(F.when(F.col("toxic") == 1, fraction_filter(key, fit_docs / counts[1])).otherwise(fraction_filter(key, fit_docs / counts[0])))
+    kept = marks.filter(F.when(F.col("toxic") == 1, fraction_filter(key, fit_docs / counts[1])).otherwise(fraction_filter(key, 2 * fit_docs / counts[0])))
     # The kept labels are few by the bound above.
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(kept), "doc_id").select("toxic", "text")
     sample = [(r["words"].split(" ") if r["words"] else [], r["toxic"]) for r in rows.mapInArrow(_words, "toxic int, words string").toLocalIterator()]
@@ -127,7 +141,7 @@ def _score(model: OrdinalModel | None):
         def weight(word: str) -> float:
             found = known.get(word)
             if found is None:
-                found = float(sum(model.weights[f] for f in word_features(word)))
+                found = sum(model.weights.get(f, 0.0) for f in word_features(word))
                 if len(known) < KNOWN_WORDS:
                     known[word] = found
             return found
