@@ -38,9 +38,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document that the mix takes: none, or up to three."""
-    taken = mixing.mix(docs).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    copies = materialize(taken.groupBy("doc_id").agg(F.max("copies").alias("copies")))
-    return docs.join(sided(copies), "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = mixing.mix(docs).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    copies = materialize(taken.groupBy("doc_id").agg(F.sequence(F.lit(1), F.max("times")).alias("times")))
+    many = docs.alias("d").join(sided(copies).alias("c"), "doc_id")
+    return many.select("doc_id", *[F.col(f"d.{k}") for k in docs.columns if k != "doc_id"], F.explode("c.times").alias("turn of the copy")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
