@@ -64,11 +64,14 @@ def decode_f32(blob: pd.Series) -> pd.Series:
     return blob.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+def _decode_pairs(blob: pd.Series) -> pd.Series:
+    return blob.map(lambda b: None if b is None or len(b) % 8 else list(np.frombuffer(b, "<f4").reshape(-1, 2)))
+
+
 def decode_mesh(blob: Column) -> Column:
     """A blob of x, y pairs as points; an odd number of floats gives null."""
-    flat = decode_f32(blob)
-    return F.when(F.size(flat) % 2 == 0, F.transform(
-        F.filter(flat, lambda x, i: i % 2 == 0), lambda x, i: F.struct(x.alias("x"), flat[i * 2 + 1].alias("y"))))
+    return F.transform(_decode_pairs(blob), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
 
 @F.pandas_udf(T.BinaryType())

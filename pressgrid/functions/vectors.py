@@ -41,16 +41,18 @@ def _dct_rows(n: int, keep: int) -> np.ndarray:
     return np.cos(np.pi * k * (2 * x + 1) / (2 * n))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def low_frequencies(gray: pd.Series) -> pd.Series:
-    """The 8x8 block of lowest frequencies of a 32x32 grey image given as 1024 numbers, row by row (V1)."""
+@F.pandas_udf(T.LongType())
+def phash(gray: pd.Series) -> pd.Series:
+    """64-bit perceptual hash of a 32x32 grey image given as 1024 numbers, row by row: its 8x8 lowest frequencies by :func:`median_bits` (V1)."""
     rows = _dct_rows(32, 8)
-    return gray.map(lambda g: None if g is None or len(g) != 1024 else (rows @ np.asarray(g, float).reshape(32, 32) @ rows.T).ravel())
 
+    def bits(g) -> int | None:
+        if g is None or len(g) != 1024:
+            return None
+        low = (rows @ np.asarray(g, float).reshape(32, 32) @ rows.T).ravel()
+        return int(np.packbits(low > np.median(low[1:]), bitorder="little").view("<i8")[0])
 
-def phash(gray: Column) -> Column:
-    """64-bit perceptual hash of a 32x32 grey image (V1)."""
-    return median_bits(low_frequencies(gray))
+    return gray.map(bits).astype("Int64")
 
 
 def simhash(words: Column) -> Column:

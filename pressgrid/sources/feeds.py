@@ -32,7 +32,9 @@ def read_entity_feed(spark: SparkSession, path: str) -> DataFrame:
 def read_article_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Articles of a feed, a bare list or an object with ``articles``; and what is rejected, with the reason."""
     raw = spark.read.text(path, wholetext=True)
-    parsed = raw.select(F.coalesce(F.from_json("value", f"array<struct<{_struct(ARTICLE)}>>"), F.from_json("value", f"struct<articles:array<struct<{_struct(ARTICLE)}>>>")["articles"]).alias("a"))
+    bare = F.from_json("value", f"array<struct<{_struct(ARTICLE)}>>")
+    inside = F.from_json("value", f"struct<articles:array<struct<{_struct(ARTICLE)}>>>")["articles"]
+    parsed = raw.select(F.when(F.ltrim("value").startswith("["), bare).otherwise(inside).alias("a"))
     rows = parsed.select(F.explode("a").alias("a")).select("a.*")
     persons = F.filter(F.transform(F.coalesce("entities.PERSON", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.select(F.col("URL").alias("url"), "title", "published", F.coalesce("images", F.array()).alias("images"), persons.alias("persons"))
