@@ -53,18 +53,3 @@ def phash(gray: pd.Series) -> pd.Series:
         return int(np.packbits(low > np.median(low[1:]), bitorder="little").view("<i8")[0])
 
     return gray.map(bits).astype("Int64")
-
-
-def simhash(words: Column) -> Column:
-    """64-bit SimHash of a list of tokens: bit i is set where more token hashes have it than not."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    half = F.size(words) / 2
-
-    def bit(i: int) -> Column:
-        ones = F.size(F.filter(hashes, lambda h: F.getbit(h, F.lit(i)) == 1))
-        return F.when(ones > half, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0).cast("bigint"))
-
-    total = bit(0)
-    for i in range(1, 64):
-        total = total.bitwiseOR(bit(i))
-    return total

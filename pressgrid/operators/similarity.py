@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.names import tokens
 from ..functions.rules import FLAG, flag_hypothesis
 from ..functions.vectors import cosine_distance
 from ..tables import snapshot
@@ -16,6 +17,17 @@ from ..tables import snapshot
 BLOCK_ROWS = 2048
 
 
+def simhashes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, hash64``: the 64-bit SimHash of a text's tokens; texts without a token have no row.
+
+    Bit i is set where more token hashes have it than not: 64 sums over the exploded tokens.
+    """
+    hashes = df.select(*keys, F.explode(tokens(F.col(text))).alias("token")).select(*keys, F.xxhash64("token").alias("h"))
+    counts = hashes.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.getbit("h", F.lit(i)).cast("bigint")).alias(f"b{i}") for i in range(64)])
+    bits = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("bigint") for i in range(64)]
+    return counts.select(*keys, sum(bits[1:], bits[0]).alias("hash64"))
+
+
 def _bands(bits: Column, pieces: int) -> Column:
     """``pieces`` slices of the 64 bits, as even as can be."""
     edges = [64 * i // pieces for i in range(pieces + 1)]

@@ -827,7 +827,8 @@ def v2_mark_duplicates_large(c, read):
 
 @query()
 def v3_dedup_documents(c, read):
-    docs = read("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("entity_id"), F.col("doc_id").alias("scraped_at"), V.simhash(F.slice(N.tokens(F.col("text")), 1, 1_000_000)).alias("hash64"))
+    docs = read("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("entity_id"), F.col("doc_id").alias("scraped_at"), "text")
+    docs = S.simhashes(docs, ["id", "entity_id", "scraped_at"], "text")
     return S.mark_duplicates_large(docs, 5)
 
 
