@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize, sided
 from .graph import connected_components
@@ -17,6 +17,8 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FINISHER = np.uint64(0xD6E8FEB86659FD93)
 #: Width of the blocks of shingles for which all coordinates are made at once.
 BLOCK = 1024
+#: Coordinates whose lowest bits are kept to rule out pairs that only share a band.
+BITS = 256
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
@@ -68,22 +70,29 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def lowest_bits(signature: np.ndarray) -> np.ndarray:
+    """The lowest bit of every coordinate, 64 to a number: sets of similarity s agree on a share (1 + s) / 2 of them."""
+    return np.packbits((signature & np.uint32(1)).astype(np.uint8)).view(np.int64)
+
+
 def _sketch(size: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_print", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_print", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, prints, keys = [], [], []
+            counts, prints, keys, bits = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 found = shingle_set(text, size)
                 counts.append(len(found))
                 if len(found):
                     prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                    keys.append(band_keys(circulant_signature(found, bands * rows), bands, rows))
+                    signature = circulant_signature(found, max(bands * rows, BITS))
+                    keys.append(band_keys(signature[:bands * rows], bands, rows))
+                    bits.append(lowest_bits(signature[:BITS]))
                 else:
-                    prints.append(None)
-                    keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip((counts, prints, keys), list(schema)[1:]))], schema=schema)
+                    for out in (prints, keys, bits):
+                        out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip((counts, prints, keys, bits), list(schema)[1:]))], schema=schema)
 
     return run
 
@@ -99,8 +108,22 @@ def _sets(size: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full shingle sets reach the similarity, as ``src, dst``."""
+#: Numbers of 64 bits in the bitmap of what a document has or lacks against its leader.
+MAP_WORDS = 4
+
+
+def _bitmap(array: str, name: str) -> list[Column]:
+    """The hashes of an array, each as one of 64 * MAP_WORDS bits."""
+    return [
+        F.expr(f"aggregate({array}, 0L, (s, x) -> if(((x >> 6) & {MAP_WORDS - 1}) = {i}, s | shiftleft(1L, cast(x & 63 as int)), s))").alias(f"{name}{i}")
+        for i in range(MAP_WORDS)]
+
+
+def _measured(pairs: DataFrame, docs: DataFrame, size: int, maps: bool = False) -> DataFrame:
+    """``pairs(a, b)`` with what their full shingle sets share: ``a, b, shared, total``, total the sum of the set sizes.
+
+    ``maps`` adds bitmaps of what b lacks of a, and of what b has besides.
+    """
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.join(sided(ids), "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_sets(size), "id bigint, shingles array<bigint>"))
@@ -108,53 +131,97 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
     met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     shared = F.size(F.array_intersect("left", "right"))
-    return (
-        met.select(F.col("a").alias("src"), F.col("b").alias("dst"), shared.alias("shared"), (F.size("left") + F.size("right")).alias("total"))
-        .filter(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent)
-        .select("src", "dst").distinct()
-    )
+    counts = [shared.alias("shared"), (F.size("left") + F.size("right")).alias("total")]
+    if not maps:
+        return materialize(met.select("a", "b", *counts))
+    apart = met.select("a", "b", *counts, F.array_except("left", "right").alias("lost"), F.array_except("right", "left").alias("more"))
+    return materialize(apart.select("a", "b", "shared", "total", *_bitmap("lost", "lost"), *_bitmap("more", "more")))
+
+
+def _links(measured: DataFrame, percent: int) -> DataFrame:
+    near = measured.filter(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent)
+    return near.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def bits_apart(percent: int, deviations: float = 5.0) -> int:
+    """Bits of ``BITS`` by which sets of at least this similarity differ at most, but for a chance of 3e-7."""
+    p = (1 - percent / 100) / 2
+    return int(BITS * p + deviations * (BITS * p * (1 - p)) ** 0.5)
+
+
+def _may_link(percent: int) -> Column:
+    """Whether two members of a bucket can be linked, by their lowest bits and by what each shares with the leader.
+
+    Both lack what either lacks of the leader's set, and share besides it at most what each has besides; bitmaps bound
+    how much of that is not common.  No pair that reaches the similarity is ruled out by the counts.
+    """
+    def only(name: str, left: str, right: str) -> Column:
+        return sum((F.bit_count(F.col(f"{left}{name}{i}").bitwiseAND(F.bitwise_not(F.col(f"{right}{name}{i}")))) for i in range(MAP_WORDS)), F.lit(0))
+
+    size, own, own_more, more = F.col("inside") + F.col("lack"), F.col("my_lack"), F.col("my_n") - F.col("my_inside"), F.col("n") - F.col("inside")
+    lacking = F.greatest(own + only("lost", "", "my_"), F.col("lack") + only("lost", "my_", ""))
+    common = size - lacking + F.least(own_more - only("more", "my_", ""), more - only("more", "", "my_"))
+    differ = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"my_bits{i}"))) for i in range(BITS // 64)), F.lit(0))
+    return (differ <= bits_apart(percent)) & (common * 100 >= (F.col("n") + F.col("my_n") - common) * percent)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """Near-duplicate classes of ``docs(doc_id, text)``, with other columns ignored.
 
     Documents with the same shingle set are one node.  A signature of ``bands * rows`` coordinates comes from two
-    permutations, the second turned by one place per coordinate.  In each band's bucket every member is first
-    compared with the bucket's smallest id; then members of one bucket that are still in different components are
-    compared with each other, so the star loses no link.  A link holds if 100 * shared >= percent * union on full
-    sets.  At a similarity of 0.8 the default bands miss a pair with a chance of 5e-8.
+    permutations, the second turned by one place per coordinate.  In each band's bucket every member is compared with
+    the leader, the member whose buckets hold most documents: of many copies with edits, the least edited.
+    A link holds if 100 * shared >= percent * union on full sets.  Members outside the leader's component are then
+    compared with members of other components, unless a bound rules a link out (see :func:`_may_link`): what
+    each has and lacks against the leader, or the lowest bits of 256 coordinates, which differ so much for a linked pair
+    with a chance of 3e-7.  So a large group of copies, or of documents with a passage in common, costs about a
+    comparison each, not one for each two.  At a similarity of 0.8 the default bands miss a pair with a chance of 5e-8.
 
     Returns per row ``doc_id, n_shingles, component_id, kept``: component_id is the smallest doc_id reachable.
-    Null or blank text: set size 0, linked with nothing.  A null doc_id has no component and stays.  A repeated
-    doc_id counts as one document with several texts, linked where any of them is.  An empty table gives no rows.
+    Null or blank text: set size 0, linked with nothing.  A null doc_id has no component and stays.  Rows that
+    repeat a doc_id are one document; of several texts under one id, any may decide its links.  An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = materialize(texts.mapInArrow(_sketch(shingle_words, bands, rows), "doc_id bigint, n_shingles bigint, set_print binary, bands array<bigint>"))
+    marks = materialize(texts.mapInArrow(_sketch(shingle_words, bands, rows), "doc_id bigint, n_shingles bigint, set_print binary, bands array<bigint>, bits array<bigint>"))
     named = marks.filter("set_print is not null and doc_id is not null")
-    reps = materialize(named.groupBy("set_print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    reps = materialize(named.groupBy("set_print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
     spread = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last")
-    members = materialize(spread.join(shared.select("bucket", "leader").hint("merge"), "bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1")
+    held = materialize(spread.join(shared.hint("merge"), "bucket"))
+    weight = held.groupBy("id").agg(F.sum("held").alias("weight"))
+    weighed = held.drop("held").join(weight.hint("merge"), "id")
+    first = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("turned"))).alias("first"))
+    members = materialize(weighed.drop("weight").join(first.select("bucket", (-F.col("first.turned")).alias("leader")).hint("merge"), "bucket"))
 
     stars = materialize(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    links = materialize(_verified(stars, texts, shingle_words, percent))
+    measured = _measured(stars, texts, shingle_words, maps=True)
+    links = materialize(_links(measured, percent))
     comps = connected_components(links)
 
-    placed = members.join(comps.hint("merge"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("part"))
-    placed = materialize(placed)
+    words = [f"{k}{i}" for k in ("lost", "more") for i in range(MAP_WORDS)]
+    against = measured.groupBy(F.col("a").alias("leader"), F.col("b").alias("id")).agg(F.max("shared").alias("inside"), F.first("total").alias("total"), *[F.first(w).alias(w) for w in words])
+    part = comps.select("id", F.col("component").alias("part"))
+    home = comps.select(F.col("id").alias("leader"), F.col("component").alias("home"))
+    placed = materialize(
+        members.join(part.hint("merge"), "id", "left").join(home.hint("merge"), "leader", "left")
+        .select("bucket", "leader", "id", "n", F.coalesce("part", "id").alias("part"), F.coalesce("home", "leader").alias("home")))
     mixed = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("bucket")
-    open_rows = materialize(placed.join(mixed.hint("merge"), "bucket", "left_semi"))
-    other = open_rows.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
+    bits = reps.select("id", *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64)])
+    words += bits.columns[1:]
+    placed = materialize(
+        placed.filter("id <> leader").join(mixed.hint("merge"), "bucket", "left_semi").join(against.hint("merge"), ["leader", "id"]).join(bits.hint("merge"), "id")
+        .select("bucket", "id", "n", "part", "home", "inside", (F.col("total") - F.col("n") - F.col("inside")).alias("lack"), *words))
+    # Of each two members of different components, one at least is outside the leader's.
+    mine = ["id", "n", "part", "inside", "lack", *words]
+    strays = placed.filter("part <> home").select("bucket", *[F.col(k).alias(f"my_{k}") for k in mine])
     rest = (
-        open_rows.withColumnRenamed("id", "a").hint("merge").join(other, "bucket")
-        .filter("part <> other and a < b")
-        .filter(f"least(n, m) * 100 >= greatest(n, m) * {percent}")
-        .select("a", "b").distinct()
-        .join(stars.hint("merge"), ["a", "b"], "left_anti")
+        strays.hint("merge").join(placed, "bucket")
+        .filter("my_part <> part").filter(_may_link(percent))
+        .select(F.least("my_id", "id").alias("a"), F.greatest("my_id", "id").alias("b")).distinct()
     )
     rest = materialize(rest)
     if rest.limit(1).count():
-        more = materialize(_verified(rest, texts, shingle_words, percent))
+        more = materialize(_links(_measured(rest, texts, shingle_words), percent))
         if more.limit(1).count():
             comps = connected_components(links.unionByName(more))
 
