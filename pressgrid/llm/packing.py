@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +20,9 @@ from .common import materialize, sided
 SEQUENCE = 2048
 END_ID = 0
 #: Entries that a task's table of known words holds at most; words beyond are encoded each time.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 #: Steps of the least-squares fit.
-FIT_STEPS = 3000
+FIT_STEPS = 1500
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint"
 
@@ -30,47 +34,100 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word: the tokenizer never merges across white space, so equal words give equal ids."""
+    """Ids of whole texts, word by word: the tokenizer never merges across white space, so equal words give equal ids.
+
+    A word of Latin letters with punctuation at its end is two parts for the tokenizer, which are encoded apart: many
+    words share few endings, and letters can be encoded many words at a time, since each word's last id says so.
+    """
+
+    PARTS = re.compile(r"(?m)^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017f]+)([!-/:-@\[-`{-~]*)$")
 
     def __init__(self, path: str, known: int = KNOWN_WORDS):
+        # Executors run a worker for each core already, and every further thread keeps memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), known, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), known
+        self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {"": b""}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+
+    def _plain(self, texts: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return {x: np.array(f.ids, "<u4").tobytes() for x, f in zip(texts, found)}
+
+    def _letters(self, words: list[str], together: int = 512) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        groups = [words[a:a + together] for a in range(0, len(words), together)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            cuts = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(cuts) != len(group):
+                out |= self._plain(group)
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(group, cuts.tolist()):
+                out[word] = raw[start:end]
+                start = end
+        return out
+
+    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
+        parts = self.PARTS.findall("\n".join(words))
+        letters, ends = self.letters, self.ends
+        letters |= self._letters(list({x.lower() for x, _ in parts}.difference(letters)))
+        ends |= self._plain(list({x for _, x in parts}.difference(ends)))
+        out = {x + end: letters[x.lower()] + ends[end] for x, end in parts}
+        return out | self._plain(list(words.difference(out)))
+
+    def _forget(self) -> None:
+        """Tables keep what came first; frequent words do."""
+        for name in ("known", "letters", "ends"):
+            if len(table := getattr(self, name)) > self.limit:
+                setattr(self, name, dict(islice(table.items(), self.limit)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit numbers."""
-        words = [x.split() if x.isascii() and not set("\x1c\x1d\x1e\x1f") & set(x) else _ascii_split(x) for x in (t or "" for t in texts)]
-        known, fresh = self.known, {}
-        for own in words:
-            fresh.update(dict.fromkeys([w for w in own if w not in known]))
-        names = list(fresh)
-        for a in range(0, len(names), 4096):
-            for word, found in zip(names[a:a + 4096], self.tokenizer.encode_batch_fast(names[a:a + 4096], add_special_tokens=False)):
-                fresh[word] = np.array(found.ids, "<u4").tobytes()
-        for word in names[:max(0, self.limit - len(known))]:
-            known[word] = fresh.pop(word)
-        if fresh:
-            look = lambda w: known.get(w) or fresh.get(w, b"")
-            return [b"".join(map(look, own)) for own in words]
-        return [b"".join(map(known.__getitem__, own)) for own in words]
-
-
-def _ascii_split(text: str) -> list[str]:
-    return [x.decode("utf-8", "surrogatepass") for x in text.encode("utf-8", "surrogatepass").split()]
+        words = [_words(x or "") for x in texts]
+        self.known |= self._encode_words(set(chain.from_iterable(words)).difference(self.known))
+        ids = self.known.__getitem__
+        out = [b"".join(map(ids, own)) for own in words]
+        self._forget()
+        return out
+
+
+#: What str.split() splits at and the contract's white space doesn't.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ASCII_SPACE = re.compile("[ \t-\r]+")
+
+
+def _words(text: str) -> list[str]:
+    """Split at white space of ASCII alone."""
+    if OTHER_SPACE.search(text):
+        return [w for w in ASCII_SPACE.split(text) if w]
+    return text.split()
+
+
+@lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker: later tasks find its tables filled."""
+    return WordEncoder(path)
 
 
 def _pieces(path: str, sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, task, seen = WordEncoder(path), TaskContext.get().partitionId(), defaultdict(int)
+        task, seen = TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([END_ID], "<u4").tobytes()
         names = [x.split(" ")[0] for x in PIECE.split(", ")]
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
         for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                batch, rows = whole.slice(a, 256), []
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+            for a in range(0, whole.num_rows, 512):
+                batch, rows = whole.slice(a, 512), []
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1).to_pylist())):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * sequence)):
                         part = ids[at:at + 4 * sequence]
