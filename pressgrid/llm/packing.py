@@ -20,7 +20,7 @@ from .common import materialize, sided
 SEQUENCE = 2048
 END_ID = 0
 #: Entries that a task's table of known words holds at most; words beyond are encoded each time.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 120_000
 #: Steps of the least-squares fit.
 FIT_STEPS = 1500
 
