@@ -27,16 +27,29 @@ def scratch(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='pressgrid-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/pressgrid/{uuid.uuid4().hex}"
 
 
+#: Spark's setting to drop the shuffle files of a query that has ended.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends here, its size is known."""
+    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends here, its size is known.
+
+    What the write shuffled isn't read again, so Spark may drop those files as soon as the table stands.
+    """
     spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
+    path, before = scratch(spark), spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,15 +9,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialize, sided
 from .graph import connected_components
 
-#: Lines with this many words or more are signed by the shingles that begin a word, about one in six.
-LEAST_STARTS = 48
-HASH_BITS = (1 << 31) - 1
+#: White space at a line's ends besides blanks.
+OTHER_BLANKS = "\t\x0b\x0c\r"
+#: Coordinates come in three groups of ``TURNS``; a band takes one of each group.
+GROUPS, TURNS = 3, 5
+#: Shingles that a row of the signature scan holds.
+BLOCK = 8
+#: Numbers of 64 bits in the bitmap of what a line has or lacks against its leader.
+MAP_WORDS = 4
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, line`` of ``docs(doc_id, text)``: lines without white space at their ends; blank ones are left out."""
     cut = docs.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    return cut.select("doc_id", "line_no", F.btrim("line", F.lit(" \t\x0b\x0c\r")).alias("line")).filter("line <> ''")
+    cut = cut.withColumn("line", F.trim("line"))
+    # Trimming a set of characters looks at every character of a line, so only lines that need it pay for it.
+    ends = [test("line", F.lit(c)) for c in OTHER_BLANKS for test in (F.startswith, F.endswith)]
+    odd = ends[0]
+    for test in ends[1:]:
+        odd = odd | test
+    line = F.when(odd, F.btrim("line", F.lit(" " + OTHER_BLANKS))).otherwise(F.col("line"))
+    return cut.select("doc_id", "line_no", line.alias("line")).filter("line <> ''")
 
 
 def _keyed(lines: DataFrame) -> DataFrame:
@@ -26,66 +38,163 @@ def _keyed(lines: DataFrame) -> DataFrame:
 
 
 def _points(line: Column) -> Column:
-    """Four bytes for each character, so that a shingle is cut out in constant time."""
-    return F.encode(line, "UTF-32")
+    """Two bytes for each character (four for those beyond the basic plane), so that a shingle is cut out in constant time."""
+    return F.encode(line, "UTF-16BE")
 
 
-def _shingle(points: Column, place: Column, width: int) -> Column:
-    return F.xxhash64(F.substring(points, place * 4 + 1, F.lit(4 * width)))
+def _last(points: Column, width: int) -> Column:
+    """Where the last shingle begins in the points, counted in bytes from 1."""
+    return (F.greatest(F.octet_length(points) - 2 * width, F.lit(0)) + 1).cast("int")
 
 
 def _shingle_set(line: Column, width: int) -> Column:
     """Different shingles of a line; the list of one binds the points, which would else be made anew for each shingle."""
-    last = F.greatest(F.char_length(line) - width, F.lit(0)).cast("int")
-    return F.transform(F.array(_points(line)), lambda p: F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(p, i, width))))[0]
+    return F.transform(
+        F.array(_points(line)),
+        lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), _last(p, width), F.lit(2)), lambda i: F.xxhash64(F.substring(p, i, F.lit(2 * width))))))[0]
 
 
-def _signatures(docs: DataFrame, width: int, coordinates: int, seed: int) -> DataFrame:
-    """``k1, k2, level, m0, m1, ...``: a signature for each different line, at one level or two.
+def bands(count: int) -> list[tuple[int, ...]]:
+    """Which coordinate of each group a band takes: no two bands share more than one, so few coordinates serve many bands."""
+    return [tuple((k + g * (k // TURNS)) % TURNS for g in range(GROUPS)) for k in range(count)]
 
-    Level 0 takes all shingles, level 1 those that begin a word.  Lines near the limit have both, so that similar
-    lines share a level.
+
+def _signatures(docs: DataFrame, width: int, count: int, seed: int) -> DataFrame:
+    """``k1, keys``: for each different line the keys of its ``count`` buckets, from a signature over all its shingles.
+
+    A shingle's hash is cut into three numbers of 32 bits, one for each group of coordinates.  A coordinate is the
+    minimum after XOR with its constant, a permutation of these numbers; constants of a group begin with
+    different bits, so that few shingles decide two coordinates.  A row of the scan holds several shingles (the
+    last one is repeated at a line's end, which changes no minimum): they share the look-up of their line.
     """
-    n = (F.greatest(F.char_length("line") - width, F.lit(0)) + 1).cast("int")
-    begun = F.regexp_extract_all("line", F.lit(rf"(?s)(?<!\S)(?=(\S.{{0,{width - 1}}}))"), F.lit(1))
-    cut = _keyed(lines_of(docs)).select("k1", "k2", "line", n.alias("n"), begun.alias("begun")).withColumn("words", F.size("begun"))
-    many, few = F.col("words") >= LEAST_STARTS, F.col("words") <= LEAST_STARTS * 13 // 10
-    own = F.when(many, F.col("words")).otherwise(0)
-    cut = cut.select("k1", "k2", "begun", own.alias("begins"), (own + F.when(few, F.col("n")).otherwise(0)).alias("turns"), F.when(few, _points(F.col("line"))).alias("points"))
-    turns = cut.select("k1", "k2", "begun", "begins", "points", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
-    begins = F.col("turn") < F.col("begins")
-    shingle = F.when(begins, F.xxhash64(F.get("begun", "turn"))).otherwise(_shingle(F.col("points"), F.col("turn") - F.col("begins"), width))
-    marks = turns.select("k1", "k2", F.when(begins, 1).otherwise(0).alias("level"), shingle.bitwiseAND(F.lit(HASH_BITS)).alias("x"))
-    rng = random.Random(seed)
-    # Odd factors below 2**31 permute the low 31 bits, and no product leaves 62 bits.
-    least = [F.min((F.col("x") * F.lit(rng.randrange(1 << 20, 1 << 31) | 1)).bitwiseAND(F.lit(HASH_BITS))).alias(f"m{j}") for j in range(coordinates)]
-    return marks.groupBy("k1", "k2", "level").agg(*least)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between the different lines that the pairs ``a, b`` of k1 values name, judged on full shingle sets."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct())
-    texts = _keyed(lines_of(docs)).join(sided(wanted), "k1", "left_semi").dropDuplicates(["k1", "k2"])
-    sets = materialize(texts.select("k1", F.concat_ws("/", F.hex("k1"), F.hex("k2")).alias("name"), _shingle_set(F.col("line"), width).alias("shingles")))
-    left = sets.select(F.col("k1").alias("a"), F.col("name").alias("src"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("k1").alias("b"), F.col("name").alias("dst"), F.col("shingles").alias("right"))
-    shared = F.size(F.array_intersect("left", "right"))
-    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(f"least(size(left), size(right)) * 100 >= greatest(size(left), size(right)) * {percent}")
-    return (
-        met.select("a", "b", "src", "dst", shared.alias("shared"), (F.size("left") + F.size("right")).alias("total"))
-        .filter(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent)
-        .select("a", "b", "src", "dst")
-    )
+    lines = _keyed(lines_of(docs)).select("k1", "k2", _points(F.col("line")).alias("points"))
+    lines = lines.select("k1", "k2", "points", _last(F.col("points"), width).alias("last"))
+    blocks = lines.select("k1", "k2", "points", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * BLOCK))).alias("at"))
+    place = [F.expr(f"if(at + {2 * j} > last, last, at + {2 * j})") for j in range(BLOCK)]
+    hashed = blocks.select("k1", "k2", *[F.xxhash64(F.substring("points", p, F.lit(2 * width))).alias(f"x{j}") for j, p in enumerate(place)])
+    words = hashed.select("k1", "k2", *[
+        F.shiftright(F.shiftleft(f"x{j}", 16 * g), 32).cast("int").alias(f"x{j}_{g}") for j in range(BLOCK) for g in range(GROUPS)])
+    rng, least = random.Random(seed), []
+    for g in range(GROUPS):
+        for turn, begin in enumerate(rng.sample(range(8), TURNS)):
+            constant = (begin << 29 | rng.getrandbits(29)) - (1 << 31)
+            least.append(F.min(F.least(*[F.col(f"x{j}_{g}").bitwiseXOR(F.lit(constant)) for j in range(BLOCK)])).alias(f"m{g}_{turn}"))
+    keys = [F.xxhash64(F.lit(b), *[f"m{g}_{turn}" for g, turn in enumerate(band)]) for b, band in enumerate(bands(count))]
+    return words.groupBy("k1", "k2").agg(*least).select("k1", F.array(*keys).alias("keys"))
+
+
+def _joined(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` of line numbers with their lines ``left`` and ``right``."""
+    left = texts.select(F.col("node").alias("a"), F.col("line").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("line").alias("right"))
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+
+
+def _bound(left: Column, right: Column, width: int, use) -> Column:
+    """``use(sets.l, sets.r)``, each set made once."""
+    return F.transform(F.array(F.struct(_shingle_set(left, width).alias("l"), _shingle_set(right, width).alias("r"))), lambda s: use(s["l"], s["r"]))[0]
+
+
+def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` whose full shingle sets reach the similarity."""
+    def near(l: Column, r: Column) -> Column:
+        shared = F.transform(F.array(F.size(F.array_intersect(l, r))), lambda n: n * 100 >= (F.size(l) + F.size(r) - n) * percent)[0]
+        return F.when(F.least(F.size(l), F.size(r)) * 100 >= F.greatest(F.size(l), F.size(r)) * percent, shared).otherwise(False)
+
+    return _joined(pairs, texts).filter(_bound(F.col("left"), F.col("right"), width, near)).select("a", "b")
+
 
+def _bitmaps(found: Column, name: str) -> list[Column]:
+    """The hashes of an array, each as one of 64 * MAP_WORDS bits."""
+    def word(i: int) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(F.shiftright(x, 6).bitwiseAND(F.lit(MAP_WORDS - 1)) == i, s.bitwiseOR(bit)).otherwise(s)
 
-def fuzzy_lines(docs: DataFrame, width: int = 8, percent: int = 80, bands: int = 8, rows: int = 3, seed: int = 11) -> DataFrame:
+        return F.aggregate(found, F.lit(0).cast("bigint"), step).alias(f"{name}{i}")
+
+    return [word(i) for i in range(MAP_WORDS)]
+
+
+def _against_leader(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """What line b of ``pairs(a, b)`` shares with its leader a, lacks and has besides: counts, and bitmaps of the last two."""
+    def told(l: Column, r: Column) -> Column:
+        return F.struct(F.size(r).alias("n"), F.size(F.array_intersect(l, r)).alias("inside"), F.array_except(l, r).alias("lost"), F.array_except(r, l).alias("more"))
+
+    measured = _joined(pairs, texts).select("a", "b", F.explode(F.array(_bound(F.col("left"), F.col("right"), width, told))).alias("t"))
+    return materialize(measured.select(
+        F.col("a").alias("leader"), F.col("b").alias("node"), "t.n", "t.inside", F.size("t.lost").alias("lack"), *_bitmaps(F.col("t.lost"), "lost"), *_bitmaps(F.col("t.more"), "more")))
+
+
+def _may_link(percent: int) -> Column:
+    """Whether two members of a bucket can be linked, by what each shares with the leader.
+
+    Both lack what either lacks of the leader's set, and share besides it at most what each has besides; bitmaps bound
+    how much of that is not common.  No pair that reaches the similarity is ruled out.
+    """
+    def only(name: str, mine: str, other: str) -> Column:
+        return sum((F.bit_count(F.col(f"{mine}{name}{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}{name}{i}")))) for i in range(MAP_WORDS)), F.lit(0))
+
+    size, own_more, more = F.col("inside") + F.col("lack"), F.col("my_n") - F.col("my_inside"), F.col("n") - F.col("inside")
+    lacking = F.greatest(F.col("my_lack") + only("lost", "", "my_"), F.col("lack") + only("lost", "my_", ""))
+    common = size - lacking + F.least(own_more - only("more", "my_", ""), more - only("more", "", "my_"))
+    return common * 100 >= (F.col("n") + F.col("my_n") - common) * percent
+
+
+def line_links(docs: DataFrame, width: int, percent: int, count: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences ``doc_id, line_no, k1, k2``, candidate lines ``node, k1, k2``, and the links ``a, b`` between nodes."""
+    signed = materialize(_signatures(docs, width, count, seed))
+    spread = signed.select("k1", F.explode("keys").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1")
+    held = materialize(spread.join(shared.hint("merge"), "bucket"))
+
+    # One more scan of the texts names all lines and keeps the characters of those that share a bucket.
+    wanted = materialize(held.select(F.col("k1").alias("wanted")).distinct())
+    named = _keyed(lines_of(docs)).join(sided(wanted), F.expr("k1 = wanted"), "left")
+    occurrences = materialize(named.select("doc_id", "line_no", "k1", "k2", F.when(F.col("wanted").isNotNull(), F.col("line")).alias("line")))
+    texts = occurrences.filter("line is not null").groupBy("k1", "k2").agg(F.first("line").alias("line"))
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()))
+    nodes = texts.select("node", "k1", "k2")
+
+    # A bucket's leader is the line whose buckets hold most lines: of many variants, the least edited.
+    held = held.join(nodes.select("node", "k1").hint("merge"), "k1").select("bucket", "node", "held")
+    weight = held.groupBy("node").agg(F.sum("held").alias("weight"))
+    weighed = materialize(held.drop("held").join(weight.hint("merge"), "node"))
+    first = weighed.groupBy("bucket").agg(F.max("weight").alias("weight"))
+    first = weighed.join(first.hint("merge"), ["bucket", "weight"], "left_semi").groupBy("bucket").agg(F.min("node").alias("leader"))
+    members = materialize(weighed.drop("weight").join(first.hint("merge"), "bucket"))
+    stars = materialize(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    links = materialize(_links(stars, texts, width, percent))
+
+    # Buckets whose lines are in several components: members outside the leader's against members of others.
+    comps = connected_components(links.toDF("src", "dst"))
+    part = comps.select(F.col("id").alias("node"), F.col("component").alias("part"))
+    home = comps.select(F.col("id").alias("leader"), F.col("component").alias("home"))
+    placed = members.filter("node <> leader").join(part.hint("merge"), "node", "left").join(home.hint("merge"), "leader", "left")
+    placed = materialize(placed.select("bucket", "leader", "node", F.coalesce("part", "node").alias("part"), F.coalesce("home", "leader").alias("home")))
+    strays = placed.filter("part <> home").groupBy("bucket").agg(F.count("*").alias("strays"))
+    crowded = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").join(strays.hint("merge"), "bucket").select("bucket")
+    open_rows = materialize(placed.join(crowded.hint("merge"), "bucket", "left_semi"))
+    if not open_rows.limit(1).count():
+        return occurrences.drop("line"), nodes, links
+    told = _against_leader(open_rows.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts, width)
+    open_rows = materialize(open_rows.join(told.hint("merge"), ["leader", "node"]))
+    mine = open_rows.filter("part <> home").select("bucket", *[F.col(k).alias(f"my_{k}") for k in open_rows.columns if k not in ("bucket", "leader", "home")])
+    rest = mine.hint("merge").join(open_rows, "bucket").filter("my_part <> part").filter(_may_link(percent))
+    rest = rest.select(F.least("my_node", "node").alias("a"), F.greatest("my_node", "node").alias("b")).distinct()
+    rest = materialize(rest.join(stars.hint("merge"), ["a", "b"], "left_anti"))
+    return occurrences.drop("line"), nodes, materialize(links.unionByName(_links(rest, texts, width, percent)))
+
+
+def fuzzy_lines(docs: DataFrame, width: int = 8, percent: int = 80, count: int = 10, seed: int = 11) -> DataFrame:
     """Keeps one line of each class of near-duplicate lines in ``docs(doc_id, text)``.
 
     Lines end at a line feed and lose white space at both ends.  A line's set is its different shingles of
-    ``width`` characters; a shorter line is one shingle.  Equal lines are one node.  In each band's bucket
-    every line is compared with the smallest, then lines of one bucket that are still in different components
-    with each other.  A link holds if 100 * shared >= percent * union on full sets; components are found by a
-    distributed union-find.  With the defaults a pair of similarity 0.8 is met with a chance of about 0.99, one of
+    ``width`` characters (UTF-16 units); a shorter line is one shingle.  Equal lines are one node.  Every line is
+    signed by all its shingles.  In each of its ``count`` buckets a line is compared with the bucket's leader, then members
+    outside the leader's component with those of other components, unless an exact bound rules a link out.
+    A link holds if 100 * shared >= percent * union on full sets; components are found by a
+    distributed union-find.  With the defaults a pair of similarity 0.8 is met with a chance of about 0.995, one of
     0.9 with 0.9999.
 
     Returns ``doc_id, line_no, class_doc, class_line, kept`` for each line that isn't blank; a class is named by its
@@ -93,43 +202,30 @@ def fuzzy_lines(docs: DataFrame, width: int = 8, percent: int = 80, bands: int =
     repeat a doc_id and text repeat its lines, and a first line that repeats is kept each time.  A null doc_id
     comes after all others.  An empty table gives no rows.
     """
-    signed = _signatures(docs, width, bands * rows, seed)
-    keys = [F.xxhash64(F.lit(b), "level", *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
-    spread = signed.select(F.col("k1").alias("id"), F.explode(F.array(*keys)).alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("bucket", "leader")
-    members = materialize(spread.join(shared.hint("merge"), "bucket"))
-    stars = materialize(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    links = materialize(_verified(stars, docs, width, percent))
-
-    # The smallest name reachable, by k1; then buckets whose lines are in several components.
-    nodes = connected_components(links.select("a", "b").toDF("src", "dst"))
-    placed = members.join(nodes.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-    placed = materialize(placed)
-    mixed = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("bucket")
-    open_rows = materialize(placed.join(mixed.hint("merge"), "bucket", "left_semi"))
-    other = open_rows.select("bucket", F.col("id").alias("b"), F.col("part").alias("other"))
-    rest = materialize(
-        open_rows.withColumnRenamed("id", "a").hint("merge").join(other, "bucket").filter("part <> other and a < b")
-        .select("a", "b").distinct().join(stars.hint("merge"), ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = materialize(links.unionByName(_verified(rest, docs, width, percent)))
-    classes = connected_components(links.select("src", "dst")).withColumnRenamed("id", "name")
-
-    occurrences = _keyed(lines_of(docs)).select("doc_id", "line_no", F.concat_ws("/", F.hex("k1"), F.hex("k2")).alias("own"))
-    named = occurrences.join(sided(classes), F.expr("own = name"), "left").select("doc_id", "line_no", F.coalesce("component", "own").alias("class"))
+    occurrences, nodes, links = line_links(docs, width, percent, count, seed)
+    classes = connected_components(links.toDF("src", "dst")).withColumnRenamed("id", "node")
+    classes = materialize(nodes.join(classes.hint("merge"), "node").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "component"))
+    found = occurrences.join(sided(classes), F.expr("k1 = c1 and k2 = c2"), "left")
+    grouped = F.col("component").isNotNull()
+    named = found.select("doc_id", "line_no", F.coalesce("component", "k1").alias("class"), F.when(~grouped, F.col("k2")).alias("own"))
     place = F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    named = materialize(named)
-    firsts = named.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = named.groupBy("class", "own").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n").toDF("its_class", "its_own", "first")
     first = F.coalesce("first", place)
-    return named.join(firsts.hint("merge"), "class", "left").select(
+    return named.join(firsts.hint("merge"), F.expr("class = its_class and own <=> its_own"), "left").select(
         "doc_id", "line_no", first["d"].alias("class_doc"), first["l"].alias("class_line"),
         (first["d"].eqNullSafe(F.col("doc_id")) & (first["l"] == F.col("line_no"))).alias("kept"),
     )
 
 
 def without_repeats(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``docs`` with the dropped lines of ``decisions`` taken out of their texts; blank lines stay."""
-    dropped = decisions.filter("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i))
-    return docs.join(dropped.hint("merge"), "doc_id", "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+    """``docs`` with the dropped lines of ``decisions`` taken out of their texts; blank lines stay.
+
+    Decisions are found by doc_id and line_no, null-safely.  Where several texts share an id, a line is taken out of a
+    text only if no decision on that id and line number keeps it.  Null texts stay null.
+    """
+    marks = decisions.groupBy("doc_id", "line_no").agg(F.max("kept").alias("kept")).filter("not kept")
+    dropped = marks.groupBy(F.col("doc_id").alias("its_doc")).agg(F.collect_set("line_no").alias("gone"))
+    left = F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains(F.col("s.gone"), i))
+    text = F.when(F.col("s.gone").isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
+    joined = docs.alias("d").join(dropped.alias("s").hint("merge"), F.expr("d.doc_id <=> s.its_doc"), "left")
+    return joined.select(*[text.alias(k) if k == "text" else F.col(f"d.`{k}`") for k in docs.columns])

@@ -272,12 +272,63 @@ def test_lines_brute_force(spark):
     assert len(kept) == len(rows) and kept[100] is None and kept[102] == "\n \n"
 
 
+def test_lines_of_any_length_meet(spark):
+    """One set of shingles, repeated to 42 and to 120 words."""
+    rows = [(1, "ab cd ef gh ij kl " * 7), (2, "ab cd ef gh ij kl " * 20), (3, "mn op qr st uv wx " * 400), (4, "mn op qr st uv wx " * 2)]
+    got = {r["doc_id"]: r["class_doc"] for r in fuzzy_lines.fuzzy_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_lines_recall_on_a_table(spark):
+    """Links of all different lines, found exactly through an inverted index over shingles, against the operator's classes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = {}
+    for r in docs.collect():
+        for k, line in enumerate((r["text"] or "").split("\n")):
+            if line := line.strip(" \t\n\x0b\x0c\r"):
+                lines.setdefault(line, (r["doc_id"], k))
+    names = list(lines)
+    sets = [{x[a:a + 8] for a in range(max(1, len(x) - 7))} for x in names]
+    held = defaultdict(int)
+    for own in sets:
+        for x in own:
+            held[x] += 1
+    index, pairs = defaultdict(list), set()
+    for i, own in enumerate(sets):
+        rare = sorted(own, key=lambda x: (held[x], x))[:len(own) - -(-8 * len(own) // 10) + 1]  # linked lines share one of these
+        for x in rare:
+            pairs.update((j, i) for j in index[x] if 8 * len(own) <= 10 * len(sets[j]) and 8 * len(sets[j]) <= 10 * len(own))
+            index[x].append(i)
+    links = [(a, b) for a, b in pairs if 100 * (n := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    group = {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"]) for r in fuzzy_lines.fuzzy_lines(docs).collect()}
+    met = [group[lines[names[a]]] == group[lines[names[b]]] for a, b in links]
+    assert len(met) > 100 and np.mean(met) >= 0.99
+
+
+def test_lines_template_with_unlinked_variants(spark):
+    """Lines that share half of their text with a template and are linked with none, beside variants that are."""
+    rng = random.Random(12)
+    stem = " ".join(f"stem{i}" for i in range(20))
+    rows = [(i, stem + " " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.choice([1, 2, 14, 18])))) for i in range(120)]
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"]) for r in fuzzy_lines.fuzzy_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute_lines(rows)
+    assert np.mean([got[k] == want[k] for k in want]) >= 0.99
+
+
+def test_lines_taken_out_of_odd_tables(spark):
+    rows = [(1, "a line to keep\nsecond line"), (1, "other text of the id\nsecond line"), (None, "a line to keep\nno id"), (2, None), (3, "a line to keep")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("meta.url", F.lit("clash")).withColumn("gone", F.lit("clash")).withColumn("kept", F.lit("clash"))
+    out = fuzzy_lines.without_repeats(docs, fuzzy_lines.fuzzy_lines(docs))
+    assert out.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == sorted([("1", "a line to keep\nsecond line"), ("1", "other text of the id\nsecond line"), ("None", "no id"), ("2", "None"), ("3", "")])
+
+
 def test_lines_empty(spark):
     assert fuzzy_lines.fuzzy_lines(odd_docs(spark, [])).count() == 0
 
 
 def test_lines_plan_has_no_python(spark):
-    plan = fuzzy_lines._signatures(odd_docs(spark), 8, 24, 11)._jdf.queryExecution().toString()
+    plan = fuzzy_lines._signatures(odd_docs(spark), 8, 10, 11)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
