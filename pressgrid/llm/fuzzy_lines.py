@@ -15,8 +15,11 @@ OTHER_BLANKS = "\t\x0b\x0c\r"
 GROUPS, TURNS = 3, 5
 #: Shingles that a row of the signature scan holds.
 BLOCK = 8
+#: Coordinates that lines of a pair must agree on at least; at a similarity of 0.8 fewer agree with a chance of 0.0001.
+AGREE = 6
 #: Numbers of 64 bits in the bitmap of what a line has or lacks against its leader.
 MAP_WORDS = 4
+COORDINATES = [f"m{i}" for i in range(GROUPS * TURNS)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -59,8 +62,8 @@ def bands(count: int) -> list[tuple[int, ...]]:
     return [tuple((k + g * (k // TURNS)) % TURNS for g in range(GROUPS)) for k in range(count)]
 
 
-def _signatures(docs: DataFrame, width: int, count: int, seed: int) -> DataFrame:
-    """``k1, keys``: for each different line the keys of its ``count`` buckets, from a signature over all its shingles.
+def _signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """``k1, k2`` and the coordinates of a signature over all shingles, for each different line.
 
     A shingle's hash is cut into three numbers of 32 bits, one for each group of coordinates.  A coordinate is the
     minimum after XOR with its constant, a permutation of these numbers; constants of a group begin with
@@ -78,30 +81,36 @@ def _signatures(docs: DataFrame, width: int, count: int, seed: int) -> DataFrame
     for g in range(GROUPS):
         for turn, begin in enumerate(rng.sample(range(8), TURNS)):
             constant = (begin << 29 | rng.getrandbits(29)) - (1 << 31)
-            least.append(F.min(F.least(*[F.col(f"x{j}_{g}").bitwiseXOR(F.lit(constant)) for j in range(BLOCK)])).alias(f"m{g}_{turn}"))
-    keys = [F.xxhash64(F.lit(b), *[f"m{g}_{turn}" for g, turn in enumerate(band)]) for b, band in enumerate(bands(count))]
-    return words.groupBy("k1", "k2").agg(*least).select("k1", F.array(*keys).alias("keys"))
+            least.append(F.min(F.least(*[F.col(f"x{j}_{g}").bitwiseXOR(F.lit(constant)) for j in range(BLOCK)])).alias(COORDINATES[g * TURNS + turn]))
+    return words.groupBy("k1", "k2").agg(*least)
+
+
+def _bucket_keys(count: int) -> Column:
+    return F.array(*[F.xxhash64(F.lit(b), *[COORDINATES[g * TURNS + turn] for g, turn in enumerate(band)]) for b, band in enumerate(bands(count))])
+
+
+def _agree(mine: str = "my_") -> Column:
+    """Whether two signatures agree on enough coordinates to be worth comparing whole sets."""
+    return sum((F.when(F.col(c) == F.col(mine + c), 1).otherwise(0) for c in COORDINATES), F.lit(0)) >= AGREE
 
 
 def _joined(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` of line numbers with their lines ``left`` and ``right``."""
+    """``pairs(a, b)`` of nodes with their lines ``left`` and ``right``."""
     left = texts.select(F.col("node").alias("a"), F.col("line").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("line").alias("right"))
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
 
-def _bound(left: Column, right: Column, width: int, use) -> Column:
-    """``use(sets.l, sets.r)``, each set made once."""
-    return F.transform(F.array(F.struct(_shingle_set(left, width).alias("l"), _shingle_set(right, width).alias("r"))), lambda s: use(s["l"], s["r"]))[0]
+def _sets(width: int) -> Column:
+    """A list of one pair of shingle sets: exploded, each set is made once."""
+    return F.array(F.struct(_shingle_set(F.col("left"), width).alias("l"), _shingle_set(F.col("right"), width).alias("r")))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` whose full shingle sets reach the similarity."""
-    def near(l: Column, r: Column) -> Column:
-        shared = F.transform(F.array(F.size(F.array_intersect(l, r))), lambda n: n * 100 >= (F.size(l) + F.size(r) - n) * percent)[0]
-        return F.when(F.least(F.size(l), F.size(r)) * 100 >= F.greatest(F.size(l), F.size(r)) * percent, shared).otherwise(False)
-
-    return _joined(pairs, texts).filter(_bound(F.col("left"), F.col("right"), width, near)).select("a", "b")
+    """The ``pairs(a, b)`` of nodes whose full shingle sets reach the similarity."""
+    met = _joined(pairs, texts).select("a", "b", F.explode(_sets(width)).alias("s"))
+    met = met.select("a", "b", F.size("s.l").alias("n"), F.size("s.r").alias("m"), F.size(F.array_intersect("s.l", "s.r")).alias("shared"))
+    return met.filter(F.col("shared") * 100 >= (F.col("n") + F.col("m") - F.col("shared")) * percent).select("a", "b")
 
 
 def _bitmaps(found: Column, name: str) -> list[Column]:
@@ -121,8 +130,8 @@ def _against_leader(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame
     def told(l: Column, r: Column) -> Column:
         return F.struct(F.size(r).alias("n"), F.size(F.array_intersect(l, r)).alias("inside"), F.array_except(l, r).alias("lost"), F.array_except(r, l).alias("more"))
 
-    measured = _joined(pairs, texts).select("a", "b", F.explode(F.array(_bound(F.col("left"), F.col("right"), width, told))).alias("t"))
-    return materialize(measured.select(
+    found = _joined(pairs, texts).select("a", "b", F.explode(_sets(width)).alias("s")).select("a", "b", F.explode(F.array(told(F.col("s.l"), F.col("s.r")))).alias("t"))
+    return materialize(found.select(
         F.col("a").alias("leader"), F.col("b").alias("node"), "t.n", "t.inside", F.size("t.lost").alias("lack"), *_bitmaps(F.col("t.lost"), "lost"), *_bitmaps(F.col("t.more"), "more")))
 
 
@@ -141,10 +150,17 @@ def _may_link(percent: int) -> Column:
     return common * 100 >= (F.col("n") + F.col("my_n") - common) * percent
 
 
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes whose signatures agree."""
+    left = nodes.select(F.col("node").alias("a"), *[F.col(c).alias(f"my_{c}") for c in COORDINATES])
+    right = nodes.select(F.col("node").alias("b"), *COORDINATES)
+    return materialize(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(_agree()).select("a", "b"))
+
+
 def line_links(docs: DataFrame, width: int, percent: int, count: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Occurrences ``doc_id, line_no, k1, k2``, candidate lines ``node, k1, k2``, and the links ``a, b`` between nodes."""
-    signed = materialize(_signatures(docs, width, count, seed))
-    spread = signed.select("k1", F.explode("keys").alias("bucket"))
+    signed = materialize(_signatures(docs, width, seed))
+    spread = signed.select("k1", F.explode(_bucket_keys(count)).alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1")
     held = materialize(spread.join(shared.hint("merge"), "bucket"))
 
@@ -154,7 +170,8 @@ def line_links(docs: DataFrame, width: int, percent: int, count: int, seed: int)
     occurrences = materialize(named.select("doc_id", "line_no", "k1", "k2", F.when(F.col("wanted").isNotNull(), F.col("line")).alias("line")))
     texts = occurrences.filter("line is not null").groupBy("k1", "k2").agg(F.first("line").alias("line"))
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()))
-    nodes = texts.select("node", "k1", "k2")
+    nodes = signed.join(sided(wanted), F.expr("k1 = wanted"), "left_semi").join(texts.select("node", "k1", "k2").hint("merge"), ["k1", "k2"])
+    nodes = materialize(nodes)
 
     # A bucket's leader is the line whose buckets hold most lines: of many variants, the least edited.
     held = held.join(nodes.select("node", "k1").hint("merge"), "k1").select("bucket", "node", "held")
@@ -163,8 +180,8 @@ def line_links(docs: DataFrame, width: int, percent: int, count: int, seed: int)
     first = weighed.groupBy("bucket").agg(F.max("weight").alias("weight"))
     first = weighed.join(first.hint("merge"), ["bucket", "weight"], "left_semi").groupBy("bucket").agg(F.min("node").alias("leader"))
     members = materialize(weighed.drop("weight").join(first.hint("merge"), "bucket"))
-    stars = materialize(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    links = materialize(_links(stars, texts, width, percent))
+    pairs = _alike(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes)
+    links = materialize(_links(pairs, texts, width, percent))
 
     # Buckets whose lines are in several components: members outside the leader's against members of others.
     comps = connected_components(links.toDF("src", "dst"))
@@ -172,18 +189,17 @@ def line_links(docs: DataFrame, width: int, percent: int, count: int, seed: int)
     home = comps.select(F.col("id").alias("leader"), F.col("component").alias("home"))
     placed = members.filter("node <> leader").join(part.hint("merge"), "node", "left").join(home.hint("merge"), "leader", "left")
     placed = materialize(placed.select("bucket", "leader", "node", F.coalesce("part", "node").alias("part"), F.coalesce("home", "leader").alias("home")))
-    strays = placed.filter("part <> home").groupBy("bucket").agg(F.count("*").alias("strays"))
-    crowded = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").join(strays.hint("merge"), "bucket").select("bucket")
-    open_rows = materialize(placed.join(crowded.hint("merge"), "bucket", "left_semi"))
-    if not open_rows.limit(1).count():
-        return occurrences.drop("line"), nodes, links
-    told = _against_leader(open_rows.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts, width)
-    open_rows = materialize(open_rows.join(told.hint("merge"), ["leader", "node"]))
-    mine = open_rows.filter("part <> home").select("bucket", *[F.col(k).alias(f"my_{k}") for k in open_rows.columns if k not in ("bucket", "leader", "home")])
-    rest = mine.hint("merge").join(open_rows, "bucket").filter("my_part <> part").filter(_may_link(percent))
-    rest = rest.select(F.least("my_node", "node").alias("a"), F.greatest("my_node", "node").alias("b")).distinct()
-    rest = materialize(rest.join(stars.hint("merge"), ["a", "b"], "left_anti"))
-    return occurrences.drop("line"), nodes, materialize(links.unionByName(_links(rest, texts, width, percent)))
+    crowded = placed.groupBy("bucket").agg(F.count_if(F.expr("part <> home")).alias("strays"), F.count("*").alias("n")).filter("strays > 0 and n > 1").select("bucket")
+    rows = materialize(placed.join(crowded.hint("merge"), "bucket", "left_semi").join(nodes.select("node", *COORDINATES).hint("merge"), "node"))
+    mine = rows.filter("part <> home").select("bucket", *[F.col(k).alias(f"my_{k}") for k in ("node", "part", *COORDINATES)])
+    met = mine.hint("merge").join(rows, "bucket").filter("my_part <> part").filter(_agree())
+    met = met.select("leader", F.least("my_node", "node").alias("a"), F.greatest("my_node", "node").alias("b")).groupBy("a", "b").agg(F.min("leader").alias("leader"))
+    met = materialize(met.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti"))
+    told = _against_leader(met.select(F.col("leader").alias("a"), F.explode(F.array("a", "b")).alias("b")).distinct(), texts, width)
+    mine = told.select(F.col("node").alias("a"), "leader", *[F.col(k).alias(f"my_{k}") for k in told.columns[2:]])
+    rest = met.join(mine.hint("merge"), ["a", "leader"]).join(told.withColumnRenamed("node", "b").hint("merge"), ["b", "leader"]).filter(_may_link(percent))
+    links = materialize(links.unionByName(_links(materialize(rest.select("a", "b")), texts, width, percent)))
+    return occurrences.drop("line"), nodes.select("node", "k1", "k2"), links
 
 
 def fuzzy_lines(docs: DataFrame, width: int = 8, percent: int = 80, count: int = 10, seed: int = 11) -> DataFrame:
@@ -193,6 +209,7 @@ def fuzzy_lines(docs: DataFrame, width: int = 8, percent: int = 80, count: int =
     ``width`` characters (UTF-16 units); a shorter line is one shingle.  Equal lines are one node.  Every line is
     signed by all its shingles.  In each of its ``count`` buckets a line is compared with the bucket's leader, then members
     outside the leader's component with those of other components, unless an exact bound rules a link out.
+    Pairs whose signatures agree on fewer than 6 of 15 coordinates are left out.
     A link holds if 100 * shared >= percent * union on full sets; components are found by a
     distributed union-find.  With the defaults a pair of similarity 0.8 is met with a chance of about 0.995, one of
     0.9 with 0.9999.
