@@ -14,8 +14,9 @@ from .common import materialize, scratch, sided
 
 #: Payloads below this many bytes are stored each time.
 REVISIT_BYTES = 1000
-#: Records of one archive file at most, so that a file stays small enough to be read as one.
-FILE_RECORDS = 3000
+#: Payload bytes below which a page belongs to a class, and the records of a file of that class at most: a file
+#: is read as one, so it holds about 64 MB unpacked, or one page.
+FILE_CLASSES = ((1 << 16, 3000), (1 << 22, 48), (1 << 62, 3))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
 
@@ -35,10 +36,13 @@ def _record(kind: str, record_id: Column, block: Column, *headers: tuple[str, Co
 
 
 def elect_responses(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """``page_id, refers_to`` of the pages that revisit another: of equal payloads the largest page_id is the response."""
+    """``page_id, print, refers_to`` of the pages that revisit another: of equal payloads the largest page_id is the response.
+
+    The payload's print tells rows of one page_id with different payloads apart.
+    """
     marks = pages.select("page_id", F.octet_length("payload").alias("n"), F.sha2("payload", 256).alias("print")).filter(F.col("n") >= least_bytes)
     first = marks.groupBy("print").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("rows")).filter("rows > 1 and refers_to is not null")
-    return marks.join(first.hint("merge"), "print").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return marks.join(first.hint("merge"), "print").filter("page_id <> refers_to").select("page_id", "print", "refers_to").distinct()
 
 
 def write_archive(pages: DataFrame, path: str, least_bytes: int = REVISIT_BYTES) -> None:
@@ -48,9 +52,9 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = REVISIT_BYTES)
     request and metadata are concurrent to the response.  A null html is an empty payload; without a URL the records have no target.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    revisits = materialize(elect_responses(rows, least_bytes)).withColumnRenamed("page_id", "again")
+    revisits = materialize(elect_responses(rows, least_bytes)).select(F.col("page_id").alias("again"), F.col("print").alias("its_print"), "refers_to")
     rows = rows.withColumn("key", F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("/"), F.monotonically_increasing_id().cast("string")))
-    rows = rows.join(sided(revisits), F.expr("page_id = again"), "left")
+    rows = rows.join(sided(revisits), F.expr("page_id = again and sha2(payload, 256) = its_print"), "left")
     response = _urn("response", F.col("key"))
     digest = F.concat(F.lit("sha1:"), F.sha1("payload"))
     target = F.regexp_replace("url", r"[\x00-\x20]", "%20")
@@ -64,8 +68,13 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = REVISIT_BYTES)
                     ("WARC-Refers-To-Page", F.col("refers_to").cast("string")), ("Content-Type", F.lit("application/http;msgtype=response")))
     fields = F.concat(F.lit("page: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = _record("metadata", _urn("metadata", F.col("key")), fields, *common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields")))
-    records = rows.select(F.explode(F.array(request, F.when(F.col("again").isNull(), full).otherwise(again), metadata)).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records = F.explode(F.array(request, F.when(F.col("again").isNull(), full).otherwise(again), metadata)).alias("value")
+    longest, low = rows.agg(F.max(F.octet_length("payload"))).first()[0] or 0, 0
+    for high, most in FILE_CLASSES:
+        if low <= longest:
+            part = rows.filter((F.octet_length("payload") >= low) & (F.octet_length("payload") < high)).select(records)
+            part.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/below-{high}")
+        low = high
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
