@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space of the contracts: blank and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -53,9 +53,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: And at most this many bytes by the statistics of the written files (packed, so several times that in memory).
+BROADCAST_BYTES = 64 << 20
+
+
 def sided(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints how to join with ``small``, a table that was written: broadcast if it has few rows, else sort-merge."""
-    return small.hint("broadcast" if small.limit(limit + 1).count() <= limit else "merge")
+    """Hints how to join with ``small``, a table that was written: broadcast if it has few rows and bytes, else sort-merge."""
+    size = int(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    few = size <= BROADCAST_BYTES and small.limit(limit + 1).count() <= limit
+    return small.hint("broadcast" if few else "merge")
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """96 bits of hashes over all columns of a row, as ``r1`` and ``r2``: rows that are equal throughout share them."""
+    columns = [F.col(f"`{k}`") for k in docs.columns]
+    return [F.xxhash64(*columns).alias("r1"), F.hash(*columns).alias("r2")]
 
 
 def fraction_filter(key, fraction: float):

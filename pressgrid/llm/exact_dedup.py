@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, materialize, sided
+from .common import SPACE, materialize, row_key, sided
 
 
 def normalized(text: Column) -> Column:
@@ -16,6 +16,46 @@ def full_hash(text: Column) -> Column:
     return F.sha2(normalized(text), 256)
 
 
+def _marks(text: Column, prefix_chars: int) -> list[Column]:
+    """Length without white space, and the hash of the first characters."""
+    bare = normalized(text)
+    return [F.char_length(bare).alias("length"), F.xxhash64(F.substring(bare, 1, prefix_chars)).alias("prefix")]
+
+
+def _refined(docs: DataFrame, prefix_chars: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, length, prefix`` of every row, and the pairs of length and prefix that several rows share.
+
+    Lengths are few, so the first refinement is a broadcast filter and no shuffle by length.
+    """
+    bare = docs.select("doc_id", normalized(F.col("text")).alias("bare"))
+    marks = materialize(bare.select("doc_id", F.char_length("bare").alias("length"), F.xxhash64(F.substring("bare", 1, prefix_chars)).alias("prefix")))
+    lengths = materialize(marks.groupBy("length").agg(F.count("*").alias("n")).filter("n > 1").select("length"))
+    same_length = marks.join(sided(lengths), "length", "left_semi")
+    return marks, materialize(same_length.groupBy("length", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("length", "prefix"))
+
+
+def without_duplicates(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
+    """``docs`` with one row of each group that is equal without white space, columns as they are.
+
+    The row with the longest original text stays, then that with the smallest doc_id (null last), then by a hash of all its columns;
+    of rows equal throughout, one.  Null text is an empty text.  Rows whose length or prefix no other has are
+    never hashed in full and never shuffled.  An empty table gives no rows.
+    """
+    _, prefixes = _refined(docs, prefix_chars)
+    names = {k: f"column {i}" for i, k in enumerate(docs.columns)}
+    text = F.col(f"`{names['text']}`")
+    rows = docs.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()]).select("*", *_marks(text, prefix_chars), *row_key(docs.toDF(*names.values())))
+    found = rows.join(sided(prefixes.select(F.col("length").alias("l"), F.col("prefix").alias("p"), F.lit(True).alias("met"))), F.expr("length = l and prefix = p"), "left")
+    back = [F.col(f"`{v}`").alias(k) for k, v in names.items()]
+    alone = found.filter("met is null").select(*back)
+    some = found.filter("met").withColumn("print", full_hash(text))
+    doc_id = F.col(f"`{names['doc_id']}`")
+    place = F.struct((-F.char_length(F.coalesce(text.cast("string"), F.lit("")))).alias("c"), doc_id.isNull().alias("u"), doc_id.alias("d"), F.col("r1"), F.col("r2"))
+    best = materialize(some.groupBy("print").agg(F.min(place).alias("best")).select(F.col("print").alias("its_print"), "best"))
+    stay = some.join(best.hint("merge"), F.expr("print = its_print")).filter(F.col("best").eqNullSafe(place))
+    return alone.unionByName(stay.dropDuplicates(["print"]).select(*back))
+
+
 def exact_duplicates(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
     """Groups of documents that are equal without white space, from ``docs(doc_id, text)``.
 
@@ -29,14 +69,8 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
     one in group_size.  An empty table gives no groups.
     """
     text = F.col("text").cast("string")
-    bare = docs.select("doc_id", F.char_length(F.coalesce(text, F.lit(""))).alias("chars"), normalized(text).alias("bare"))
-    marks = materialize(bare.select(
-        "doc_id", "chars", F.char_length("bare").alias("length"), F.xxhash64(F.substring("bare", 1, prefix_chars)).alias("prefix"),
-    ))
-    lengths = marks.groupBy("length").agg(F.count("*").alias("n")).filter("n > 1").select("length")
-    same_length = marks.join(lengths.hint("merge"), "length", "left_semi")
-    prefixes = same_length.groupBy("length", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("length", "prefix")
-    left = materialize(same_length.join(prefixes.hint("merge"), ["length", "prefix"], "left_semi").select("doc_id").distinct())
+    marks, prefixes = _refined(docs, prefix_chars)
+    left = materialize(marks.join(sided(prefixes), ["length", "prefix"], "left_semi").select("doc_id").distinct())
     full = docs.select("doc_id", text.alias("text")).join(sided(left.withColumnRenamed("doc_id", "left_id")), F.expr("doc_id <=> left_id"), "left_semi")
     hashed = full.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), full_hash(F.col("text")).alias("full_hash"))
     order = F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"))

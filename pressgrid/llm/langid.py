@@ -162,4 +162,5 @@ def _told(profiles: dict[str, list[float]], dimensions: int, text_at: int):
 
 def with_language(docs: DataFrame, profiles: dict[str, list[float]], dimensions: int = DIMENSIONS) -> DataFrame:
     """The rows of ``docs``, columns as they are, whose language can be told; others are rejected in place, without a shuffle."""
-    return docs.mapInArrow(_told(profiles, dimensions, docs.columns.index("text")), docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with a dot can't be told from fields
+    return plain.mapInArrow(_told(profiles, dimensions, docs.columns.index("text")), plain.schema).toDF(*docs.columns)

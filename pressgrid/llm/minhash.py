@@ -76,12 +76,12 @@ def lowest_bits(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketch(size: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_print", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_print", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, prints, keys, bits = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
                 found = shingle_set(text, size)
                 counts.append(len(found))
                 if len(found):
@@ -92,7 +92,7 @@ def _sketch(size: int, bands: int, rows: int):
                 else:
                     for out in (prints, keys, bits):
                         out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip((counts, prints, keys, bits), list(schema)[1:]))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, f.type) for x, f in zip((counts, prints, keys, bits), list(schema)[2:]))], schema=schema)
 
     return run
 
@@ -119,14 +119,20 @@ def _bitmap(array: str, name: str) -> list[Column]:
         for i in range(MAP_WORDS)]
 
 
-def _measured(pairs: DataFrame, docs: DataFrame, size: int, maps: bool = False) -> DataFrame:
-    """``pairs(a, b)`` with what their full shingle sets share: ``a, b, shared, total``, total the sum of the set sizes.
+def text_key(text: Column) -> Column:
+    """A hash that tells texts under one doc_id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _measured(pairs: DataFrame, texts: DataFrame, reps: DataFrame, size: int, maps: bool = False) -> DataFrame:
+    """``pairs(a, b)`` of nodes with what their full shingle sets share: ``a, b, shared, total``, total the sum of the set sizes.
 
     ``maps`` adds bitmaps of what b lacks of a, and of what b has besides.
     """
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.join(sided(ids), "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets(size), "id bigint, shingles array<bigint>"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = materialize(reps.select("id", F.col("doc_id").alias("its_doc"), F.col("text_key").alias("its_key")).join(ids.hint("merge"), "id", "left_semi"))
+    found = texts.join(sided(wanted), F.expr("doc_id = its_doc and text_key = its_key")).select("id", "text")
+    sets = materialize(found.mapInArrow(_sets(size), "id bigint, shingles array<bigint>"))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
     met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
@@ -177,14 +183,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     with a chance of 3e-7.  So a large group of copies, or of documents with a passage in common, costs about a
     comparison each, not one for each two.  At a similarity of 0.8 the default bands miss a pair with a chance of 5e-8.
 
-    Returns per row ``doc_id, n_shingles, component_id, kept``: component_id is the smallest doc_id reachable.
-    Null or blank text: set size 0, linked with nothing.  A null doc_id has no component and stays.  Rows that
-    repeat a doc_id are one document; of several texts under one id, any may decide its links.  An empty table gives no rows.
+    Returns per row ``doc_id, n_shingles, component_id, kept, text_key``: component_id is the smallest doc_id reachable.
+    Null or blank text: set size 0, linked with nothing.  A null doc_id has no component and stays.  Several texts
+    under one id are linked each by its own set, and text_key tells them apart; rows that repeat an id and a text share their
+    result.  An empty table gives no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = materialize(texts.mapInArrow(_sketch(shingle_words, bands, rows), "doc_id bigint, n_shingles bigint, set_print binary, bands array<bigint>, bits array<bigint>"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    marks = materialize(texts.mapInArrow(_sketch(shingle_words, bands, rows), "doc_id bigint, text_key bigint, n_shingles bigint, set_print binary, bands array<bigint>, bits array<bigint>"))
     named = marks.filter("set_print is not null and doc_id is not null")
-    reps = materialize(named.groupBy("set_print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    # A node is a set; its number is its place in this table, and one of its texts stands for it.
+    first = named.groupBy("set_print").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    reps = materialize(first.select("set_print", "at.doc_id", "at.text_key", "n", "bands", "bits").withColumn("id", F.monotonically_increasing_id()))
     spread = reps.select("id", "n", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1")
     held = materialize(spread.join(shared.hint("merge"), "bucket"))
@@ -194,7 +203,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     members = materialize(weighed.drop("weight").join(first.select("bucket", (-F.col("first.turned")).alias("leader")).hint("merge"), "bucket"))
 
     stars = materialize(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    measured = _measured(stars, texts, shingle_words, maps=True)
+    measured = _measured(stars, texts, reps, shingle_words, maps=True)
     links = materialize(_links(measured, percent))
     comps = connected_components(links)
 
@@ -221,17 +230,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     )
     rest = materialize(rest)
     if rest.limit(1).count():
-        more = materialize(_links(_measured(rest, texts, shingle_words), percent))
+        more = materialize(_links(_measured(rest, texts, reps, shingle_words), percent))
         if more.limit(1).count():
             comps = connected_components(links.unionByName(more))
 
-    node = reps.select("set_print", F.col("id").alias("rep"))
-    joined = (
-        marks.join(node.hint("merge"), "set_print", "left")
-        .join(comps.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
-    )
-    component = F.coalesce("component", "rep", "doc_id")
-    return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
+    ids = reps.select("id", F.col("doc_id").alias("least"), "set_print").join(comps.hint("merge"), "id", "left").withColumn("class", F.coalesce("component", "id"))
+    lowest = ids.groupBy(F.col("class").alias("its_class")).agg(F.min("least").alias("lowest"))
+    named = ids.join(lowest.hint("merge"), F.expr("class = its_class")).select("set_print", "lowest")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id"))
+    return marks.join(named.hint("merge"), "set_print", "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")

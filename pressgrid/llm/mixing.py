@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     return level.select("source", "source_size", "weight", goal.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """How much of each of ``docs(doc_id, text, source)`` a mix by target weights takes.
 
     Documents of a source are shuffled by a hash of seed and doc_id, and queue up ``repeats`` times over.  A copy's
@@ -55,14 +55,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     stays within the sum of all sizes.  Running sums go over buckets of a source and slices of virtual time, so
     one source with most of the rows is spread over many tasks.
 
-    Returns ``doc_id, size, source_size, target, taken``; taken is size times the copies in the mix.  Null texts
+    Returns ``doc_id, size, source_size, target, taken`` and the columns ``keep`` of ``docs``; taken is size times the copies in the mix.  Null texts
     have size 0, and documents of size 0 are never taken.  Null is a source of its own, the last.  Rows that repeat
     a doc_id are documents of their own.  If all sizes are 0, all targets are.  An empty table gives no rows.
     """
     null_last = F.col("source").isNull()
     rows = materialize(docs.select(
         "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("turn"),
+        F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("turn"), *keep,
     ))
     counts = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     targets = materialize(source_targets(counts.select("source", "source_size"), weights, repeats).join(
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     queued = materialize(
         dealt.withColumn("inside", F.sum("size").over(inside))
         .join(sided(starts), F.expr("source <=> s and bucket = k"))
-        .select("doc_id", "source", "turn", "size", "source_size", "target", (F.col("start") + F.col("inside")).alias("upto"))
+        .select("doc_id", "source", "turn", "size", "source_size", "target", (F.col("start") + F.col("inside")).alias("upto"), *keep)
     )
 
     def finish(epoch: Column) -> Column:
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
         end = F.struct(*[F.lit(last[k]).cast(t).alias(k) for k, t in (("finish", "double"), ("last", "boolean"), ("source", "string"), ("turn", "string"), ("doc_id", docs.schema["doc_id"].dataType))])
         times = sum((F.when(order(F.lit(e)) <= end, 1).otherwise(0) for e in range(repeats)), F.lit(0))
         times = F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0)
-    return queued.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("bigint").alias("taken"))
+    return queued.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("bigint").alias("taken"), *keep)
 
 
 def _cut(copies: DataFrame, budget: int):

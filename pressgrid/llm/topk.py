@@ -58,8 +58,8 @@ def _search(k: int):
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFrame:
     """The ``k`` highest integer inner products of each query row of ``vectors(vec_id, embedding)`` with all others.
 
-    Queries (rows where the column ``is_query`` holds) and candidates are cut into blocks of a fixed size by a
-    hash of vec_id; each pair of blocks is one task, in which a query's terms add their weights to the
+    Queries (rows where the column ``is_query`` holds) and candidates are dealt to blocks of about a fixed size by
+    a hash of their place in a written table, which a task that runs again finds unchanged; each pair of blocks is one task, in which a query's terms add their weights to the
     scores of the rows in the terms' posting lists.  A block gives its own best k, a window merges them.  Ties go to the
     smaller vec_id.  Returns ``query_id, rank, vec_id, score``; a query without candidates has no rows.  Vectors that
     are null or hold null or non-finite components take no part, nor do rows without an id.  Where lengths
@@ -67,7 +67,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
     rows are listed each.
     """
     rows = materialize(quantized(vectors, scale))
-    queries = rows.filter(is_query).dropDuplicates(["vec_id", "weights"])
+    queries = materialize(rows.filter(is_query).dropDuplicates(["vec_id", "weights"]))
     blocks = max(1, -(-rows.count() // CANDIDATE_BLOCK))
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
