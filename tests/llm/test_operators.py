@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,15 @@ def test_warc_payloads_and_parts(spark, tmp_path):
     assert all(r["request"]["record_id"] for r in got.values())
 
 
+def test_warc_repeated_ids_and_long_pages(spark):
+    """Rows of one page_id with different payloads, and a page of 50 MB in a file of its own."""
+    a, b, long = "a" * 1500, "b" * 1500, "<p>long page</p>" * (50 * 65_536)
+    rows = [(5, "http://x.example/", a), (5, "http://x.example/", b), (9, "http://y.example/", a), (11, "http://z.example/", long), (12, "http://z.example/", "c" * 70_000)]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    want = [(i, len(h), hashlib.sha1(h.encode()).hexdigest(), "revisit" if (i, h) == (5, a) else "response", 9 if (i, h) == (5, a) else None) for i, _, h in rows]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_warc_empty(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
@@ -216,7 +226,35 @@ def test_word_encoder_equals_whole_texts():
     letters = "abAB éÉİŸßΣσς'\"s.,!? \t\n\r\x0b\x1c\x1f\u00a0\u3000\u0301中文12٣😀ſŉ－—'ll isn't ИÅﬁ가\x85"
     for k in range(600):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(40))) + (" <|endoftext|>x" if k % 5 == 0 else "")
-        assert enc.encode([text])[0] == np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+        assert enc.encode(pa.array([text]))[0] == np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_word_encoder_with_another_tokenizer():
+    """Tokenizers that don't work word by word encode whole texts."""
+    import public_tokenizers
+
+    enc = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two words,  and\n\nmore Words", None, "", "x"]
+    assert not enc.by_words
+    assert enc.encode(pa.array(texts)) == [np.array(enc.tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_fit_is_the_least_squares_solution():
+    """Counts against non-negative least squares by projected gradients, on a small histogram."""
+    rng = np.random.default_rng(7)
+    histogram = np.zeros(65, np.int64)
+    histogram[rng.integers(5, 60, 14)] = rng.integers(50, 900, 14)
+    sets = packing.patterns(np.flatnonzero(histogram), 64)
+    a = np.zeros((65, len(sets)))
+    for k, row in enumerate(sets):
+        for x in row[row > 0]:
+            a[x, k] += 1
+    x, step = np.zeros(len(sets)), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(60_000):
+        x = np.maximum(0, x - step * (a.T @ (a @ x - histogram)))
+    got = packing.fit_counts(sets, histogram, 60_000)
+    assert (got >= 0).all() and len(sets) > 3
+    assert np.linalg.norm(a @ got - histogram) <= np.linalg.norm(a @ x - histogram) + 2
 
 
 # ---- lines
@@ -328,7 +366,7 @@ def test_lines_empty(spark):
 
 
 def test_lines_plan_has_no_python(spark):
-    plan = fuzzy_lines._signatures(odd_docs(spark), 8, 10, 11)._jdf.queryExecution().toString()
+    plan = fuzzy_lines._signatures(odd_docs(spark), 8, 11)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -340,6 +378,23 @@ def test_language_held_out(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.97 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_scores_by_hand(spark):
+    """Predictions and cosines from the profiles, trigram by trigram in plain Python."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    profiles = langid.learn_profiles(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, profiles).collect()}
+    for r in docs.limit(40).collect():
+        codes, counts = langid.trigrams(r["text"])
+        if not len(codes):
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        total = np.zeros(langid.DIMENSIONS)
+        for code, n in zip(codes.tolist(), counts.tolist()):
+            total += np.asarray(langid.bundle(np.array([code], codes.dtype), np.array([n], counts.dtype), langid.DIMENSIONS), float)
+        near = {k: float(np.dot(v, total) / np.linalg.norm(total)) for k, v in profiles.items()}
+        assert got[r["doc_id"]][0] == max(near, key=near.get) and got[r["doc_id"]][1] == pytest.approx(max(near.values()), abs=1e-3)
+
+
 def test_language_odd(spark):
     got = {r["doc_id"]: r for r in langid.language_of(odd_docs(spark)).collect()}
     assert {i for i, r in got.items() if r["lang_pred"] == "und"} == {3, 4, 5}
@@ -438,8 +493,35 @@ def test_urls_mined_rules_against_brute_force(spark):
     assert got == {i: "block" if any(items[i].issuperset(c) for c in rules) else "allow" for i in items}
 
 
+def test_urls_with_very_many_segments(spark):
+    """Bad pages with a long path in common, and some with other paths of their own: mined in seconds, blocked all."""
+    import time
+
+    path = "/".join(f"s{i}" for i in range(40))
+    rows = [(i, f"https://long.example.net/{path}/{i}") for i in range(10)] + [(10 + i, f"https://fine.example.net/p{i % 7}/q{i % 5}") for i in range(60)]
+    rows += [(100 + i, "https://mixed.example.net/" + "/".join(f"t{k}" for k in range(40) if k != i)) for i in range(20)]
+    labels = spark.createDataFrame([(i, i < 10 or i >= 100) for i, _ in rows], "page_id bigint, bad boolean")
+    began = time.perf_counter()
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), labels).collect()}
+    assert time.perf_counter() - began < 60
+    assert got == {i: "block" if i < 10 or i >= 100 else "allow" for i, _ in rows}
+
+
 # ---- toxicity
 
+def test_toxicity_scores_by_hand(spark):
+    """Every row's expected severity from the model's weights and thresholds, in plain Python."""
+    import math
+
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = toxicity.fit_toxicity(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert model.weights
+    got = {r["doc_id"]: r["expected_severity"] for r in docs.select("doc_id", "text").mapInArrow(toxicity._score(model), "doc_id bigint, severity int, expected_severity double").collect()}
+    for r in docs.collect():
+        score = sum(model.weights.get(f, 0.0) for w in toxicity.words_of(r["text"]) for f in toxicity.word_features(w))
+        assert got[r["doc_id"]] == pytest.approx(sum(1 / (1 + math.exp(min(40, max(-40, t - score)))) for t in model.thresholds), abs=2e-6)
+
+
 def test_toxicity_held_out(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
