@@ -7,10 +7,10 @@ import unicodedata
 from pyspark.sql import Column, functions as F, types as T
 
 #: Latin letters with marks, and the letters they fold to.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿŠšŽžČčĚěŘřŮůĞğŞşİ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyySsZzCcEeRrUuGgSsI"
+MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸàáâãäåçèéêëìíîïñòóôõöùúûüýÿŠšŽžČčĚěŘřŮůĞğŞşİ"
+PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYYaaaaaaceeeeiiiinooooouuuuyySsZzCcEeRrUuGgSsI"
 #: The marked forms that a letter's list takes in.
-LETTER_FORMS = {"A": "ÀÁÂÃÄÅ", "C": "Ç", "E": "ÈÉÊË", "I": "ÌÍÎÏ", "N": "Ñ", "O": "ÒÓÔÕÖ", "U": "ÙÚÛÜ", "Y": "Ý"}
+LETTER_FORMS = {"A": "ÀÁÂÃÄÅ", "C": "Ç", "E": "ÈÉÊË", "I": "ÌÍÎÏ", "N": "Ñ", "O": "ÒÓÔÕÖ", "U": "ÙÚÛÜ", "Y": "ÝŸ"}
 
 
 def _tokens(name: Column) -> Column:

@@ -29,11 +29,13 @@ def l2_normalize(a: Column) -> Column:
 
 def median_bits(values: Column) -> Column:
     """64 numbers to 64 bits: bit i (from 0, the lowest) is set where number i exceeds the median of all but the first (V1)."""
-    ranked = F.array_sort(F.slice(values, 2, 63))
-    median = ranked[31].cast("double")
-    bits = F.transform(F.slice(values, 1, 63), lambda x, i: F.when(x.cast("double") > median, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    low = F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
-    return low.bitwiseOR(F.when(values[63].cast("double") > median, F.lit(-(1 << 63))).otherwise(F.lit(0).cast("bigint")))
+    def bits(median: Column) -> Column:
+        each = F.transform(F.slice(values, 1, 63), lambda x, i: F.when(x.cast("double") > median, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+        low = F.aggregate(each, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
+        return low.bitwiseOR(F.when(values[63].cast("double") > median, F.lit(-(1 << 63))).otherwise(F.lit(0).cast("bigint")))
+
+    # The list of one binds the median, which would else be sorted for anew for each bit.
+    return F.transform(F.array(F.sort_array(F.slice(values, 2, 63))[31].cast("double")), bits)[0]
 
 
 def _dct_rows(n: int, keep: int) -> np.ndarray:

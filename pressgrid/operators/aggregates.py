@@ -173,6 +173,15 @@ def composite_vector(images: DataFrame, mode: str = "equal") -> DataFrame:
     return sums.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("vector"))
 
 
+def reset_centroids(entities: DataFrame, ids: DataFrame) -> DataFrame:
+    """``entities`` with the centroids of ``ids(id)`` forgotten, so that the next audit makes them anew."""
+    held = [k for k in ("centroid", "centroid_n") if k in entities.columns]
+    if not held:
+        return entities
+    hit = entities.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)).hint("merge"), "id", "left")
+    return hit.withColumns({k: F.when(F.col("_hit").isNull(), F.col(k)) for k in held}).select(*entities.columns)
+
+
 def duplicate_count(images: DataFrame) -> DataFrame:
     return images.groupBy("entity_id").agg(F.count_if(F.col("is_duplicate").eqNullSafe(True)).alias("duplicates"))
 

@@ -77,7 +77,7 @@ def associate(candidates: DataFrame, article_entities: DataFrame, variants: Data
     """
     text = F.lower(F.trim(F.concat_ws(" ", F.when(F.col("alt") != "", F.col("alt")), F.when(F.col("caption") != "", F.col("caption")))))
     texts = candidates.select("image_id", "article_id", text.alias("words")).filter("words <> ''")
-    met = texts.join(article_entities, "article_id").join(variants, "entity_id").filter(F.contains("words", F.lower("variant")))
+    met = texts.join(article_entities, "article_id").join(variants.hint("merge"), "entity_id").filter(F.contains("words", F.lower("variant")))
     return met.groupBy("image_id").agg(F.min_by("entity_id", F.struct("entity_pos", "position")).alias("entity_id"))
 
 
@@ -105,9 +105,9 @@ def resolve_labels(ids: DataFrame, labels: DataFrame, languages: tuple[str, ...]
     """``key, kb_ids`` to ``key, labels`` in order, each label in the first language that has it; ids without one drop."""
     rank = sum((F.when(F.col("lang") == x, i).otherwise(0) for i, x in enumerate(languages)), F.lit(0))
     best = labels.filter(F.col("lang").isin(*languages)).groupBy("kb_id").agg(F.min_by("label", rank).alias("label"))
-    flat = ids.select("key", F.posexplode("kb_ids").alias("pos", "kb_id")).join(best, "kb_id")
+    flat = ids.select("key", F.posexplode("kb_ids").alias("pos", "kb_id")).join(best.hint("merge"), "kb_id")
     lists = flat.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("labels"))
-    return ids.select("key").join(lists, "key", "left").select("key", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
+    return ids.select("key").join(lists.hint("merge"), "key", "left").select("key", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
 
 
 def missing_files(images: DataFrame, manifest: DataFrame) -> DataFrame:

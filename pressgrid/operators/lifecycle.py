@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.names import canonical_name, inverted_name
 from ..functions.rules import label_score, statement_dates, statement_ids
 from ..schema import Corpus
-from .aggregates import recompute_counts
+from ..tables import snapshot
+from .aggregates import recompute_counts, reset_centroids
 from .filters import demo_rows
 from .joins import associate, missing_files, resolve_labels, resolve_mentions, variants_table
 
@@ -16,10 +17,16 @@ INSTANCE_OF, HUMAN = "P31", "Q5"
 BIRTH, DEATH, BIRTH_PLACE, DEATH_PLACE, COUNTRY, OCCUPATION, EMPLOYER = "P569", "P570", "P19", "P20", "P27", "P106", "P108"
 
 
+#: Rows of a hash range that is numbered in one task, on average.
+RANGE_ROWS = 100_000
+
+
 def _numbered(df: DataFrame, order: str, after: DataFrame, key: str = "id") -> DataFrame:
     """New ids beyond the highest there is.  Rank within a hash range plus the ranges before keeps it off one task."""
+    df = snapshot(df)
+    ranges = max(1, -(-df.count() // RANGE_ROWS))
     top = after.agg(F.coalesce(F.max(key), F.lit(-1)).alias("top"))
-    part = df.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(64)))
+    part = df.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(ranges)))
     sizes = part.groupBy("_part").agg(F.count("*").alias("n"))
     starts = sizes.select("_part", (F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("start"))
     placed = part.withColumn("_nth", F.row_number().over(W.partitionBy("_part").orderBy(order)))
@@ -63,7 +70,7 @@ def attribute_images(candidates: DataFrame, article_entities: DataFrame, entitie
     """``image_id, entity_id, outcome``: named in the text, else the article's only person, else ignored (M4)."""
     named = associate(candidates, article_entities, variants_table(entities, aliases)).withColumnRenamed("entity_id", "named_id")
     only = article_entities.groupBy("article_id").agg(F.min("entity_id").alias("only_id"), F.countDistinct("entity_id").alias("persons")).filter("persons = 1")
-    met = candidates.join(named, "image_id", "left").join(only, "article_id", "left")
+    met = candidates.join(named.hint("merge"), "image_id", "left").join(only.hint("merge"), "article_id", "left")
     return met.select("image_id", F.coalesce("named_id", "only_id").alias("entity_id"), F.when(F.col("named_id").isNotNull(), "named").when(F.col("only_id").isNotNull(), "only_person").otherwise("ignored").alias("outcome"))
 
 
@@ -84,6 +91,14 @@ def apply_reassign(images: DataFrame, decisions: DataFrame) -> DataFrame:
     }).select(*images.columns)
 
 
+def reassign(c: Corpus, decisions: DataFrame) -> Corpus:
+    """:func:`apply_reassign` on a corpus: centroids of both entities are reset, counters follow."""
+    moved = c.images.join(decisions.select("id", F.col("entity_id").alias("_to")), "id").filter("not (_to <=> entity_id)")
+    touched = moved.select(F.explode(F.array("entity_id", "_to")).alias("id")).filter("id is not null")
+    after = c.with_(images=apply_reassign(c.images, decisions), entities=reset_centroids(c.entities, touched))
+    return after.with_(entities=recompute_counts(after))
+
+
 def _set_status(images: DataFrame, ids: DataFrame, status: Column) -> DataFrame:
     met = images.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
     return met.withColumn("association_status", F.when(F.col("_hit").isNotNull(), status).otherwise(F.col("association_status"))).select(*images.columns)
@@ -143,6 +158,11 @@ def purge_not_person(c: Corpus, ids: DataFrame) -> Corpus:
         images=c.images.join(own, "entity_id", "left_anti"), faces=c.faces.join(gone, "image_id", "left_anti"))
 
 
+def label_ids(statements: Column) -> Column:
+    """Knowledge-base ids whose labels an entity needs, once each, in order of the five properties (U4)."""
+    return F.array_distinct(F.flatten(F.array(*[statement_ids(statements, p) for p in (BIRTH_PLACE, DEATH_PLACE, COUNTRY, OCCUPATION, EMPLOYER)])))
+
+
 def not_person(statements: Column) -> Column:
     """Types are known and none of them is a person; without types the benefit of doubt stays."""
     types = statement_ids(statements, INSTANCE_OF)

@@ -10,16 +10,24 @@ from .filters import favorites, live
 
 
 def review_queue(images: DataFrame, limit: int = 50, provider: str | None = None) -> DataFrame:
-    """Flagged images of both kinds: a null provider first, then other providers, then by score."""
+    """Flagged images of both kinds: a null provider first, then other providers, then by score; with the unlimited total."""
     rows = images.filter(F.col("association_status").isin("flagged", "human_flagged"))
     if provider:
         rows = rows.filter(F.coalesce("provider", F.lit(DEFAULT_PROVIDER)) == provider)
     tier = F.when(F.col("provider").isNull(), 0).when(F.col("provider") != DEFAULT_PROVIDER, 1).otherwise(2)
-    return rows.withColumn("tier", tier).orderBy("tier", F.col("match_score").desc_nulls_last(), "id").limit(min(limit, 200))
+    page = rows.withColumn("tier", tier).orderBy("tier", F.col("match_score").desc_nulls_last(), "id").limit(min(limit, 200))
+    return with_total(page, rows)
+
+
+def with_total(page: DataFrame, rows: DataFrame) -> DataFrame:
+    """``page`` with the number of all ``rows`` it was taken from, one number that is broadcast."""
+    return page.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
 
 
 def article_page(articles: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    return articles.orderBy(F.col("published_at").desc_nulls_last(), F.col("scraped_at").desc_nulls_last(), "id").offset(offset).limit(limit)
+    """Newest articles first, with the total of all."""
+    page = articles.orderBy(F.col("published_at").desc_nulls_last(), F.col("scraped_at").desc_nulls_last(), "id").offset(offset).limit(limit)
+    return with_total(page, articles)
 
 
 def entity_page(entities: DataFrame, limit: int = 50, offset: int = 0, sort_by: str = "name") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.rules import caption_rule
 from ..schema import Corpus
 from ..tables import snapshot
-from .aggregates import recompute_counts
+from .aggregates import recompute_counts, reset_centroids
 
 #: How much a canonical entity may grow by one merge, and the least score for one.
 MAX_GROWTH, LEAST_SCORE = 1.5, 1.0
@@ -56,21 +56,19 @@ def plan_kb_merges(entities: DataFrame) -> DataFrame:
     return folded.select("kb_id", "canonical_id", "d.duplicate_id", F.col("d.reason").isNull().alias("merge"), "d.reason")
 
 
-def plan_centroid_merges(pairs: DataFrame, max_distance: float = 0.20, max_rounds: int = 100) -> DataFrame:
+def plan_centroid_merges(pairs: DataFrame, max_distance: float = 0.20) -> DataFrame:
     """Merges of near centroids in order of distance; a pair of which a member is gone is skipped (M8).
 
     ``pairs`` as of candidate_pairs, whose verdicts stand.  A round accepts each pair that comes first for both its
-    members, and drops the pairs that touch a removed duplicate.
+    members, and drops the pairs that touch a removed duplicate; the nearest pair of all is accepted in each, so the rounds end.
     """
     left = snapshot(pairs.filter((F.col("distance") <= max_distance) & F.col("can_auto")).select("canonical_id", "duplicate_id", "distance"))
     done = left.limit(0)
     at = F.struct("distance", "canonical_id", "duplicate_id")
-    for _ in range(max_rounds):
-        if not left.limit(1).count():
-            return done
+    while left.limit(1).count():
         ends = left.select(at.alias("at"), F.explode(F.array("canonical_id", "duplicate_id")).alias("id"))
         first = ends.groupBy("id").agg(F.min("at").alias("first"))
-        ranked = left.withColumn("at", at).join(first.toDF("canonical_id", "f1"), "canonical_id").join(first.toDF("duplicate_id", "f2"), "duplicate_id")
+        ranked = left.withColumn("at", at).join(first.toDF("canonical_id", "f1").hint("merge"), "canonical_id").join(first.toDF("duplicate_id", "f2").hint("merge"), "duplicate_id")
         accepted = snapshot(ranked.filter("at = f1 and at = f2").select("canonical_id", "duplicate_id", "distance"))
         gone = accepted.select("duplicate_id")
         rest = left.join(accepted.select("canonical_id", "duplicate_id"), ["canonical_id", "duplicate_id"], "left_anti")
@@ -120,9 +118,7 @@ def apply_merges(c: Corpus, edges: DataFrame) -> Corpus:
     valid = edges.join(known.toDF("duplicate_id"), "duplicate_id", "left_semi").join(known.toDF("canonical_id"), "canonical_id", "left_semi")
     flat = resolve_chains(valid)
     left = c.entities.join(flat.select(F.col("duplicate_id").alias("id")), "id", "left_anti")
-    if "centroid" in left.columns:
-        touched = flat.select(F.col("canonical_id").alias("id")).distinct().withColumn("_hit", F.lit(True))
-        left = left.join(touched, "id", "left").withColumns({k: F.when(F.col("_hit").isNull(), F.col(k)) for k in ("centroid", "centroid_n") if k in left.columns}).drop("_hit")
+    left = reset_centroids(left, flat.select(F.col("canonical_id").alias("id")))
     after = c.with_(entities=left, aliases=merged_aliases(c.aliases, c.entities, flat), links=merged_links(c.links, flat), images=_moved(c.images, flat))
     return after.with_(entities=recompute_counts(after))
 
@@ -135,6 +131,12 @@ def merge_refusals(requests: DataFrame, entities: DataFrame) -> DataFrame:
     return met.select("canonical_id", "duplicate_id", reason.alias("refusal"))
 
 
+def merge_manual(c: Corpus, requests: DataFrame) -> tuple[Corpus, DataFrame]:
+    """Applies the merges ``requests(canonical_id, duplicate_id)`` that aren't refused; and what was said to each (M9)."""
+    said = snapshot(merge_refusals(requests, c.entities))
+    return apply_merges(c, said.filter("refusal is null").select("canonical_id", "duplicate_id")), said
+
+
 def split_images(images: DataFrame, source_id: int, rules: list[tuple[int, list[str], list[str]]], names: list[list[str]]) -> DataFrame:
     """Where each image of a wrongly merged entity goes: ``id, target_id, ambiguous`` (first step of M19).
 
@@ -161,5 +163,6 @@ def split_entity(c: Corpus, source_id: int, rules: list[tuple[int, list[str], li
     for alias, entity in (moved_aliases or {}).items():
         owner = F.when((F.col("entity_id") == source_id) & (F.col("alias") == alias), F.lit(entity)).otherwise(owner)
     aliases = c.aliases.withColumn("entity_id", owner).dropDuplicates(["entity_id", "alias"])
-    after = c.with_(images=images, links=links, aliases=aliases)
+    touched = routes.select(F.col("target_id").alias("id")).filter("id is not null").unionByName(c.entities.select("id").filter(F.col("id") == source_id))
+    after = c.with_(images=images, links=links, aliases=aliases, entities=reset_centroids(c.entities, touched))
     return after.with_(entities=recompute_counts(after))

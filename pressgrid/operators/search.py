@@ -7,7 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import fold, tokens
+from ..schema import Corpus
+from ..tables import snapshot
 from .filters import live
+from .pages import with_total
 
 K1, B = 1.2, 0.75
 
@@ -41,21 +44,27 @@ def match(postings: DataFrame, query: str) -> DataFrame:
         return postings.limit(0).select("doc_id", F.lit(0).alias("term_no"), F.lit(0).cast("bigint").alias("tf"))
     spark = postings.sparkSession
     prefixes = spark.range(1).select(*[fold(F.lit(t)).alias(f"t{i}") for i, t in enumerate(terms)]).first()
-    hits = None
-    for i, prefix in enumerate(prefixes):
-        part = postings.filter(F.startswith("term", F.lit(prefix))).groupBy("doc_id").agg(F.count("*").alias("tf")).select("doc_id", F.lit(i).alias("term_no"), "tf")
-        hits = part if hits is None else hits.unionByName(part)
-    whole = hits.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(terms)).select("doc_id")
-    return hits.join(whole, "doc_id", "left_semi")
+    begins = [F.startswith("term", F.lit(p)) for p in prefixes]
+    some = begins[0]
+    for test in begins[1:]:
+        some = some | test
+    # One scan for all terms: each document counts the words that each term begins.
+    counts = postings.filter(some).groupBy("doc_id").agg(*[F.count_if(test).alias(f"n{i}") for i, test in enumerate(begins)])
+    whole = counts.filter(" and ".join(f"n{i} > 0" for i in range(len(terms))))
+    return whole.select("doc_id", F.posexplode(F.array(*[f"n{i}" for i in range(len(terms))])).alias("term_no", "tf"))
 
 
 def rank(hits: DataFrame, lengths: DataFrame) -> DataFrame:
-    """BM25 over all columns together: ``doc_id, score``; statistics take in every document."""
+    """BM25 over all columns together: ``doc_id, score``; statistics take in every document.
+
+    The hits are written once: their document frequencies and their scores both come from there.
+    """
+    hits, lengths = snapshot(hits), snapshot(lengths)
     stats = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     df = hits.groupBy("term_no").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    rows = hits.join(F.broadcast(df), "term_no").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
+    rows = hits.join(F.broadcast(df), "term_no").join(lengths.hint("merge"), "doc_id").crossJoin(F.broadcast(stats))
     return rows.groupBy("doc_id").agg(F.sum(idf * weight).alias("score"))
 
 
@@ -79,22 +88,56 @@ def snippet(text: Column, query: str, size: int = 12) -> Column:
     return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(part, " "), F.when(F.size(words) > start + size, "…").otherwise(""))
 
 
-def search(scopes: dict[str, tuple[DataFrame, DataFrame]], query: str, scope: str = "all", limit: int = 20) -> DataFrame:
+def search(
+    scopes: dict[str, tuple[DataFrame, DataFrame]], query: str, scope: str = "all", limit: int = 20,
+    shown: dict[str, DataFrame] | None = None, about: dict[str, DataFrame] | None = None,
+) -> DataFrame:
     """Hits of each scope, best first, at most ``limit`` each, with the number of all its hits.
 
-    ``scopes`` maps a name to postings and lengths.  Ties go to the smaller id.
+    ``scopes`` maps a name to postings and lengths.  Where ``shown`` has ids ``doc_id`` for a scope, hits and total are
+    of those alone, such as entities that aren't tombstones; the statistics take in all.  Where ``about`` has
+    ``doc_id, entity_id, name, text`` for a scope, a hit carries its entity and a snippet.  Ties go to the smaller id.
     """
     found = None
     for name, (postings, lengths) in scopes.items():
         if scope not in ("all", name):
             continue
         scored = rank(match(postings, query), lengths)
-        total = scored.agg(F.count("*").alias("total"))
-        top = scored.orderBy(F.col("score").desc(), "doc_id").limit(limit).crossJoin(F.broadcast(total)).select(F.lit(name).alias("scope"), "doc_id", "score", "total")
+        if shown and name in shown:
+            scored = scored.join(shown[name].select("doc_id").hint("merge"), "doc_id", "left_semi")
+        scored = snapshot(scored)
+        top = with_total(scored.orderBy(F.col("score").desc(), "doc_id").limit(limit), scored).select(F.lit(name).alias("scope"), "doc_id", "score", "total")
+        if about:
+            known = about.get(name)
+            if known is None:
+                top = top.withColumns({"entity_id": F.lit(None).cast("bigint"), "name": F.lit(None).cast("string"), "snippet": F.lit(None).cast("string")})
+            else:
+                top = top.join(known.hint("merge"), "doc_id", "left").withColumn("snippet", snippet(F.col("text"), query)).drop("text")
+            top = top.select("scope", "doc_id", "score", "total", "entity_id", "name", "snippet")
         found = top if found is None else found.unionByName(top)
     return found
 
 
+def global_search(c: Corpus, query: str, scope: str = "all", limit: int = 20) -> DataFrame:
+    """Search over entities, articles and images of a corpus, each hit with its entity and a snippet.
+
+    Tombstones are neither hits nor in the total.  An article's entity is that with the lowest id.
+    """
+    def has(df: DataFrame, *names: str) -> list[str]:
+        return [k for k in names if k in df.columns]
+
+    aliases = c.aliases.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), " ").alias("alias_text"))
+    entities = c.entities.join(aliases.hint("merge"), F.expr("id = entity_id"), "left").drop("entity_id")
+    columns = {"entities": has(entities, "name", "alias_text", "summary", "birth_place", "death_place", "occupations", "employer"), "articles": has(c.articles, "title", "domain"), "images": has(c.images, "caption", "alt_text", "copyright")}
+    tables = {"entities": entities, "articles": c.articles, "images": c.images}
+    who = c.entities.select(F.col("id").alias("entity_id"), "name")
+    owner = {"entities": c.entities.select(F.col("id").alias("doc_id"), F.col("id").alias("entity_id")), "articles": c.links.groupBy(F.col("article_id").alias("doc_id")).agg(F.min("entity_id").alias("entity_id")), "images": c.images.select(F.col("id").alias("doc_id"), "entity_id")}
+    docs = {k: documents(df, columns[k]) for k, df in tables.items() if scope in ("all", k)}
+    scopes = {k: build_index(df) for k, df in docs.items()}
+    about = {k: df.select("doc_id", F.array_join("texts", " ").alias("text")).join(owner[k].hint("merge"), "doc_id", "left").join(who.hint("merge"), "entity_id", "left") for k, df in docs.items()}
+    return search(scopes, query, scope, limit, {"entities": live(c.entities).select(F.col("id").alias("doc_id"))}, about)
+
+
 def search_entities(entities: DataFrame, postings: DataFrame, lengths: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Live entities by relevance; tombstones drop after the match, so statistics include them."""
     scored = rank(match(postings, query), lengths).withColumnRenamed("doc_id", "id")
@@ -105,4 +148,4 @@ def refresh_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame, d
     """The index after the documents of ``changed(doc_id)`` changed, came or went; ``docs`` has all as they are now."""
     ids = changed.select("doc_id").distinct()
     new_postings, new_lengths = build_index(docs.join(ids, "doc_id", "left_semi"))
-    return postings.join(ids, "doc_id", "left_anti").unionByName(new_postings), lengths.join(ids, "doc_id", "left_anti").unionByName(new_lengths)
+    return postings.join(ids.hint("merge"), "doc_id", "left_anti").unionByName(new_postings), lengths.join(ids.hint("merge"), "doc_id", "left_anti").unionByName(new_lengths)

@@ -12,6 +12,7 @@ from ..functions.names import tokens
 from ..functions.rules import FLAG, flag_hypothesis
 from ..functions.vectors import cosine_distance
 from ..tables import snapshot
+from .filters import live
 
 #: Rows of a block in the all-pairs product.
 BLOCK_ROWS = 2048
@@ -73,23 +74,22 @@ def mark_duplicates(df: DataFrame, max_bits: int = 5, group: str = "entity_id",
     return folded.select(group, F.col("d.k").alias(key), F.col("d.of").isNotNull().alias("is_duplicate"), F.col("d.of").alias("duplicate_of"))
 
 
-def mark_duplicates_large(df: DataFrame, max_bits: int = 5, group: str = "entity_id", order: str = "scraped_at", key: str = "id", bits: str = "hash64", max_rounds: int = 200) -> DataFrame:
+def mark_duplicates_large(df: DataFrame, max_bits: int = 5, group: str = "entity_id", order: str = "scraped_at", key: str = "id", bits: str = "hash64") -> DataFrame:
     """:func:`mark_duplicates` over pairs, for groups of any size.
 
     Rounds: an item none of whose earlier neighbours is a leader or undecided becomes a leader, and the later
-    neighbours of leaders become duplicates, until all are decided.
+    neighbours of leaders become duplicates, until all are decided.  Each round decides the earliest open item at
+    least; a chain of n items takes about n rounds, and none is left undecided.
     """
     items = snapshot(df.filter(F.col(bits).isNotNull()).select(group, F.col(key).alias("id"), F.struct(order, key).alias("at"), F.col(bits).alias("hash64")))
     pairs = hamming_pairs(items, max_bits, group=group)
     at = items.select("id", "at")
-    both = pairs.join(at.toDF("a", "at_a"), "a").join(at.toDF("b", "at_b"), "b")
+    both = pairs.join(at.toDF("a", "at_a").hint("merge"), "a").join(at.toDF("b", "at_b").hint("merge"), "b")
     first = F.col("at_a") < F.col("at_b")
     edges = snapshot(both.select(
         F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"), F.least("at_a", "at_b").alias("early_at")))
     state = snapshot(items.select("id", F.lit("open").alias("state")))
-    for _ in range(max_rounds):
-        if not state.filter("state = 'open'").limit(1).count():
-            break
+    while state.filter("state = 'open'").limit(1).count():
         seen = edges.join(state.toDF("early", "s"), "early").groupBy(F.col("late").alias("id")).agg(
             F.max((F.col("s") == "leader").cast("int")).alias("near_leader"), F.max((F.col("s") == "open").cast("int")).alias("near_open"))
         # A duplicate's state is final only when a leader stands before it; an open neighbour may yet be one.
@@ -103,7 +103,7 @@ def mark_duplicates_large(df: DataFrame, max_bits: int = 5, group: str = "entity
 
 
 def diversity(df: DataFrame, group: str = "entity_id", bits: str = "hash64") -> DataFrame:
-    """Mean normalised distance of all pairs of a group's unique items, without making pairs.
+    """Mean normalised distance of all pairs of a group's items, without making pairs (A19; :func:`dedup_groups` gives it the unique ones).
 
     Each of the 64 bits adds ones x zeros to the sum of distances.  Below two items the score is 0.
     """
@@ -114,6 +114,17 @@ def diversity(df: DataFrame, group: str = "entity_id", bits: str = "hash64") ->
     return sums.select(group, "n", F.when(F.col("n") > 1, F.round(apart / (F.when(F.col("n") > 1, pairs) * 64), 4)).otherwise(0.0).alias("diversity"))
 
 
+def dedup_groups(df: DataFrame, marks: DataFrame, group: str = "entity_id", key: str = "id", bits: str = "hash64") -> DataFrame:
+    """What a deduplication of all groups found: ``items, uniques, duplicates`` and the diversity of the unique items.
+
+    ``marks`` are those of :func:`mark_duplicates`.  Below two items a group has no diversity, below two unique ones it is 0.
+    """
+    unique = marks.filter("not is_duplicate").select(F.col(key).alias("unique_id"))
+    score = diversity(df.join(unique.hint("merge"), F.expr(f"{key} = unique_id"), "left_semi"), group, bits).select(group, "diversity")
+    totals = marks.groupBy(group).agg(F.count("*").alias("items"), F.count_if(~F.col("is_duplicate")).alias("uniques"), F.count_if("is_duplicate").alias("duplicates"))
+    return totals.join(score.hint("merge"), group, "left").withColumn("diversity", F.when(F.col("items") > 1, F.col("diversity")))
+
+
 def audit(images: DataFrame, centroids: DataFrame, limit: float = 0.55) -> DataFrame:
     """Confirms or flags each image by its distance to its own entity's centroid, decisions of people aside (V4)."""
     open_rows = images.filter("vector is not null and not coalesce(association_status in ('manual', 'human_flagged'), false)")
@@ -162,18 +173,19 @@ def vector_pairs(vectors: DataFrame, limit: float, key: str = "id", vector: str
 def candidate_pairs(entities: DataFrame, limit: float = 0.45, least_images: int = 5) -> DataFrame:
     """Entities whose centroids are near, both with enough images and not of one knowledge-base id (V5).
 
-    ``entities(id, kb_id, image_count, centroid)``.  The one with more images is canonical, the lower id on a tie.
+    ``entities(id, kb_id, kb_status, image_count, centroid)``; tombstones, and rows without a status, take no part.  The one
+    with more images is canonical, the lower id on a tie.  Nearest pairs come first.
     """
-    rows = entities.filter(F.col("image_count") >= least_images)
+    rows = live(entities, strict=True).filter(F.col("image_count") >= least_images)
     pairs = vector_pairs(rows, limit)
     side = rows.select("id", "kb_id", "image_count")
-    met = pairs.join(side.toDF("a", "kb_a", "images_a"), "a").join(side.toDF("b", "kb_b", "images_b"), "b").filter("kb_a is null or kb_b is null or kb_a <> kb_b")
+    met = pairs.join(side.toDF("a", "kb_a", "images_a").hint("merge"), "a").join(side.toDF("b", "kb_b", "images_b").hint("merge"), "b").filter("kb_a is null or kb_b is null or kb_a <> kb_b")
     swap = F.col("images_b") > F.col("images_a")
     c, d = F.greatest("images_a", "images_b"), F.least("images_a", "images_b")
     reason = safe_auto(c, d, F.col("distance"))
     return met.select(
         F.when(swap, F.col("b")).otherwise(F.col("a")).alias("canonical_id"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("duplicate_id"),
-        F.round("distance", 4).alias("distance"), reason.isNull().alias("can_auto"), reason.alias("reason"))
+        F.round("distance", 4).alias("distance"), reason.isNull().alias("can_auto"), reason.alias("reason")).orderBy("distance", "canonical_id", "duplicate_id")
 
 
 def flagged_images(wide: DataFrame, limit: int = 50) -> DataFrame:

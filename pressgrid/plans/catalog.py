@@ -51,9 +51,9 @@ def p2_slug(c, read):
 
 
 @query("""select e.id, coalesce(a.alias, case when contains(e.name, ',') then trim(split_part(e.name, ',', 2)) || ' ' || trim(split_part(e.name, ',', 1)) end, e.name) as natural
-  from c_entities e left join (select entity_id, arg_min(alias, id) as alias from c_aliases where id % 7 = 1 group by 1) a on a.entity_id = e.id""")
+  from c_entities e left join (select entity_id, arg_min(alias, id) as alias from c_aliases group by 1) a on a.entity_id = e.id""")
 def p3_natural_name(c, read):
-    first = c.aliases.filter("id % 7 = 1").groupBy(F.col("entity_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    first = c.aliases.groupBy(F.col("entity_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "alias"))), lambda x: x["alias"]).alias("aliases"))
     return c.entities.join(first, "id", "left").select("id", N.natural_name(F.col("name"), F.col("aliases")).alias("natural"))
 
 
@@ -77,11 +77,17 @@ def p6_letter_filter(c, read):
     return read("documents").filter(N.in_letter(F.col("text"), "E")).select("doc_id")
 
 
-@query("select doc_id from documents where not regexp_matches(substr(text, 1, 1), '[A-Za-zÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ]')")
+@query("select doc_id from documents where not regexp_matches(substr(text, 1, 1), '[A-Za-zÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸ]')")
 def p6_letter_rest(c, read):
     return read("documents").filter(N.in_letter(F.col("text"), "#")).select("doc_id")
 
 
+@query("select id from c_entities where id % 3 = 0 or starts_with(name, 'Y') or starts_with(name, 'y')")
+def p6_letter_y(c, read):
+    named = c.entities.withColumn("name", F.when(F.col("id") % 6 == 0, F.concat(F.lit("Ÿ"), "name")).when(F.col("id") % 3 == 0, F.concat(F.lit("Ý"), "name")).otherwise(F.col("name")))
+    return named.filter(N.in_letter(F.col("name"), "Y")).select("id")
+
+
 @query("select id, case when contains(name, ',') then trim(split_part(name, ',', 2)) || ' ' || trim(split_part(name, ',', 1)) else name end as sort_key from c_entities")
 def p7_sort_key(c, read):
     return c.entities.select("id", N.sort_key(F.col("name")).alias("sort_key"))
@@ -596,14 +602,17 @@ def w7_ordered_members(c, read):
 REVIEW = """(select * from c_images where association_status in ('flagged', 'human_flagged') order by case when provider is null then 0 when provider <> 'feed' then 1 else 2 end, match_score desc nulls last, id limit 200)"""
 
 
-@query(f"select id, match_score from {REVIEW}")
+REVIEW_TOTAL = "(select count(*) from c_images where association_status in ('flagged', 'human_flagged')) as total"
+
+
+@query(f"select id, match_score, {REVIEW_TOTAL} from {REVIEW}")
 def t1_review_queue(c, read):
-    return T.review_queue(c.images, 500).select("id", "match_score")
+    return T.review_queue(c.images, 500).select("id", "match_score", "total")
 
 
-@query("select id from c_articles order by published_at desc nulls last, scraped_at desc nulls last, id limit 50 offset 100")
+@query("select id, (select count(*) from c_articles) as total from c_articles order by published_at desc nulls last, scraped_at desc nulls last, id limit 50 offset 100")
 def t2_article_page(c, read):
-    return T.article_page(c.articles, 50, 100).select("id")
+    return T.article_page(c.articles, 50, 100).select("id", "total")
 
 
 @query("select id, name from c_entities where kb_status is distinct from 'not_person' order by name, id limit 40 offset 10")
@@ -701,6 +710,22 @@ def m10_reassign(c, read):
     return L.apply_reassign(c.images, decisions).select("id", "entity_id", "association_status", "match_score")
 
 
+@query("""select e.id, count(i.id) as image_count, count(i.id) filter (where i.is_duplicate = false) as unique_image_count from c_entities e
+  left join (select id, is_duplicate, case when id % 5 = 0 then 2 else entity_id end as entity_id from c_images) i on i.entity_id = e.id group by 1""")
+def m10_reassign_counts(c, read):
+    decisions = c.images.filter("id % 5 = 0").select("id", F.lit(2).cast("bigint").alias("entity_id"))
+    return L.reassign(c, decisions).entities.select("id", "image_count", "unique_image_count")
+
+
+@query("""with gone as (select id from c_entities where id % 10 = 1 and kb_status is distinct from 'not_person')
+  select e.id, count(i.id) as image_count from c_entities e left join (select id, case when entity_id in (select id from gone) then 2 else entity_id end as entity_id from c_images) i on i.entity_id = e.id
+  where e.id not in (select id from gone) group by 1""".replace("with gone", "select * from (with gone", 1) + ")")
+def m9_merge_manual(c, read):
+    asked = c.entities.filter("id % 10 = 1").select(F.lit(2).cast("bigint").alias("canonical_id"), F.col("id").alias("duplicate_id"))
+    other = c.entities.filter("id = 3").select(F.col("id").alias("canonical_id"), F.explode(F.array(F.col("id"), F.lit(-7).cast("bigint"))).alias("duplicate_id"))
+    return resolve.merge_manual(c, asked.unionByName(other))[0].entities.select("id", "image_count")
+
+
 @query("select id, case when id in (select doc_id * 100 + 1 from labels where quality = 0) and (association_status is null or association_status not in ('flagged', 'human_flagged')) then 'human_flagged' else association_status end as association_status from c_images")
 def m11_flags(c, read):
     ids = read("labels").filter("quality = 0").select((F.col("doc_id") * 100 + 1).alias("id"))
@@ -825,6 +850,21 @@ def v2_mark_duplicates_large(c, read):
     return S.mark_duplicates_large(_hashed(read), 22)
 
 
+@query(f"select entity_id, count(*) as items, count(*) filter (where not is_duplicate) as uniques, count(*) filter (where is_duplicate) as duplicates from ({V2_SQL}) group by 1")
+def v3_dedup_totals(c, read):
+    rows = _hashed(read)
+    return S.dedup_groups(rows, S.mark_duplicates(rows, 22)).select("entity_id", "items", "uniques", "duplicates")
+
+
+UNIQUE = f"(select b.* from {BITS} b join ({V2_SQL}) v on v.id = b.id and not v.is_duplicate)"
+
+
+@query(f"select entity_id, count(*) as n, round(coalesce((select avg(hamming(x.b, y.b)) / 64 from {UNIQUE} x join {UNIQUE} y on x.id < y.id where x.entity_id = z.entity_id and y.entity_id = z.entity_id), 0), 4) as diversity from {UNIQUE} z group by 1")
+def a19_diversity_unique(c, read):
+    rows = _hashed(read)
+    return S.dedup_groups(rows, S.mark_duplicates(rows, 22)).select("entity_id", F.col("uniques").alias("n"), "diversity")
+
+
 @query()
 def v3_dedup_documents(c, read):
     docs = read("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("entity_id"), F.col("doc_id").alias("scraped_at"), "text")
@@ -843,18 +883,18 @@ def v4_audit(c, read):
 V5_SQL = """select case when s then b else a end as canonical_id, case when s then a else b end as duplicate_id, round(d, 4) as distance, why is null as can_auto, why as reason from (
   select a, b, d, nb > na as s, case when d > 0.2 then 'distance' when greatest(na, nb) > 0 and (na + nb) / greatest(na, nb)::double > 1.5 then 'growth' end as why from (
     select a.vec_id as a, b.vec_id as b, a.vec_id * 7 % 40 as na, b.vec_id * 7 % 40 as nb, 1 - list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * b.embedding[i]::double)) as d
-    from embeddings a join embeddings b on a.vec_id < b.vec_id and (a.label % 5 = 0 or b.label % 5 = 0 or a.label <> b.label) where a.vec_id * 7 % 40 >= 5 and b.vec_id * 7 % 40 >= 5) where d <= 0.65)"""
+    from embeddings a join embeddings b on a.vec_id < b.vec_id and (a.label % 5 = 0 or b.label % 5 = 0 or a.label <> b.label) where a.vec_id * 7 % 40 >= 5 and b.vec_id * 7 % 40 >= 5 and a.vec_id % 9 <> 4 and b.vec_id % 9 <> 4) where d <= 0.65)"""
 
 
 @query(V5_SQL)
 def v5_v6_candidate_pairs(c, read):
-    rows = read("embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 5 > 0, F.concat(F.lit("Q"), F.col("label").cast("string"))).alias("kb_id"), (F.col("vec_id") * 7 % 40).alias("image_count"), F.col("embedding").alias("centroid"))
+    rows = read("embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 5 > 0, F.concat(F.lit("Q"), F.col("label").cast("string"))).alias("kb_id"), F.when(F.col("vec_id") % 9 == 4, "not_person").otherwise("done").alias("kb_status"), (F.col("vec_id") * 7 % 40).alias("image_count"), F.col("embedding").alias("centroid"))
     return S.candidate_pairs(rows, 0.65)
 
 
 @query()
 def m8_plan_centroid_merges(c, read):
-    rows = read("embeddings").select(F.col("vec_id").alias("id"), F.lit(None).cast("string").alias("kb_id"), F.lit(10).alias("image_count"), F.col("embedding").alias("centroid"))
+    rows = read("embeddings").select(F.col("vec_id").alias("id"), F.lit(None).cast("string").alias("kb_id"), F.lit("done").alias("kb_status"), F.lit(10).alias("image_count"), F.col("embedding").alias("centroid"))
     pairs = S.candidate_pairs(rows, 0.65).withColumn("can_auto", F.lit(True))
     return resolve.plan_centroid_merges(pairs, 0.65)
 
@@ -909,6 +949,18 @@ def x5_x6_search(c, read):
     return X.search(scopes, "thea he", "documents").withColumn("score", F.round("score", 6))
 
 
+@query("""select 'entities' as scope, count(*) as total from c_entities where kb_status is distinct from 'not_person' and regexp_matches(lower(name), 'nation1')
+  union all select 'articles', count(*) from c_articles where regexp_matches(title, 'Order 1') or starts_with(domain, '1') union all select 'images', count(*) from c_images where regexp_matches(caption, '^Portrait')""")
+def x5_totals(c, read):
+    found = [X.global_search(c, q, scope, 5).groupBy("scope").agg(F.max("total").alias("total")) for scope, q in (("entities", "nation1"), ("articles", "order 1"), ("images", "PORTRAIT"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("select 'entities' as scope, id as doc_id, id as entity_id, name from c_entities where kb_status is distinct from 'not_person' and regexp_matches(lower(name), 'nation1')")
+def x6_hits_with_entity(c, read):
+    return X.global_search(c, "nation1", "entities", 1_000_000).filter("snippet like '%<mark>Nation1%'").select("scope", "doc_id", "entity_id", "name")
+
+
 @query("select id, name from c_entities where kb_status is distinct from 'not_person' and regexp_matches(lower(name), 'nation1')")
 def x7_search_entities(c, read):
     postings, lengths = _scope(X.documents(c.entities, ["name", "summary"]))
@@ -941,6 +993,18 @@ def k1_business_events(c, read):
     return K.business_events(c.events, EVENTS_AS_OF)
 
 
+@query(f"""select loop, strftime(max(ts) filter (where kind = 'success'), '%Y-%m-%d %H:%M:%S') as last_success, strftime(max(ts) filter (where kind = 'error'), '%Y-%m-%d %H:%M:%S') as last_error, max(ts) < timestamp '{EVENTS_AS_OF}' - interval 10 minute as stale
+  from c_events where loop is not null and kind in ('success', 'error') and ts <= timestamp '{EVENTS_AS_OF}' group by 1""")
+def k2_liveness(c, read):
+    text = lambda k: F.date_format(k, "yyyy-MM-dd HH:mm:ss").alias(k)
+    return K.liveness_at(c.events, EVENTS_AS_OF).select("loop", text("last_success"), text("last_error"), "stale")
+
+
+@query("select coalesce(scrape_status, 'none') as outcome, count(*) as n from c_images group by 1")
+def a21_ingest_summary(c, read):
+    return A.ingest_summary(c.images.select(F.coalesce("scrape_status", F.lit("none")).alias("outcome")))
+
+
 @query(f"select event_id from c_events where ts >= timestamp '{EVENTS_AS_OF}' - interval 7 day")
 def k3_retain(c, read):
     return K.retain(c.events, EVENTS_AS_OF).select("event_id")
@@ -1005,7 +1069,7 @@ def r4_gallery_unique(c, read):
     return reports.gallery(c, 3, unique_only=True).select("id", "pose", "filtered")
 
 
-@query(f"select p.id, p.title, p.published_at::varchar as published_at, n.entities, n.images from (select * from c_articles where id in (select article_id from c_links where entity_id = 3) and domain = '1-URGENT' order by published_at desc nulls last, scraped_at desc nulls last, id limit 50) p join {ARTICLE_COUNTS} n on n.id = p.id")
+@query(f"select p.id, p.title, p.published_at::varchar as published_at, (select count(*) from c_articles where id in (select article_id from c_links where entity_id = 3) and domain = '1-URGENT') as total, n.entities, n.images from (select * from c_articles where id in (select article_id from c_links where entity_id = 3) and domain = '1-URGENT' order by published_at desc nulls last, scraped_at desc nulls last, id limit 50) p join {ARTICLE_COUNTS} n on n.id = p.id")
 def r5_article_list(c, read):
     return reports.article_list(c, 3, "1-URGENT").withColumn("published_at", F.col("published_at").cast("string"))
 
@@ -1016,7 +1080,7 @@ def r6_article_detail(c, read):
     return reports.article_detail(c, 7)
 
 
-@query(f"select id, entity_id, association_status, case association_status when 'human_flagged' then 'human' else 'automatic' end as origin, match_score from {REVIEW} limit 50")
+@query(f"select id, entity_id, association_status, case association_status when 'human_flagged' then 'human' else 'automatic' end as origin, match_score, {REVIEW_TOTAL} from {REVIEW} limit 50")
 def r7_review_queue(c, read):
     return reports.review_queue(c)
 
@@ -1047,6 +1111,11 @@ def r11_visibility(c, read):
     return reports.visibility(c, 3)
 
 
+@query("select distinct title from c_articles where id in (select article_id from c_links where entity_id = 3) and title is not null order by title limit 50")
+def r11_titles(c, read):
+    return reports.visibility_report(c, 3)["titles"]
+
+
 @query(f"""select 'surname' as category, surname as key, array_to_string(members, ',') as members from {SURNAMES}
   union all select * from (select 'kb_id', kb_id, array_to_string(list(id order by image_count desc, name, id), ',') from c_entities where kb_id is not null and kb_status is distinct from 'not_person' group by 2 having count(*) > 1 order by 2 limit 30)
   union all select * from (select 'alias', collision_on, first_id || ',' || second_id from ({J14_SQL}) order by collision_on, first_id limit 30)""")

@@ -49,7 +49,7 @@ def article_list(c: Corpus, entity_id: int | None = None, domain: str | None = N
     rows = c.articles if entity_id is None else articles_of(c, entity_id)
     rows = where_domain(rows, domain) if domain else rows
     page = P.article_page(date_range(rows, low, high), limit, offset)
-    return page.select("id", "title", "published_at").join(A.article_counts(c, page), "id")
+    return page.select("id", "title", "published_at", "total").join(A.article_counts(c, page), "id")
 
 
 def article_detail(c: Corpus, article_id: int) -> DataFrame:
@@ -63,7 +63,7 @@ def article_detail(c: Corpus, article_id: int) -> DataFrame:
 
 def review_queue(c: Corpus, limit: int = 50) -> DataFrame:
     """The review queue with the origin of each flag."""
-    return P.review_queue(c.images, limit).select("id", "entity_id", "association_status", flag_origin(F.col("association_status")).alias("origin"), "match_score")
+    return P.review_queue(c.images, limit).select("id", "entity_id", "association_status", flag_origin(F.col("association_status")).alias("origin"), "match_score", "total")
 
 
 def entity_profile(c: Corpus) -> DataFrame:
@@ -104,6 +104,12 @@ def visibility(c: Corpus, entity_id: int, titles: int = 50) -> DataFrame:
     return A.media_timeline(c, "month", entity_id).crossJoin(F.broadcast(some)).crossJoin(F.broadcast(unique))
 
 
+def visibility_report(c: Corpus, entity_id: int, titles: int = 50) -> dict[str, DataFrame]:
+    """The parts of the visibility report: the entity's profile, its monthly timeline, and its titles by name."""
+    own = articles_of(c, entity_id).filter("title is not null").select("title").distinct().orderBy("title").limit(titles)
+    return {"profile": entity_profile(c).filter(F.col("entity_id") == entity_id), "timeline": visibility(c, entity_id, titles), "titles": own}
+
+
 def duplicate_candidates(c: Corpus, limit: int = 30) -> DataFrame:
     """Same knowledge-base id, same surname, colliding alias: three categories in one table."""
     kb = A.ordered_members(live(c.entities).filter("kb_id is not null"), "kb_id").filter("size(members) > 1").orderBy("kb_id").limit(limit)

@@ -7,8 +7,11 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.aggregates import last_run
+from ..operators.aggregates import ingest_summary, last_run
 from ..operators.joins import resolve_mentions
+from ..operators.lifecycle import upsert_articles, upsert_entities, upsert_links
+from ..schema import Corpus
+from ..tables import snapshot
 
 
 def job_health(events: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
@@ -48,11 +51,12 @@ def liveness(events: DataFrame, stale_after: str = "10 minutes") -> DataFrame:
             yield pd.DataFrame([(key[0], ok, bad, summary, True)], columns=["loop", "last_success", "last_error", "last_summary", "stale"])
             return
         for f in frames:
-            for ts, kind, text in zip(f["ts"], f["kind"], f["summary"]):
-                if kind == "success" and (ok is None or ts >= ok):
-                    ok, summary = ts, text
-                elif kind == "error" and (bad is None or ts > bad):
-                    bad = ts
+            good, failed = f[f["kind"] == "success"], f[f["kind"] == "error"]
+            if len(good) and (ok is None or good["ts"].max() >= ok):
+                newest = good["ts"].idxmax()
+                ok, summary = good["ts"][newest], good["summary"][newest]
+            if len(failed):
+                bad = failed["ts"].max() if bad is None else max(bad, failed["ts"].max())
         state.update((ok, bad, summary))
         newest = max(x for x in (ok, bad) if x is not None)
         at = int(newest.timestamp() * 1000) + limit_ms
@@ -63,6 +67,35 @@ def liveness(events: DataFrame, stale_after: str = "10 minutes") -> DataFrame:
     return timed.groupBy("loop").applyInPandasWithState(update, LIVENESS, "last_success timestamp, last_error timestamp, last_summary string", "update", "EventTimeTimeout")
 
 
+def liveness_at(events: DataFrame, as_of: str, stale_after: str = "10 minutes") -> DataFrame:
+    """:func:`liveness` of a table of events at a moment: a loop whose newest event is older than the limit is stale (K2).
+
+    A stream's watermark rests while no events come; this form tells a silent corpus too.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    rows = events.filter(F.col("loop").isNotNull() & F.col("kind").isin("success", "error") & (F.col("ts") <= now))
+    good = F.when(F.col("kind") == "success", F.col("ts"))
+    found = rows.groupBy("loop").agg(F.max(good).alias("last_success"), F.max(F.when(F.col("kind") == "error", F.col("ts"))).alias("last_error"), F.max_by("summary", good).alias("last_summary"), F.max("ts").alias("newest"))
+    return found.withColumn("stale", F.col("newest") < now - F.expr(f"interval {stale_after}")).drop("newest")
+
+
+def ingest(batch: DataFrame, corpus: Corpus, as_of: str, source: str = "feed") -> tuple[Corpus, DataFrame]:
+    """One batch of articles ``url, title, published_at, scraped_at, domain, persons array<string>`` into the corpus (K4).
+
+    Persons become entities (M1), new URLs articles (M2) and both links (M3); known URLs only get links.  The
+    summary is that of A21.  To be called from ``foreachBatch``, with the corpus read anew for each batch.
+    """
+    rows = snapshot(batch)
+    named = rows.select(F.explode("persons").alias("raw_name"), F.lit(source).alias("source")).filter("raw_name <> ''").distinct()
+    entities, aliases, owners = map(snapshot, upsert_entities(named, corpus.entities, corpus.aliases, as_of))
+    known = corpus.articles.select("url")
+    outcomes = rows.select("url").distinct().join(known.withColumn("had", F.lit(True)).hint("merge"), "url", "left").select(F.when(F.col("had"), "already").otherwise("new").alias("outcome"))
+    articles = snapshot(upsert_articles(rows.drop("persons"), corpus.articles))
+    met = rows.select("url", F.explode("persons").alias("raw_name")).join(articles.select("url", F.col("id").alias("article_id")).hint("merge"), "url")
+    links = upsert_links(met.join(owners.hint("merge"), "raw_name").select("article_id", "entity_id").distinct(), corpus.links)
+    return corpus.with_(entities=entities, aliases=aliases, articles=articles, links=links), ingest_summary(outcomes)
+
+
 def retain(events: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """Events of the last days, the boundary included (K3)."""
     return events.filter(F.col("ts") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {days} days"))

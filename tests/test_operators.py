@@ -229,3 +229,97 @@ def test_new_articles(spark, corpus, tmp_path):
     stream = spark.readStream.schema(rows_.schema).parquet(str(tmp_path / "in"))
     K.run_available(K.new_articles(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_long_chain_is_decided_whole(spark):
+    """Each item is near its neighbours alone: every second one is a duplicate, however many rounds that takes."""
+    data, h = [], 0
+    for i in range(24):
+        data.append((i, 1, i, h if h < 1 << 63 else h - (1 << 64)))
+        h ^= 0b111 << (i * 2 % 62)
+    df = spark.createDataFrame(data, "id bigint, entity_id bigint, scraped_at bigint, hash64 bigint")
+    cols = ("id", "is_duplicate", "duplicate_of")
+    want = rows(S.mark_duplicates(df, 3), *cols)
+    assert [str(r) for r in rows(S.mark_duplicates_large(df, 3), *cols)] == [str(r) for r in want] and 5 < sum(r[1] for r in want) < 24
+
+
+def test_dedup_of_groups(spark):
+    data = [(1, 1, 0), (2, 1, 1), (3, 1, (1 << 20) - 1), (4, 2, 5), (5, 3, 7), (6, 3, 7)]
+    df = spark.createDataFrame([(i, g, i, h) for i, g, h in data], "id bigint, entity_id bigint, scraped_at bigint, hash64 bigint")
+    got = {r["entity_id"]: (r["items"], r["uniques"], r["duplicates"], r["diversity"]) for r in S.dedup_groups(df, S.mark_duplicates(df)).collect()}
+    assert got == {1: (3, 2, 1, round(20 / 64, 4)), 2: (1, 1, 0, None), 3: (2, 1, 1, 0.0)}
+
+
+def test_candidates_leave_tombstones_out(spark):
+    v = [[1.0, 0.0], [1.0, 0.0], [0.99, 0.141], [1.0, 0.0]]
+    df = spark.createDataFrame([(i, None, s, 10, x) for i, (s, x) in enumerate(zip(["done", "done", "done", "not_person"], v))], "id bigint, kb_id string, kb_status string, image_count bigint, centroid array<double>")
+    got = [(r["canonical_id"], r["duplicate_id"]) for r in S.candidate_pairs(df).collect()]
+    assert got[0] == (0, 1) and len(got) == 3 and all(3 not in p for p in got)
+
+
+def test_centroids_are_reset(spark, corpus):
+    decisions = spark.createDataFrame([(100, 2), (101, 2)], "id bigint, entity_id bigint")
+    after = L.reassign(corpus, decisions)
+    assert rows(after.entities, "id", "image_count") == [(1, 0), (2, 3), (3, 0)]
+    assert {r["id"] for r in after.entities.filter("centroid is null").collect()} >= {1, 2}
+    split = resolve.split_entity(corpus, 2, [(1, ["Bob"], [])], [])
+    assert {r["id"] for r in split.entities.filter("centroid is null").collect()} >= {1, 2}
+
+
+def test_manual_merges(spark, corpus):
+    after, said = resolve.merge_manual(corpus, spark.createDataFrame([(1, 2), (1, 3), (1, 1), (1, 9)], "canonical_id bigint, duplicate_id bigint"))
+    assert [str(x) for x in rows(said, "duplicate_id", "refusal")] == ["(1, 'same')", "(2, None)", "(3, 'tombstone')", "(9, 'unknown')"]
+    assert rows(after.entities, "id", "image_count") == [(1, 3), (3, 0)]
+
+
+def test_global_search(spark, corpus):
+    got = X.global_search(corpus, "lovelace", "entities").collect()
+    assert [(r["doc_id"], r["entity_id"], r["total"]) for r in got] and all("<mark>Lovelace" in r["snippet"] for r in got)
+    assert X.global_search(corpus, "orchid", "entities").count() == 0  # a tombstone
+    images = X.global_search(corpus, "ada bob", "images").collect()
+    assert [(r["doc_id"], r["entity_id"], r["name"]) for r in images] == [(101, 2, "Lovelace")]
+    assert {r["scope"] for r in X.global_search(corpus, "ada").collect()} == {"entities", "images"}
+
+
+def test_liveness_at(spark, event_log):
+    events = feeds.read_events(spark, event_log[1])
+    newest = events.filter("loop is not null and kind in ('success', 'error')").agg(F.max("ts")).first()[0]
+    soon, late = str(newest + datetime.timedelta(minutes=1)), str(newest + datetime.timedelta(hours=100))
+    assert not all(r["stale"] for r in K.liveness_at(events, soon).collect())
+    assert all(r["stale"] for r in K.liveness_at(events, late).collect())
+    assert K.liveness_at(events, str(newest - datetime.timedelta(days=4000))).count() == 0
+
+
+def test_ingest_from_a_stream(spark, corpus, tmp_path):
+    """Batches of a stream go through M1 to M3; what is known only gets links."""
+    feed = spark.createDataFrame([
+        ("u10", "again", datetime.date(2026, 1, 1), datetime.datetime(2026, 1, 2), "d", ["Grace Hopper"]), ("u99", "new", None, datetime.datetime(2026, 1, 3), "d", ["Grace Hopper", "Orchid", ""])],
+        "url string, title string, published_at date, scraped_at timestamp_ntz, domain string, persons array<string>")
+    feed.coalesce(1).write.parquet(str(tmp_path / "feed"))
+    state = {"corpus": corpus}
+
+    def work(batch, number):
+        state["corpus"], state["summary"] = K.ingest(batch, state["corpus"], "2026-01-04")
+
+    stream = K.new_articles(spark.readStream.schema(feed.schema).parquet(str(tmp_path / "feed"))).withColumn("scraped_at", F.col("scraped_at").cast("timestamp_ntz"))
+    assert K.run_cycle(stream, work, str(tmp_path / "checkpoint")) == 1
+    after = state["corpus"]
+    assert sorted(r["slug"] for r in after.entities.collect()) == ["hopper-grace", "lovelace", "lovelace-ada", "orchid"]
+    grace, u99 = after.entities.filter("slug = 'hopper-grace'").first()["id"], after.articles.filter("url = 'u99'").first()["id"]
+    assert rows(after.links.filter(F.col("entity_id") == grace), "article_id", "entity_id") == sorted([(10, grace), (u99, grace)])
+    assert after.links.filter("entity_id = 3").count() == 0
+    assert {r["outcome"]: r["n"] for r in state["summary"].collect()} == {"already": 1, "new": 1}
+
+
+def test_recheck_and_label_ids(spark, corpus):
+    facts = {"P31": ["Q43229"], "P27": ["Q30", "Q145"], "P19": ["Q84"], "P106": ["Q30"], "P108": []}
+    kb = spark.createDataFrame([("Q1", json.dumps(facts))], "kb_id string, text string").selectExpr("kb_id", "from_json(text, 'map<string,array<variant>>') as statements")
+    after = L.recheck(corpus, kb)
+    assert {r["id"]: r["kb_status"] for r in after.entities.collect()} == {1: "not_person", 2: "not_person", 3: "not_person"}
+    assert after.images.count() == 0
+    assert kb.select(L.label_ids(F.col("statements"))).first()[0] == ["Q84", "Q30", "Q145"]
+
+
+def test_resolved_mentions(spark, corpus):
+    mentions = spark.createDataFrame([("Ada Lovelace", "x"), ("Orchid", "x"), ("Nobody Known", "x")], "raw_name string, source string")
+    assert rows(K.resolved_stream(mentions, corpus.entities, corpus.aliases), "raw_name", "outcome") == [("Ada Lovelace", "slug"), ("Nobody Known", "new")]
