@@ -16,19 +16,13 @@ def full_hash(text: Column) -> Column:
     return F.sha2(normalized(text), 256)
 
 
-def _marks(text: Column, prefix_chars: int) -> list[Column]:
-    """Length without white space, and the hash of the first characters."""
-    bare = normalized(text)
-    return [F.char_length(bare).alias("length"), F.xxhash64(F.substring(bare, 1, prefix_chars)).alias("prefix")]
-
-
-def _refined(docs: DataFrame, prefix_chars: int) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, length, prefix`` of every row, and the pairs of length and prefix that several rows share.
+def _refined(docs: DataFrame, keys: list[str], prefix_chars: int) -> tuple[DataFrame, DataFrame]:
+    """The ``keys``, ``length`` and ``prefix`` of every row, and the pairs of length and prefix that several rows share.
 
     Lengths are few, so the first refinement is a broadcast filter and no shuffle by length.
     """
-    bare = docs.select("doc_id", normalized(F.col("text")).alias("bare"))
-    marks = materialize(bare.select("doc_id", F.char_length("bare").alias("length"), F.xxhash64(F.substring("bare", 1, prefix_chars)).alias("prefix")))
+    bare = docs.select(*keys, normalized(F.col("text")).alias("bare"))
+    marks = materialize(bare.select(*keys, F.char_length("bare").alias("length"), F.xxhash64(F.substring("bare", 1, prefix_chars)).alias("prefix")))
     lengths = materialize(marks.groupBy("length").agg(F.count("*").alias("n")).filter("n > 1").select("length"))
     same_length = marks.join(sided(lengths), "length", "left_semi")
     return marks, materialize(same_length.groupBy("length", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("length", "prefix"))
@@ -41,19 +35,25 @@ def without_duplicates(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
     of rows equal throughout, one.  Null text is an empty text.  Rows whose length or prefix no other has are
     never hashed in full and never shuffled.  An empty table gives no rows.
     """
-    _, prefixes = _refined(docs, prefix_chars)
     names = {k: f"column {i}" for i, k in enumerate(docs.columns)}
-    text = F.col(f"`{names['text']}`")
-    rows = docs.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()]).select("*", *_marks(text, prefix_chars), *row_key(docs.toDF(*names.values())))
-    found = rows.join(sided(prefixes.select(F.col("length").alias("l"), F.col("prefix").alias("p"), F.lit(True).alias("met"))), F.expr("length = l and prefix = p"), "left")
     back = [F.col(f"`{v}`").alias(k) for k, v in names.items()]
-    alone = found.filter("met is null").select(*back)
-    some = found.filter("met").withColumn("print", full_hash(text))
-    doc_id = F.col(f"`{names['doc_id']}`")
-    place = F.struct((-F.char_length(F.coalesce(text.cast("string"), F.lit("")))).alias("c"), doc_id.isNull().alias("u"), doc_id.alias("d"), F.col("r1"), F.col("r2"))
-    best = materialize(some.groupBy("print").agg(F.min(place).alias("best")).select(F.col("print").alias("its_print"), "best"))
-    stay = some.join(best.hint("merge"), F.expr("print = its_print")).filter(F.col("best").eqNullSafe(place))
-    return alone.unionByName(stay.dropDuplicates(["print"]).select(*back))
+    rows = docs.toDF(*names.values())
+    rows = rows.select("*", *row_key(rows))
+    plain = rows.select(F.col(f"`{names['doc_id']}`").alias("doc_id"), F.col(f"`{names['text']}`").cast("string").alias("text"), "r1", "r2")
+    marks, prefixes = _refined(plain, ["r1", "r2"], prefix_chars)
+    left = materialize(marks.join(sided(prefixes), ["length", "prefix"], "left_semi").groupBy("r1", "r2").agg(F.count("*").alias("rows")))
+
+    # Rows are told apart by a hash of all their columns; of those left, texts are read again for a full hash.
+    asked = plain.join(sided(left.select(F.col("r1").alias("l1"), F.col("r2").alias("l2"))), F.expr("r1 = l1 and r2 = l2"), "left_semi")
+    place = F.struct((-F.char_length(F.coalesce("text", F.lit("")))).alias("c"), F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("r1"), F.col("r2"))
+    hashed = materialize(asked.select("r1", "r2", full_hash(F.col("text")).alias("print"), place.alias("place")))
+    best = hashed.groupBy("print").agg(F.min("place").alias("best")).select("best.r1", "best.r2")
+    stays = left.join(best.hint("merge"), ["r1", "r2"], "left_semi").filter("rows > 1").select("r1", "r2", F.lit(True).alias("repeated"))
+    goes = left.join(best.hint("merge"), ["r1", "r2"], "left_anti").select("r1", "r2", F.lit(False).alias("repeated"))
+    told = materialize(stays.unionByName(goes).select(F.col("r1").alias("t1"), F.col("r2").alias("t2"), "repeated"))
+    found = rows.join(sided(told), F.expr("r1 = t1 and r2 = t2"), "left")
+    once = found.filter("repeated").dropDuplicates(["r1", "r2"])
+    return found.filter("repeated is null").unionByName(once).select(*back)
 
 
 def exact_duplicates(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
@@ -69,7 +69,7 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
     one in group_size.  An empty table gives no groups.
     """
     text = F.col("text").cast("string")
-    marks, prefixes = _refined(docs, prefix_chars)
+    marks, prefixes = _refined(docs, ["doc_id"], prefix_chars)
     left = materialize(marks.join(sided(prefixes), ["length", "prefix"], "left_semi").select("doc_id").distinct())
     full = docs.select("doc_id", text.alias("text")).join(sided(left.withColumnRenamed("doc_id", "left_id")), F.expr("doc_id <=> left_id"), "left_semi")
     hashed = full.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), full_hash(F.col("text")).alias("full_hash"))
