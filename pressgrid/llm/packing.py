@@ -19,7 +19,7 @@ from .common import materialize, sided
 SEQUENCE = 2048
 END_ID = 0
 #: Entries that a task's table of known words holds at most; words beyond are encoded each time.
-KNOWN_WORDS = 240_000
+KNOWN_WORDS = 100_000
 #: Steps of the least-squares fit at most; what the fit leaves is packed best-fit, so nothing is lost where they end it.
 FIT_STEPS = 1500
 
