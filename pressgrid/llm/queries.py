@@ -15,7 +15,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2).drop("text_key")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
