@@ -11,38 +11,47 @@ from .common import table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document; nulls, repeats and empty tables as in toxicity.toxicity."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents on two-word shingles; odd rows as in minhash.near_duplicates."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2).drop("text_key")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through an archive and back, a row each; odd rows as in warc.archive_round_trip."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision for every document; odd rows as in exact_dedup.deduplicate."""
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all pieces of all documents; odd rows as in packing.pack."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every line of all documents; odd rows as in fuzzy_lines.fuzzy_lines."""
     return fuzzy_lines.fuzzy_lines(table(spark, sf_dir, "documents"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out; odd rows as in langid.language_of."""
     return langid.language_of(table(spark, sf_dir, "documents"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every fiftieth one; odd rows as in topk.top_k."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; odd rows as in mixing.mix."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
@@ -53,6 +62,7 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page; odd rows as in url_filter.filter_urls."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), page_labels(spark, sf_dir)).drop("confidence")
 
 
