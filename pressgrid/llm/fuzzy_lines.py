@@ -1,20 +1,25 @@
-"""Near-duplicate lines by MinHash over character shingles, with DataFrame functions alone."""
+"""Near-duplicate lines by MinHash over character shingles.
+
+Signatures and exact similarities are taken in numpy, batch by batch; all grouping and joining is Spark's.
+"""
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize, sided
 from .graph import connected_components
+from .shingles import chunks, hashes, sets
 
 #: White space at a line's ends besides blanks.
 OTHER_BLANKS = "\t\x0b\x0c\r"
 #: Coordinates come in three groups of ``TURNS``; a band takes one of each group.
 GROUPS, TURNS = 3, 5
-#: Shingles that a row of the signature scan holds.
-BLOCK = 8
 #: Coordinates that lines of a pair must agree on at least; at a similarity of 0.8 fewer agree with a chance of 0.0001.
 AGREE = 6
 #: Numbers of 64 bits in the bitmap of what a line has or lacks against its leader.
@@ -40,49 +45,47 @@ def _keyed(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"k1": F.xxhash64("line"), "k2": F.hash("line")})
 
 
-def _points(line: Column) -> Column:
-    """Two bytes for each character (four for those beyond the basic plane), so that a shingle is cut out in constant time."""
-    return F.encode(line, "UTF-16BE")
+def bands(count: int) -> list[tuple[int, ...]]:
+    """Which coordinate of each group a band takes: no two bands share more than one, so few coordinates serve many bands."""
+    return [tuple((k + g * (k // TURNS)) % TURNS for g in range(GROUPS)) for k in range(count)]
 
 
-def _last(points: Column, width: int) -> Column:
-    """Where the last shingle begins in the points, counted in bytes from 1."""
-    return (F.greatest(F.octet_length(points) - 2 * width, F.lit(0)) + 1).cast("int")
+def _constants(seed: int) -> list[list[int]]:
+    """What the coordinates of each group are turned with; those of a group begin with different bits, so that few shingles decide two."""
+    rng = random.Random(seed)
+    return [[(begin << 29 | rng.getrandbits(29)) - (1 << 31) for begin in rng.sample(range(8), TURNS)] for _ in range(GROUPS)]
 
 
-def _shingle_set(line: Column, width: int) -> Column:
-    """Different shingles of a line; the list of one binds the points, which would else be made anew for each shingle."""
-    return F.transform(
-        F.array(_points(line)),
-        lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), _last(p, width), F.lit(2)), lambda i: F.xxhash64(F.substring(p, i, F.lit(2 * width))))))[0]
+def _sign(width: int, seed: int):
+    """Signatures over all shingles of each line of a batch; a long line comes in pieces, a row each."""
+    constants = _constants(seed)
 
+    def run(batches):
+        for batch in batches:
+            names = pd.DataFrame({"k1": batch.column("k1").to_numpy(), "k2": batch.column("k2").to_numpy()})
+            new = ~names.duplicated().to_numpy()
+            names = names[new].to_numpy()
+            for part in chunks(batch.column("line").filter(pa.array(new)).to_pylist(), width):
+                found, begins = hashes([piece for _, piece in part], width)
+                rows = names[[i for i, _ in part]]
+                least = []
+                for g in range(GROUPS):
+                    word = (found >> np.uint64(32 - 16 * g)).astype(np.uint32).view(np.int32)
+                    least += [np.minimum.reduceat(word ^ np.int32(c), begins) for c in constants[g]]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), *[pa.array(x) for x in least]], names=["k1", "k2", *COORDINATES])
 
-def bands(count: int) -> list[tuple[int, ...]]:
-    """Which coordinate of each group a band takes: no two bands share more than one, so few coordinates serve many bands."""
-    return [tuple((k + g * (k // TURNS)) % TURNS for g in range(GROUPS)) for k in range(count)]
+    return run
 
 
 def _signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """``k1, k2`` and the coordinates of a signature over all shingles, for each different line.
 
     A shingle's hash is cut into three numbers of 32 bits, one for each group of coordinates.  A coordinate is the
-    minimum after XOR with its constant, a permutation of these numbers; constants of a group begin with
-    different bits, so that few shingles decide two coordinates.  A row of the scan holds several shingles (the
-    last one is repeated at a line's end, which changes no minimum): they share the look-up of their line.
+    minimum after XOR with its constant, a permutation of these numbers.
     """
-    lines = _keyed(lines_of(docs)).select("k1", "k2", _points(F.col("line")).alias("points"))
-    lines = lines.select("k1", "k2", "points", _last(F.col("points"), width).alias("last"))
-    blocks = lines.select("k1", "k2", "points", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * BLOCK))).alias("at"))
-    place = [F.expr(f"if(at + {2 * j} > last, last, at + {2 * j})") for j in range(BLOCK)]
-    hashed = blocks.select("k1", "k2", *[F.xxhash64(F.substring("points", p, F.lit(2 * width))).alias(f"x{j}") for j, p in enumerate(place)])
-    words = hashed.select("k1", "k2", *[
-        F.shiftright(F.shiftleft(f"x{j}", 16 * g), 32).cast("int").alias(f"x{j}_{g}") for j in range(BLOCK) for g in range(GROUPS)])
-    rng, least = random.Random(seed), []
-    for g in range(GROUPS):
-        for turn, begin in enumerate(rng.sample(range(8), TURNS)):
-            constant = (begin << 29 | rng.getrandbits(29)) - (1 << 31)
-            least.append(F.min(F.least(*[F.col(f"x{j}_{g}").bitwiseXOR(F.lit(constant)) for j in range(BLOCK)])).alias(COORDINATES[g * TURNS + turn]))
-    return words.groupBy("k1", "k2").agg(*least)
+    lines = _keyed(lines_of(docs)).select("k1", "k2", "line")
+    signed = lines.mapInArrow(_sign(width, seed), ", ".join(["k1 bigint", "k2 int", *[f"{c} int" for c in COORDINATES]]))
+    return signed.groupBy("k1", "k2").agg(*[F.min(c).alias(c) for c in COORDINATES])
 
 
 def _bucket_keys(count: int) -> Column:
@@ -101,38 +104,51 @@ def _joined(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
 
-def _sets(width: int) -> Column:
-    """A list of one pair of shingle sets: exploded, each set is made once."""
-    return F.array(F.struct(_shingle_set(F.col("left"), width).alias("l"), _shingle_set(F.col("right"), width).alias("r")))
+def _reaching(width: int, percent: int):
+    """The pairs of a batch whose full shingle sets reach the similarity."""
+    def run(batches):
+        for batch in batches:
+            reach = []
+            for l, r in zip(sets(batch.column("left").to_pylist(), width), sets(batch.column("right").to_pylist(), width)):
+                shared = len(np.intersect1d(l, r, assume_unique=True)) if len(l) * 100 >= len(r) * percent and len(r) * 100 >= len(l) * percent else 0
+                reach.append(shared * 100 >= (len(l) + len(r) - shared) * percent)
+            yield batch.select(["a", "b"]).filter(pa.array(reach, pa.bool_()))
+
+    return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` of nodes whose full shingle sets reach the similarity."""
-    met = _joined(pairs, texts).select("a", "b", F.explode(_sets(width)).alias("s"))
-    met = met.select("a", "b", F.size("s.l").alias("n"), F.size("s.r").alias("m"), F.size(F.array_intersect("s.l", "s.r")).alias("shared"))
-    return met.filter(F.col("shared") * 100 >= (F.col("n") + F.col("m") - F.col("shared")) * percent).select("a", "b")
+    return _joined(pairs, texts).select("a", "b", "left", "right").mapInArrow(_reaching(width, percent), "a bigint, b bigint")
+
 
+def _bitmap(found: np.ndarray) -> list[int]:
+    """The hashes, each as one of 64 * MAP_WORDS bits."""
+    bits = np.zeros(64 * MAP_WORDS, np.uint8)
+    bits[(found % np.uint64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
 
-def _bitmaps(found: Column, name: str) -> list[Column]:
-    """The hashes of an array, each as one of 64 * MAP_WORDS bits."""
-    def word(i: int) -> Column:
-        def step(s: Column, x: Column) -> Column:
-            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
-            return F.when(F.shiftright(x, 6).bitwiseAND(F.lit(MAP_WORDS - 1)) == i, s.bitwiseOR(bit)).otherwise(s)
 
-        return F.aggregate(found, F.lit(0).cast("bigint"), step).alias(f"{name}{i}")
+BITMAPS = [f"{name}{i}" for name in ("lost", "more") for i in range(MAP_WORDS)]
 
-    return [word(i) for i in range(MAP_WORDS)]
+
+def _compare(width: int):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for l, r in zip(sets(batch.column("left").to_pylist(), width), sets(batch.column("right").to_pylist(), width)):
+                kept, new = np.isin(l, r, assume_unique=True), ~np.isin(r, l, assume_unique=True)
+                rows.append((len(r), int(kept.sum()), len(l) - int(kept.sum()), *_bitmap(l[~kept]), *_bitmap(r[new])))
+            told = list(zip(*rows)) or [()] * (3 + len(BITMAPS))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(x, pa.int64()) for x in told]], names=["leader", "node", "n", "inside", "lack", *BITMAPS])
+
+    return run
 
 
 def _against_leader(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """What line b of ``pairs(a, b)`` shares with its leader a, lacks and has besides: counts, and bitmaps of the last two."""
-    def told(l: Column, r: Column) -> Column:
-        return F.struct(F.size(r).alias("n"), F.size(F.array_intersect(l, r)).alias("inside"), F.array_except(l, r).alias("lost"), F.array_except(r, l).alias("more"))
-
-    found = _joined(pairs, texts).select("a", "b", F.explode(_sets(width)).alias("s")).select("a", "b", F.explode(F.array(told(F.col("s.l"), F.col("s.r")))).alias("t"))
-    return materialize(found.select(
-        F.col("a").alias("leader"), F.col("b").alias("node"), "t.n", "t.inside", F.size("t.lost").alias("lack"), *_bitmaps(F.col("t.lost"), "lost"), *_bitmaps(F.col("t.more"), "more")))
+    found = _joined(pairs, texts).select("a", "b", "left", "right")
+    return materialize(found.mapInArrow(_compare(width), ", ".join(f"{k} bigint" for k in ("leader", "node", "n", "inside", "lack", *BITMAPS))))
 
 
 def _may_link(percent: int) -> Column:
@@ -161,8 +177,8 @@ def line_links(docs: DataFrame, width: int, percent: int, count: int, seed: int)
     """Occurrences ``doc_id, line_no, k1, k2``, candidate lines ``node, k1, k2``, and the links ``a, b`` between nodes."""
     signed = materialize(_signatures(docs, width, seed))
     spread = signed.select("k1", F.explode(_bucket_keys(count)).alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1")
-    held = materialize(spread.join(shared.hint("merge"), "bucket"))
+    shared = materialize(spread.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1"))
+    held = materialize(spread.join(sided(shared), "bucket"))
 
     # One more scan of the texts names all lines and keeps the characters of those that share a bucket.
     wanted = materialize(held.select(F.col("k1").alias("wanted")).distinct())

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pressgrid.llm import exact_dedup, fuzzy_lines, langid, minhash, mixing, packing, queries, topk, toxicity, url_filter, warc
+from pressgrid.llm import exact_dedup, fuzzy_lines, langid, minhash, mixing, packing, queries, shingles, topk, toxicity, url_filter, warc
 from pressgrid.llm.graph import connected_components
 from tests.conftest import SMALL
 from tests.helpers import assert_same
@@ -365,9 +365,22 @@ def test_lines_empty(spark):
     assert fuzzy_lines.fuzzy_lines(odd_docs(spark, [])).count() == 0
 
 
-def test_lines_plan_has_no_python(spark):
-    plan = fuzzy_lines._signatures(odd_docs(spark), 8, 11)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_shingle_sets_of_pieces(monkeypatch):
+    """Texts of any length, in pieces and whole: as many shingles as by slicing, and shared ones alike."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abü😀 ") for _ in range(rng.choice([1, 2, 7, 8, 9, 30, 31, 32, 33, 200]))) for _ in range(80)]
+    slices = []
+    for t in texts:
+        u = t.encode("utf-16-le")
+        slices.append({u[i:i + 16] for i in range(0, max(1, len(u) - 15), 2)})
+    whole = list(shingles.sets(texts, 8))
+    monkeypatch.setattr(shingles, "CHUNK", 24)
+    pieces = list(shingles.sets(texts, 8))
+    assert [len(x) for x in whole] == [len(x) for x in slices] and all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+    for i in range(0, 80, 7):
+        for j in range(80):
+            assert len(np.intersect1d(whole[i], whole[j])) == len(slices[i] & slices[j])
+    assert list(shingles.sets([], 8)) == []
 
 
 # ---- language
