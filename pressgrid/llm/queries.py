@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, fuzzy_lines, langid, minhash, mixing, packing, topk, toxicity, url_filter, warc
+from . import bpe, exact_dedup, fuzzy_lines, hard_negatives, langid, minhash, mixing, packing, prefix_trie, topk, toxicity, url_filter, warc
 from .common import table
 
 
@@ -66,8 +66,23 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), page_labels(spark, sf_dir)).drop("confidence")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and back, as digests; odd rows as in bpe.round_trip."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of rebuilt conversations; odd rows as in prefix_trie.prefix_trie."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all others; odd rows as in hard_negatives.hard_negatives."""
+    return hard_negatives.hard_negatives(hard_negatives.labelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_minhash, op3_warc, op4_exact_dedup, op5_packing, op6_lines, op7_language, op8_topk, op9_mixing, op10_urls)
+    f.__name__: f for f in (op1_toxicity, op2_minhash, op3_warc, op4_exact_dedup, op5_packing, op6_lines, op7_language, op8_topk, op9_mixing, op10_urls, op11_bpe, op12_prefix_trie, op13_hard_negatives)
 }
 
 SQL: dict[str, str] = {}
@@ -148,3 +163,61 @@ k as (select doc_id, source, turn, cast(sum(size) as bigint) as taken from r whe
 select q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) as taken
 from q left join k on q.doc_id = k.doc_id
 """
+
+SQL["op12_prefix_trie"] = r"""
+with recursive t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+  from conversations where conv_id is not null),
+ids as (
+  select conv_id, list_reduce(list_prepend(4294967295::bigint, list_transform(str_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: i::bigint)), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384::bigint) else x // 2 end)) as c
+  from (select distinct conv_id from t)),
+h as (select conv_id, xor(c, 4294967295::bigint) % 4 as h, conv_id - conv_id % 20 as base from ids),
+whole as (
+  select h.conv_id, 0 as own, t.pos, t.role, t.text from h join t on t.conv_id = h.base and t.pos <= h.h
+  union all
+  select h.conv_id, 1, t.pos, t.role, t.text from h join t on t.conv_id = h.conv_id and t.pos > h.h),
+rows_of as (
+  select conv_id, row_number() over (partition by conv_id order by own, pos) as d, sha256(sha256(role) || text) as turn,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from whole),
+paths as (
+  select conv_id, d, words, string_agg(turn, '') over (partition by conv_id order by d) as seq from rows_of
+  union all
+  select conv_id, 0, 0, '' from ids),
+named as (select conv_id, d, words, sha256(seq) as key, max(d) over (partition by conv_id) as last_d from paths),
+nodes as (
+  select key, min(conv_id) as conv_id, any_value(d) as depth, count(*) as n_convs, (count(*) - 1) * any_value(words) as saved,
+    sha256(coalesce(string_agg(case when d = last_d then conv_id::varchar end, ',' order by conv_id), '')) as ends_sha256
+  from named group by 1),
+linked as (
+  select n.*, p.key as parent_key from nodes n left join named p on p.conv_id = n.conv_id and p.d = n.depth - 1),
+kids as (select parent_key as key, count(*) as n_children from linked where parent_key is not null group by 1),
+full_nodes as (
+  select l.*, coalesce(k.n_children, 0) as n_children, p.conv_id as parent_conv_id
+  from linked l left join kids k on k.key = l.key left join nodes p on p.key = l.parent_key),
+sums as (
+  select a.key, sum(n.saved) as saved_tokens, count(*) filter (n.n_children = 0) as n_leaves
+  from full_nodes n join named a on a.conv_id = n.conv_id and a.d <= n.depth group by 1)
+select cast(f.conv_id as bigint) as conv_id, cast(f.depth as bigint) as depth, cast(f.parent_conv_id as bigint) as parent_conv_id, cast(f.n_convs as bigint) as n_convs,
+  cast(f.n_children as bigint) as n_children, cast(s.n_leaves as bigint) as n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, f.ends_sha256
+from full_nodes f join sums s using (key)
+"""
+
+SQL["op13_hard_negatives"] = r"""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same,
+    cast(list_sum(list_transform(range(1, len(a.w) + 1), lambda i: a.w[i] * r.w[i])) as bigint) as score
+  from v a join v r on r.vec_id <> a.vec_id where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as int) as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""

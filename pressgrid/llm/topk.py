@@ -14,10 +14,10 @@ from .common import materialize
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 512
 
 
-def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """``vec_id, weights``: floor(scale * x) of each component; rows with a null or non-finite component leave."""
+def quantized(vectors: DataFrame, scale: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``vec_id, weights`` and what is kept: floor(scale * x) of each component; rows with a null or non-finite component leave."""
     whole = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.filter(whole & F.col("vec_id").isNotNull()).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("weights"))
+    return vectors.filter(whole & F.col("vec_id").isNotNull()).select("vec_id", *keep, F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("weights"))
 
 
 def _postings(rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
