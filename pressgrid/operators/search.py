@@ -68,24 +68,66 @@ def rank(hits: DataFrame, lengths: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum(idf * weight).alias("score"))
 
 
+def _bind(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once: inside ``then`` it is a lambda's variable."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _best_window(words: Column, prefixes: list[Column], size: int) -> Column:
+    """``struct(score, snippet)`` of the window of ``size`` of the words that says most; null without hits.
+
+    A window may begin at any hit.  It counts 1000 for each different term of the query in it, and 1 for each further hit;
+    the earliest of the best is taken, and moved back so that its hits stand in the middle.
+    """
+    def mask(w: Column) -> Column:
+        return _bind(tokens(w), lambda ts: sum((F.when(F.exists(ts, lambda x: F.startswith(x, p)), 1 << i).otherwise(0) for i, p in enumerate(prefixes)), F.lit(0)))
+
+    def rated(h: Column, i: Column, hits: Column) -> Column:
+        def of(near: Column) -> Column:
+            some = F.aggregate(near, F.lit(0), lambda acc, x: acc.bitwiseOR(x["terms"]))
+            score = F.bit_count(some) * 999 + F.aggregate(near, F.lit(0), lambda acc, x: acc + F.bit_count(x["terms"]))
+            return F.struct((-score).alias("score"), h["at"].alias("first"), F.element_at(near, -1)["at"].alias("last"))
+
+        return _bind(F.filter(F.slice(hits, i + 1, F.lit(size)), lambda x: x["at"] < h["at"] + size), of)  # no window holds more hits than words
+
+    def shown(best: Column, hits: Column) -> Column:
+        n = F.size(words)
+        middle = best["first"] - F.floor((size - (best["last"] - best["first"])) / F.lit(2)).cast("int")
+        return _bind(F.greatest(F.lit(0), F.least(middle, n - size)), lambda start: F.struct((-best["score"]).alias("score"), F.concat(
+            F.when(start > 0, "…").otherwise(""),
+            F.array_join(F.transform(F.slice(words, start + 1, F.lit(size)), lambda w: F.when(mask(w) > 0, F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)), " "),
+            F.when(n > start + size, "…").otherwise("")).alias("snippet")))
+
+    found = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), mask(w).alias("terms"))), lambda h: h["terms"] > 0)
+    return _bind(found, lambda hits: F.when(F.size(hits) > 0, _bind(F.array_min(F.transform(hits, lambda h, i: rated(h, i, hits))), lambda best: shown(best, hits))))
+
+
 def snippet(text: Column, query: str, size: int = 12) -> Column:
-    """Up to ``size`` words round the first hit, hits marked, with an ellipsis where text is cut."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    terms = query_terms(query)
-    if not terms:
+    """The window of ``size`` words that has most of the query's terms, hits marked, with an ellipsis where text is cut.
+
+    A text without hits gives its beginning; a query without terms, or a null text, gives null.
+    """
+    prefixes = [fold(F.lit(t)) for t in query_terms(query)]
+    if not prefixes:
+        return F.lit(None).cast("string")
+    head = lambda words: F.concat(F.array_join(F.slice(words, 1, F.lit(size)), " "), F.when(F.size(words) > size, "…").otherwise(""))
+    return _bind(_words(text), lambda words: F.coalesce(_best_window(words, prefixes, size)["snippet"], head(words)))
+
+
+def best_snippet(texts: Column, query: str, size: int = 12) -> Column:
+    """The best :func:`snippet` over an array of columns' texts, the first of those that say as much; null without hits."""
+    prefixes = [fold(F.lit(t)) for t in query_terms(query)]
+    if not prefixes:
         return F.lit(None).cast("string")
 
-    def hit(w: Column) -> Column:
-        found = F.lit(False)
-        for t in terms:
-            found = found | F.exists(tokens(w), lambda x: F.startswith(x, fold(F.lit(t))))
-        return found
+    def rated(text: Column, i: Column) -> Column:
+        return _bind(_best_window(_words(text), prefixes, size), lambda b: F.struct((-F.coalesce(b["score"], F.lit(0))).alias("score"), i.alias("i"), b["snippet"].alias("snippet")))
 
-    marks = F.transform(words, lambda w, i: F.when(hit(w), i).otherwise(F.lit(None)))
-    first = F.coalesce(F.array_min(marks), F.lit(0))
-    start = F.greatest(F.lit(0), first - size // 2)
-    part = F.transform(F.slice(words, start + 1, F.lit(size)), lambda w: F.when(hit(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
-    return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(part, " "), F.when(F.size(words) > start + size, "…").otherwise(""))
+    return F.array_min(F.transform(texts, rated))["snippet"]
 
 
 def search(
@@ -96,8 +138,11 @@ def search(
 
     ``scopes`` maps a name to postings and lengths.  Where ``shown`` has ids ``doc_id`` for a scope, hits and total are
     of those alone, such as entities that aren't tombstones; the statistics take in all.  Where ``about`` has
-    ``doc_id, entity_id, name, text`` for a scope, a hit carries its entity and a snippet.  Ties go to the smaller id.
+    ``doc_id, entity_id, name, texts`` for a scope, a hit carries its entity and a snippet.  Ties go to the smaller id.
+    A scope that isn't known is an error.
     """
+    if scope != "all" and scope not in scopes:
+        raise ValueError(f"unknown scope {scope}: all, {', '.join(scopes)}")
     found = None
     for name, (postings, lengths) in scopes.items():
         if scope not in ("all", name):
@@ -112,7 +157,7 @@ def search(
             if known is None:
                 top = top.withColumns({"entity_id": F.lit(None).cast("bigint"), "name": F.lit(None).cast("string"), "snippet": F.lit(None).cast("string")})
             else:
-                top = top.join(known.hint("merge"), "doc_id", "left").withColumn("snippet", snippet(F.col("text"), query)).drop("text")
+                top = top.join(known.hint("merge"), "doc_id", "left").withColumn("snippet", best_snippet(F.col("texts"), query)).drop("texts")
             top = top.select("scope", "doc_id", "score", "total", "entity_id", "name", "snippet")
         found = top if found is None else found.unionByName(top)
     return found
@@ -130,11 +175,13 @@ def global_search(c: Corpus, query: str, scope: str = "all", limit: int = 20) ->
     entities = c.entities.join(aliases.hint("merge"), F.expr("id = entity_id"), "left").drop("entity_id")
     columns = {"entities": has(entities, "name", "alias_text", "summary", "birth_place", "death_place", "occupations", "employer"), "articles": has(c.articles, "title", "domain"), "images": has(c.images, "caption", "alt_text", "copyright")}
     tables = {"entities": entities, "articles": c.articles, "images": c.images}
+    if scope != "all" and scope not in tables:
+        raise ValueError(f"unknown scope {scope}: all, {', '.join(tables)}")
     who = c.entities.select(F.col("id").alias("entity_id"), "name")
     owner = {"entities": c.entities.select(F.col("id").alias("doc_id"), F.col("id").alias("entity_id")), "articles": c.links.groupBy(F.col("article_id").alias("doc_id")).agg(F.min("entity_id").alias("entity_id")), "images": c.images.select(F.col("id").alias("doc_id"), "entity_id")}
     docs = {k: documents(df, columns[k]) for k, df in tables.items() if scope in ("all", k)}
     scopes = {k: build_index(df) for k, df in docs.items()}
-    about = {k: df.select("doc_id", F.array_join("texts", " ").alias("text")).join(owner[k].hint("merge"), "doc_id", "left").join(who.hint("merge"), "entity_id", "left") for k, df in docs.items()}
+    about = {k: df.select("doc_id", "texts").join(owner[k].hint("merge"), "doc_id", "left").join(who.hint("merge"), "entity_id", "left") for k, df in docs.items()}
     return search(scopes, query, scope, limit, {"entities": live(c.entities).select(F.col("id").alias("doc_id"))}, about)
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates as D, geometry as G, names as N, rules as R, vectors as V
-from ..operators import aggregates as A, filters as P, joins as J, lifecycle as L, pages as T, resolve, search as X, similarity as S
+from ..operators import aggregates as A, filters as P, index as I, joins as J, lifecycle as L, pages as T, resolve, search as X, similarity as S
 from ..schema import Corpus
 from ..sources import feeds
 from ..streaming import jobs as K
+from ..tables import shared_folder
 from . import reports
 from .binding import AS_OF, EVENTS_AS_OF, corpus, table, with_tables
 
@@ -911,19 +913,23 @@ def _scope(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return X.build_index(docs)
 
 
+def _standing(read, name: str = "documents", key: str = "doc_id") -> I.Index:
+    """The standing index of a table's texts: the first query over the table builds it, later ones open it."""
+    return I.standing_index(X.documents(read(name), ["text"], key), read(name), name)
+
+
 TERMS = r"(select doc_id, unnest(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from documents)"
 
 
 @query(f"select term, count(*) as n, count(distinct doc_id) as docs from {TERMS} group by 1")
 def x1_postings(c, read):
-    postings, _ = _scope(X.documents(read("documents"), ["text"], "doc_id"))
-    return postings.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    docs = read("documents")
+    return I.vocabulary(docs.sparkSession, _standing(read))
 
 
 @query(f"select doc_id from {TERMS} group by 1 having bool_or(starts_with(term, 'thea')) and bool_or(starts_with(term, 'he'))")
 def x2_match(c, read):
-    postings, _ = _scope(X.documents(read("documents"), ["text"], "doc_id"))
-    return X.match(postings, "Théa he*").select("doc_id").distinct()
+    return I.matches(read("documents").sparkSession, _standing(read), "Théa he*").select("doc_id")
 
 
 BM25 = f"""(with t as (select * from {TERMS}), len as (select doc_id, count(t.term) as l from documents left join t using (doc_id) group by 1), st as (select count(*) as docs, avg(l) as mean from len),
@@ -934,19 +940,46 @@ BM25 = f"""(with t as (select * from {TERMS}), len as (select doc_id, count(t.te
 
 @query(f"select doc_id, round(score, 6) as score from {BM25}")
 def x3_rank(c, read):
-    postings, lengths = _scope(X.documents(read("documents"), ["text"], "doc_id"))
-    return X.rank(X.match(postings, "thea he"), lengths).select("doc_id", F.round("score", 6).alias("score"))
+    return I.full_ranking(read("documents").sparkSession, _standing(read), "thea he").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"select doc_id, round(score, 6) as score from (select * from {BM25} order by score desc, doc_id limit 10)")
+def x3_top(c, read):
+    return I.top(read("documents").sparkSession, _standing(read), "thea he", 10).hits.select("doc_id", F.round("score", 6).alias("score"))
+
+
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
+MASK = r"list_filter(regexp_split_to_array(lower(strip_accents(w[i + 1])), '[^\p{L}\p{N}]+'), lambda x: starts_with(x, 'PREFIX'))"
+
+
+@query(f"""with w as (select doc_id, text, {WORDS} as w from documents),
+  h as (select doc_id, text, w, list_filter(list_transform(range(len(w)), lambda i: {{'p': i, 'a': len({MASK.replace('PREFIX', 'thea')}) > 0, 'b': len({MASK.replace('PREFIX', 'he')}) > 0}}), lambda x: x.a or x.b) as h from w),
+  r as (select doc_id, text, w, h, list_sort(list_transform(range(1, len(h) + 1), lambda k: {{
+    's': -(999 * (cast(len(list_filter(h[k:k + 11], lambda x: x.p < h[k].p + 12 and x.a)) > 0 as int) + cast(len(list_filter(h[k:k + 11], lambda x: x.p < h[k].p + 12 and x.b)) > 0 as int))
+      + len(list_filter(h[k:k + 11], lambda x: x.p < h[k].p + 12 and x.a)) + len(list_filter(h[k:k + 11], lambda x: x.p < h[k].p + 12 and x.b))),
+    'f': h[k].p, 'l': list_filter(h[k:k + 11], lambda x: x.p < h[k].p + 12)[-1].p}}))[1] as best from h),
+  c as (select doc_id, text, w, h, case when best is null then 0 else greatest(0, least(best.f - cast(floor((12 - (best.l - best.f)) / 2.0) as bigint), len(w) - 12)) end as s from r),
+  m as (select *, list_transform(h, lambda x: x.p) as p from c)
+  select doc_id, case when text is null then null else (case when s > 0 then '…' else '' end)
+    || array_to_string(list_transform(range(s, least(s + 12, len(w))), lambda i: case when list_contains(p, i) then '<mark>' || w[i + 1] || '</mark>' else w[i + 1] end), ' ') || (case when len(w) > s + 12 then '…' else '' end) end as snippet from m""")
 def x4_snippet(c, read):
     return read("documents").select("doc_id", X.snippet(F.col("text"), "thea he").alias("snippet"))
 
 
 @query(f"select 'documents' as scope, doc_id, round(score, 6) as score, (select count(*) from {BM25}) as total from (select * from {BM25} order by score desc, doc_id limit 20)")
 def x5_x6_search(c, read):
-    scopes = {"documents": _scope(X.documents(read("documents"), ["text"], "doc_id")), "benchmark": _scope(X.documents(read("benchmark"), ["text"], "item_id"))}
-    return X.search(scopes, "thea he", "documents").withColumn("score", F.round("score", 6))
+    scopes = {"documents": lambda: _standing(read), "benchmark": lambda: _standing(read, "benchmark", "item_id")}
+    return I.search_index(read("documents").sparkSession, scopes, "thea he", "documents").withColumn("score", F.round("score", 6))
+
+
+BENCHMARK = BM25.replace("from documents)", "from (select item_id as doc_id, text from benchmark))").replace("from documents left join", "from (select item_id as doc_id from benchmark) left join")
+
+
+@query(f"""select 'documents' as scope, doc_id, round(score, 6) as score, (select count(*) from {BM25}) as total from (select * from {BM25} order by score desc, doc_id limit 5)
+  union all select 'benchmark', doc_id, round(score, 6), (select count(*) from {BENCHMARK}) from (select * from {BENCHMARK} order by score desc, doc_id limit 5)""")
+def x6_all_scopes(c, read):
+    scopes = {"documents": lambda: _standing(read), "benchmark": lambda: _standing(read, "benchmark", "item_id")}
+    return I.search_index(read("documents").sparkSession, scopes, "thea he", limit=5).withColumn("score", F.round("score", 6))
 
 
 @query("""select 'entities' as scope, count(*) as total from c_entities where kb_status is distinct from 'not_person' and regexp_matches(lower(name), 'nation1')
@@ -970,10 +1003,9 @@ def x7_search_entities(c, read):
 @query(f"select term, count(*) as n from (select doc_id, term from {TERMS} where doc_id % 5 <> 0 union all select doc_id, unnest(['moved', 'alias']) from documents where doc_id % 10 = 0) group by 1")
 def x8_refresh_index(c, read):
     docs = read("documents")
-    postings, lengths = _scope(X.documents(docs, ["text"], "doc_id"))
+    index = I.branch(docs.sparkSession, _standing(read), f"{shared_folder(docs.sparkSession)}/{uuid.uuid4().hex}")  # later queries find the index as it was
     now = X.documents(docs.filter("doc_id % 10 <> 5").withColumn("text", F.when(F.col("doc_id") % 10 == 0, "Moved alias").otherwise(F.col("text"))), ["text"], "doc_id")
-    after, _ = X.refresh_index(postings, lengths, docs.filter("doc_id % 5 = 0").select("doc_id"), now)
-    return after.groupBy("term").agg(F.count("*").alias("n"))
+    return I.vocabulary(docs.sparkSession, I.refresh(index, docs.filter("doc_id % 5 = 0").select("doc_id"), now)).select("term", "n")
 
 
 # ---- streams, in their batch form; and a stream run to the end

@@ -1,25 +1,40 @@
-"""Written tables that end lineage."""
+"""Written tables that end lineage, and joins by what they measure."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: A side is broadcast only if it was written and has no more rows, nor bytes in its files, than these.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
-def snapshot(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder of ``spark.checkpoint.dir`` and reads it back.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
     Only a session without that setting, as in local tests, gets a temporary folder of its own.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='pressgrid-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/pressgrid/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/pressgrid"
+
+
+def snapshot(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sided(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hints how to join with ``small``, a table that was written: broadcast if it is small by measure, else sort-merge."""
+    size = int(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    few = size <= BROADCAST_BYTES and small.limit(limit + 1).count() <= limit
+    return small.hint("broadcast" if few else "merge")
