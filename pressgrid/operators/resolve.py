@@ -8,6 +8,7 @@ from ..functions.rules import caption_rule
 from ..schema import Corpus
 from ..tables import snapshot
 from .aggregates import recompute_counts, reset_centroids
+from .components import components, in_order
 
 #: How much a canonical entity may grow by one merge, and the least score for one.
 MAX_GROWTH, LEAST_SCORE = 1.5, 1.0
@@ -59,22 +60,32 @@ def plan_kb_merges(entities: DataFrame) -> DataFrame:
 def plan_centroid_merges(pairs: DataFrame, max_distance: float = 0.20) -> DataFrame:
     """Merges of near centroids in order of distance; a pair of which a member is gone is skipped (M8).
 
-    ``pairs`` as of candidate_pairs, whose verdicts stand.  A round accepts each pair that comes first for both its
-    members, and drops the pairs that touch a removed duplicate; the nearest pair of all is accepted in each, so the rounds end.
+    ``pairs`` as of candidate_pairs, whose verdicts stand.  Pairs of different components of the pair graph can't meet, so
+    each component is folded by itself in that order; a very large one block by block, where what is gone strikes later pairs.
     """
-    left = snapshot(pairs.filter((F.col("distance") <= max_distance) & F.col("can_auto")).select("canonical_id", "duplicate_id", "distance"))
-    done = left.limit(0)
-    at = F.struct("distance", "canonical_id", "duplicate_id")
-    while left.limit(1).count():
-        ends = left.select(at.alias("at"), F.explode(F.array("canonical_id", "duplicate_id")).alias("id"))
-        first = ends.groupBy("id").agg(F.min("at").alias("first"))
-        ranked = left.withColumn("at", at).join(first.toDF("canonical_id", "f1").hint("merge"), "canonical_id").join(first.toDF("duplicate_id", "f2").hint("merge"), "duplicate_id")
-        accepted = snapshot(ranked.filter("at = f1 and at = f2").select("canonical_id", "duplicate_id", "distance"))
-        gone = accepted.select("duplicate_id")
-        rest = left.join(accepted.select("canonical_id", "duplicate_id"), ["canonical_id", "duplicate_id"], "left_anti")
-        rest = rest.join(gone, "duplicate_id", "left_anti").join(gone.toDF("canonical_id"), "canonical_id", "left_anti")
-        left, done = snapshot(rest.select("canonical_id", "duplicate_id", "distance")), snapshot(done.unionByName(accepted))
-    return done
+    at = F.struct("distance", "canonical_id", "duplicate_id").alias("at")
+    able = snapshot(pairs.filter((F.col("distance") <= max_distance) & F.col("can_auto")).select("canonical_id", "duplicate_id", at).distinct())
+    labels = components(able.select(F.col("canonical_id").alias("a"), F.col("duplicate_id").alias("b")))
+    placed = able.join(labels.withColumnRenamed("id", "canonical_id").hint("merge"), "canonical_id")
+
+    def fold(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy("component").agg(F.array_sort(F.collect_list("at")).alias("pairs"))
+        start = F.struct(F.array().cast("array<bigint>").alias("gone"), F.array().cast("array<struct<distance:double,canonical_id:bigint,duplicate_id:bigint>>").alias("done"))
+
+        def step(acc: Column, p: Column) -> Column:
+            own = F.struct(p["distance"].cast("double").alias("distance"), p["canonical_id"].cast("bigint").alias("canonical_id"), p["duplicate_id"].cast("bigint").alias("duplicate_id"))
+            free = ~F.array_contains(acc["gone"], p["canonical_id"]) & ~F.array_contains(acc["gone"], p["duplicate_id"])
+            return F.when(free, F.struct(F.array_append(acc["gone"], own["duplicate_id"]).alias("gone"), F.array_append(acc["done"], own).alias("done"))).otherwise(acc)
+
+        return lists.select(F.explode(F.aggregate("pairs", start, step)["done"]).alias("p")).select("p.canonical_id", "p.duplicate_id", "p.distance")
+
+    def strike(rest: DataFrame, decided: DataFrame) -> DataFrame:
+        gone = decided.select(F.col("duplicate_id").alias("gone"))
+        for k in ("canonical_id", "duplicate_id"):
+            rest = rest.join(gone.hint("merge"), F.col(k) == F.col("gone"), "left_anti")
+        return rest
+
+    return in_order(placed, fold, strike)
 
 
 def resolve_chains(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,18 +12,24 @@ from ..functions.names import tokens
 from ..functions.rules import FLAG, flag_hypothesis
 from ..functions.vectors import cosine_distance
 from ..tables import snapshot
+from .components import components, in_order
 from .filters import live
 
 #: Rows of a block in the all-pairs product.
 BLOCK_ROWS = 2048
 
 
-def simhashes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+def md5_64(token: Column) -> Column:
+    """The first 64 bits of MD5, as other engines have them too."""
+    return F.conv(F.substring(F.md5(token), 1, 16), 16, -10).cast("bigint")
+
+
+def simhashes(df: DataFrame, keys: list[str], text: str, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``keys, hash64``: the 64-bit SimHash of a text's tokens; texts without a token have no row.
 
     Bit i is set where more token hashes have it than not: 64 sums over the exploded tokens.
     """
-    hashes = df.select(*keys, F.explode(tokens(F.col(text))).alias("token")).select(*keys, F.xxhash64("token").alias("h"))
+    hashes = df.select(*keys, F.explode(tokens(F.col(text))).alias("token")).select(*keys, hashed(F.col("token")).alias("h"))
     counts = hashes.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.getbit("h", F.lit(i)).cast("bigint")).alias(f"b{i}") for i in range(64)])
     bits = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("bigint") for i in range(64)]
     return counts.select(*keys, sum(bits[1:], bits[0]).alias("hash64"))
@@ -75,31 +81,52 @@ def mark_duplicates(df: DataFrame, max_bits: int = 5, group: str = "entity_id",
 
 
 def mark_duplicates_large(df: DataFrame, max_bits: int = 5, group: str = "entity_id", order: str = "scraped_at", key: str = "id", bits: str = "hash64") -> DataFrame:
-    """:func:`mark_duplicates` over pairs, for groups of any size.
+    """:func:`mark_duplicates` for groups of any size, by components of the pairs that are near (V2, V3).
 
-    Rounds: an item none of whose earlier neighbours is a leader or undecided becomes a leader, and the later
-    neighbours of leaders become duplicates, until all are decided.  Each round decides the earliest open item at
-    least; a chain of n items takes about n rounds, and none is left undecided.
+    A null group is a group like others.  Equal hashes of a group are one item, its earliest: a later copy is a duplicate of the same leader, or of the
+    first copy where that is one.  An item can only be a duplicate within its component, so each component is folded by itself, in one
+    row up to a bounded size; a larger one block by block in order (:func:`in_order`), where each block's leaders strike
+    all their later neighbours.
     """
-    items = snapshot(df.filter(F.col(bits).isNotNull()).select(group, F.col(key).alias("id"), F.struct(order, key).alias("at"), F.col(bits).alias("hash64")))
-    pairs = hamming_pairs(items, max_bits, group=group)
-    at = items.select("id", "at")
-    both = pairs.join(at.toDF("a", "at_a").hint("merge"), "a").join(at.toDF("b", "at_b").hint("merge"), "b")
-    first = F.col("at_a") < F.col("at_b")
-    edges = snapshot(both.select(
-        F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"), F.least("at_a", "at_b").alias("early_at")))
-    state = snapshot(items.select("id", F.lit("open").alias("state")))
-    while state.filter("state = 'open'").limit(1).count():
-        seen = edges.join(state.toDF("early", "s"), "early").groupBy(F.col("late").alias("id")).agg(
-            F.max((F.col("s") == "leader").cast("int")).alias("near_leader"), F.max((F.col("s") == "open").cast("int")).alias("near_open"))
-        # A duplicate's state is final only when a leader stands before it; an open neighbour may yet be one.
-        after = F.when(F.col("state") != "open", F.col("state")).when(F.coalesce("near_leader", F.lit(0)) == 1, "duplicate").when(F.coalesce("near_open", F.lit(0)) == 0, "leader").otherwise("open")
-        state = snapshot(state.join(seen, "id", "left").select("id", after.alias("state")))
-    leaders = state.filter("state = 'leader'").select(F.col("id").alias("early"))
-    of = edges.join(leaders, "early", "left_semi").groupBy(F.col("late").alias("id")).agg(F.min_by("early", "early_at").alias("of"))
-    done = items.join(state, "id").join(of, "id", "left")
-    dup = F.col("state") == "duplicate"
-    return done.select(group, F.col("id").alias(key), dup.alias("is_duplicate"), F.when(dup, F.col("of")).alias("duplicate_of"))
+    rows = snapshot(df.filter(F.col(bits).isNotNull()).select(F.struct(F.col(group).alias("v")).alias("g"), F.col(key).alias("id"), F.struct(F.col(order).alias("t"), F.col(key).alias("k")).alias("at"), F.col(bits).alias("hash64")))
+    firsts = snapshot(rows.groupBy("g", "hash64").agg(F.min("at").alias("at")).select("g", "hash64", "at", F.col("at.k").alias("id")))
+    pairs = snapshot(hamming_pairs(firsts, max_bits, group="g").select("a", "b"))
+    placed = snapshot(firsts.join(components(pairs).hint("merge"), "id"))
+
+    def fold(items: DataFrame) -> DataFrame:
+        told = mark_duplicates(items, max_bits, group="component", order=("at",))
+        return told.select("component", "id", F.col("duplicate_of").alias("of"))
+
+    def strike(rest: DataFrame, decided: DataFrame) -> DataFrame:
+        return rest.join(_struck(pairs, decided, rest).select("id").hint("merge"), "id", "left_anti")
+
+    told = snapshot(in_order(placed, fold, strike))
+    # Items that a leader of an earlier block struck aren't folded: their leader is the earliest of their neighbours that is one.
+    leaders = told.filter("of is null").select("id")
+    struck = snapshot(placed.join(told.select("id").hint("merge"), "id", "left_anti"))
+    of = _leader_of(pairs, leaders, struck, placed)
+    decided = told.select("id", "of").unionByName(of)
+    found = snapshot(firsts.select("g", "hash64", F.col("id").alias("first_id")).join(decided.withColumnRenamed("id", "first_id").hint("merge"), "first_id", "left"))
+    met = rows.join(found.hint("merge"), ["g", "hash64"])
+    leader = F.coalesce("of", F.when(F.col("id") != F.col("first_id"), F.col("first_id")))
+    return met.select(F.col("g.v").alias(group), F.col("id").alias(key), leader.isNotNull().alias("is_duplicate"), leader.alias("duplicate_of"))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("near"), F.col("b").alias("id")).unionByName(pairs.select(F.col("b").alias("near"), F.col("a").alias("id")))
+
+
+def _struck(pairs: DataFrame, decided: DataFrame, rest: DataFrame) -> DataFrame:
+    """Ids of ``rest`` that have a leader of ``decided`` for a neighbour; all of those stand earlier."""
+    leaders = decided.filter("of is null").select(F.col("id").alias("near"))
+    return _both_ways(pairs).join(leaders.hint("merge"), "near", "left_semi").select("id").distinct().join(rest.select("id").hint("merge"), "id", "left_semi")
+
+
+def _leader_of(pairs: DataFrame, leaders: DataFrame, items: DataFrame, placed: DataFrame) -> DataFrame:
+    """``id, of``: the earliest neighbour of each item that is a leader and stands before it."""
+    near = _both_ways(pairs).join(leaders.select(F.col("id").alias("near")).hint("merge"), "near", "left_semi").join(items.select("id", "at").hint("merge"), "id")
+    timed = near.join(placed.select(F.col("id").alias("near"), F.col("at").alias("near_at")).hint("merge"), "near").filter("near_at < at")
+    return timed.groupBy("id").agg(F.min_by("near", "near_at").alias("of"))
 
 
 def diversity(df: DataFrame, group: str = "entity_id", bits: str = "hash64") -> DataFrame:
@@ -170,7 +197,7 @@ def vector_pairs(vectors: DataFrame, limit: float, key: str = "id", vector: str
     return met.mapInPandas(_block_pairs(limit), "a bigint, b bigint, distance double")
 
 
-def candidate_pairs(entities: DataFrame, limit: float = 0.45, least_images: int = 5) -> DataFrame:
+def candidate_pairs(entities: DataFrame, limit: float = 0.45, least_images: int = 5, auto_distance: float = 0.20) -> DataFrame:
     """Entities whose centroids are near, both with enough images and not of one knowledge-base id (V5).
 
     ``entities(id, kb_id, kb_status, image_count, centroid)``; tombstones, and rows without a status, take no part.  The one
@@ -182,7 +209,7 @@ def candidate_pairs(entities: DataFrame, limit: float = 0.45, least_images: int
     met = pairs.join(side.toDF("a", "kb_a", "images_a").hint("merge"), "a").join(side.toDF("b", "kb_b", "images_b").hint("merge"), "b").filter("kb_a is null or kb_b is null or kb_a <> kb_b")
     swap = F.col("images_b") > F.col("images_a")
     c, d = F.greatest("images_a", "images_b"), F.least("images_a", "images_b")
-    reason = safe_auto(c, d, F.col("distance"))
+    reason = safe_auto(c, d, F.col("distance"), auto_distance)
     return met.select(
         F.when(swap, F.col("b")).otherwise(F.col("a")).alias("canonical_id"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("duplicate_id"),
         F.round("distance", 4).alias("distance"), reason.isNull().alias("can_auto"), reason.alias("reason")).orderBy("distance", "canonical_id", "duplicate_id")

@@ -852,10 +852,15 @@ def v2_mark_duplicates_large(c, read):
     return S.mark_duplicates_large(_hashed(read), 22)
 
 
+@query(V2_SQL.replace("<= 22", "<= 5"))
+def v2_mark_duplicates_five_bits(c, read):
+    return S.mark_duplicates_large(_hashed(read), 5)
+
+
 @query(f"select entity_id, count(*) as items, count(*) filter (where not is_duplicate) as uniques, count(*) filter (where is_duplicate) as duplicates from ({V2_SQL}) group by 1")
 def v3_dedup_totals(c, read):
     rows = _hashed(read)
-    return S.dedup_groups(rows, S.mark_duplicates(rows, 22)).select("entity_id", "items", "uniques", "duplicates")
+    return S.dedup_groups(rows, S.mark_duplicates_large(rows, 22)).select("entity_id", "items", "uniques", "duplicates")
 
 
 UNIQUE = f"(select b.* from {BITS} b join ({V2_SQL}) v on v.id = b.id and not v.is_duplicate)"
@@ -864,14 +869,29 @@ UNIQUE = f"(select b.* from {BITS} b join ({V2_SQL}) v on v.id = b.id and not v.
 @query(f"select entity_id, count(*) as n, round(coalesce((select avg(hamming(x.b, y.b)) / 64 from {UNIQUE} x join {UNIQUE} y on x.id < y.id where x.entity_id = z.entity_id and y.entity_id = z.entity_id), 0), 4) as diversity from {UNIQUE} z group by 1")
 def a19_diversity_unique(c, read):
     rows = _hashed(read)
-    return S.dedup_groups(rows, S.mark_duplicates(rows, 22)).select("entity_id", F.col("uniques").alias("n"), "diversity")
+    return S.dedup_groups(rows, S.mark_duplicates_large(rows, 22)).select("entity_id", F.col("uniques").alias("n"), "diversity")
 
 
-@query()
-def v3_dedup_documents(c, read):
+SIMHASH = "(select doc_id as id, source as entity_id, concat(" + ", ".join(f"case when sum((h >> {i}) & 1) * 2 > count(*) then '1' else '0' end" for i in range(64)) + r""") as b from (
+  select doc_id, source, ('0x' || substr(md5(term), 1, 16))::ubigint as h from (
+    select doc_id, source, unnest(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from documents)) group by all)"""
+DOCUMENTS_SQL = V2_SQL.replace(BITS, SIMHASH).replace("<= 22", "<= 5").replace("b.entity_id = f.entity_id", "b.entity_id is not distinct from f.entity_id")
+
+
+def _documents_hashed(read) -> DataFrame:
     docs = read("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("entity_id"), F.col("doc_id").alias("scraped_at"), "text")
-    docs = S.simhashes(docs, ["id", "entity_id", "scraped_at"], "text")
-    return S.mark_duplicates_large(docs, 5)
+    return S.simhashes(docs, ["id", "entity_id", "scraped_at"], "text", S.md5_64)
+
+
+@query(DOCUMENTS_SQL)
+def v3_dedup_documents(c, read):
+    return S.mark_duplicates_large(_documents_hashed(read), 5)
+
+
+@query(f"select entity_id, count(*) as items, count(*) filter (where not is_duplicate) as uniques, count(*) filter (where is_duplicate) as duplicates from ({DOCUMENTS_SQL}) group by 1")
+def v3_dedup_document_totals(c, read):
+    rows = _documents_hashed(read)
+    return S.dedup_groups(rows, S.mark_duplicates_large(rows, 5)).select("entity_id", "items", "uniques", "duplicates")
 
 
 @query(f"""select v.id, v.entity_id, round(d, 4) as match_score, case when d <= 0.9 then 'confirmed' else 'flagged' end as association_status from (
@@ -888,17 +908,22 @@ V5_SQL = """select case when s then b else a end as canonical_id, case when s th
     from embeddings a join embeddings b on a.vec_id < b.vec_id and (a.label % 5 = 0 or b.label % 5 = 0 or a.label <> b.label) where a.vec_id * 7 % 40 >= 5 and b.vec_id * 7 % 40 >= 5 and a.vec_id % 9 <> 4 and b.vec_id % 9 <> 4) where d <= 0.65)"""
 
 
+def _with_centroids(read) -> DataFrame:
+    return read("embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 5 > 0, F.concat(F.lit("Q"), F.col("label").cast("string"))).alias("kb_id"), F.when(F.col("vec_id") % 9 == 4, "not_person").otherwise("done").alias("kb_status"), (F.col("vec_id") * 7 % 40).alias("image_count"), F.col("embedding").alias("centroid"))
+
+
 @query(V5_SQL)
 def v5_v6_candidate_pairs(c, read):
-    rows = read("embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 5 > 0, F.concat(F.lit("Q"), F.col("label").cast("string"))).alias("kb_id"), F.when(F.col("vec_id") % 9 == 4, "not_person").otherwise("done").alias("kb_status"), (F.col("vec_id") * 7 % 40).alias("image_count"), F.col("embedding").alias("centroid"))
-    return S.candidate_pairs(rows, 0.65)
+    return S.candidate_pairs(_with_centroids(read), 0.65)
 
 
-@query()
+@query(f"""with recursive p as (select canonical_id as c, duplicate_id as d, distance as x, row_number() over (order by distance, canonical_id, duplicate_id) as k from ({V5_SQL.replace("d > 0.2", "d > 0.65")}) where can_auto),
+  f as (select 0::bigint as k, null::bigint as c, null::bigint as d, null::double as x, false as taken, []::bigint[] as gone
+    union all select k, c, d, x, free, case when free then list_append(gone, d) else gone end from (
+      select p.*, f.gone, not list_contains(f.gone, p.c) and not list_contains(f.gone, p.d) as free from f join p on p.k = f.k + 1))
+  select c as canonical_id, d as duplicate_id, x as distance from f where taken""")
 def m8_plan_centroid_merges(c, read):
-    rows = read("embeddings").select(F.col("vec_id").alias("id"), F.lit(None).cast("string").alias("kb_id"), F.lit("done").alias("kb_status"), F.lit(10).alias("image_count"), F.col("embedding").alias("centroid"))
-    pairs = S.candidate_pairs(rows, 0.65).withColumn("can_auto", F.lit(True))
-    return resolve.plan_centroid_merges(pairs, 0.65)
+    return resolve.plan_centroid_merges(S.candidate_pairs(_with_centroids(read), 0.65, auto_distance=0.65), 0.65)
 
 
 @query("""select i.id, i.match_score, case when f.face_count > 1 then 'composition' when f.face_count = 1 then 'misattribution' else 'unknown' end as hypothesis from c_images i left join c_faces f on f.image_id = i.id

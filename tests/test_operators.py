@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pressgrid.operators import aggregates as A, joins as J, lifecycle as L, resolve, search as X, similarity as S
+from pressgrid.operators import aggregates as A, components as C, joins as J, lifecycle as L, resolve, search as X, similarity as S
 from pressgrid.schema import Corpus
 from pressgrid.sources import feeds
 from pressgrid.streaming import jobs as K
@@ -243,6 +243,53 @@ def test_long_chain_is_decided_whole(spark):
     assert [str(r) for r in rows(S.mark_duplicates_large(df, 3), *cols)] == [str(r) for r in want] and 5 < sum(r[1] for r in want) < 24
 
 
+def chain(n):
+    """Hashes that are near their neighbours in order alone, as a Gray code of three bits a step."""
+    data, h = [], 0
+    for i in range(n):
+        data.append((i, 1, i, h if h < 1 << 63 else h - (1 << 64)))
+        h ^= 0b111 << 3 * ((i + 1 & -(i + 1)).bit_length() - 1)
+    return data
+
+
+HASHED = "id bigint, entity_id bigint, scraped_at bigint, hash64 bigint"
+
+
+def plain_marks(data, max_bits):
+    leaders, out = {}, []
+    for i, g, t, h in sorted(data, key=lambda r: (str(r[1]), r[2], r[0])):
+        near = [k for k, x in leaders.get(g, []) if bin((h ^ x) & (1 << 64) - 1).count("1") <= max_bits]
+        if not near:
+            leaders.setdefault(g, []).append((i, h))
+        out.append((i, bool(near), near[0] if near else None))
+    return sorted(out)
+
+
+def test_a_chain_of_two_thousand(spark):
+    import time
+
+    data = chain(2000)
+    df, began = spark.createDataFrame(data, HASHED), time.monotonic()
+    got = sorted(tuple(r) for r in S.mark_duplicates_large(df, 3).select("id", "is_duplicate", "duplicate_of").collect())
+    assert got == plain_marks(data, 3) and sum(r[1] for r in got) == 1000
+    assert time.monotonic() - began < 60
+
+
+def test_components_larger_than_a_row(spark, monkeypatch):
+    """Blocks of four rows give what whole folds give; copies and null groups too."""
+    monkeypatch.setattr(C, "FOLD_ROWS", 4)
+    rng, base = random.Random(8), [random.Random(2).getrandbits(63) for _ in range(3)]
+    data = [(i, rng.choice([1, 2, None]), rng.randrange(9), rng.choice(base) ^ 1 << rng.randrange(12) ^ 1 << rng.randrange(12)) for i in range(150)] + [(1000 + i, 7, t, h) for i, _, t, h in chain(20)]
+    for bits in (3, 1):
+        got = S.mark_duplicates_large(spark.createDataFrame(data, HASHED), bits).select("id", "is_duplicate", "duplicate_of").collect()
+        assert sorted(tuple(r) for r in got) == plain_marks(data, bits)
+
+
+def test_merges_of_components_larger_than_a_row(spark, monkeypatch):
+    monkeypatch.setattr(C, "FOLD_ROWS", 5)
+    test_centroid_merges_equal_the_sequential_order(spark)
+
+
 def test_dedup_of_groups(spark):
     data = [(1, 1, 0), (2, 1, 1), (3, 1, (1 << 20) - 1), (4, 2, 5), (5, 3, 7), (6, 3, 7)]
     df = spark.createDataFrame([(i, g, i, h) for i, g, h in data], "id bigint, entity_id bigint, scraped_at bigint, hash64 bigint")
