@@ -184,7 +184,10 @@ def _alive(spark: SparkSession, index: Index, rows: DataFrame) -> DataFrame:
     lists = ["docs", "tfs", "lengths"]
     met = rows.join(sided(gone), ["segment", "block"], "left").withColumn("p", F.arrays_zip(*lists))
     kept = met.withColumn("p", F.when(F.col("gone").isNull(), F.col("p")).otherwise(F.filter("p", lambda x: ~F.array_contains("gone", x["docs"]))))
-    return kept.select(*[F.col(f"p.{k}").alias(k) if k in lists else F.size("p").alias(k) if k == "n" else F.col(k) for k in rows.columns])
+    again = {
+        "n": F.size("p"), "max_tf": F.coalesce(F.array_max("p.tfs"), F.lit(0)), "min_length": F.coalesce(F.array_min("p.lengths"), F.lit(0).cast("bigint")),
+        "tokens": F.aggregate("p.tfs", F.lit(0).cast("bigint"), lambda a, x: a + x), **{k: F.col(f"p.{k}") for k in lists}}
+    return kept.select(*[again[k].alias(k) if k in again else F.col(k) for k in rows.columns])
 
 
 def _prefixes(spark: SparkSession, query: str) -> list[str]:
@@ -205,9 +208,7 @@ def postings(spark: SparkSession, index: Index, prefixes: list[str], live: bool
 
 def vocabulary(spark: SparkSession, index: Index) -> DataFrame:
     """``term, n, docs``: how often each term occurs and in how many documents, from the blocks' sums alone where nothing has died."""
-    rows = index.table(spark, "postings")
-    if index.tombstones:
-        rows = _alive(spark, index, rows).withColumn("tokens", F.aggregate("tfs", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    rows = _alive(spark, index, index.table(spark, "postings"))
     return rows.groupBy("term").agg(F.sum("tokens").alias("n"), F.sum("n").cast("bigint").alias("docs")).filter("docs > 0")
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.aggregates import ingest_summary, last_run
 from ..operators.joins import resolve_mentions
 from ..operators.lifecycle import upsert_articles, upsert_entities, upsert_links
 from ..schema import Corpus
+from ..sources.versions import commit, last_commit, read_version
 from ..tables import snapshot
 
 
@@ -41,8 +43,55 @@ def job_health_stream(events: DataFrame, window: str = "24 hours", slide: str =
 LIVENESS = "loop string, last_success timestamp, last_error timestamp, last_summary string, stale boolean"
 
 
+#: Spark keeps the state of timers in this store alone.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Liveness(StatefulProcessor):
+    """State of one loop: its last success, error and summary, and a timer for the moment when it turns stale."""
+
+    def __init__(self, limit_ms: int):
+        self.limit_ms = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_success timestamp, last_error timestamp, last_summary string")
+
+    def _row(self, loop: str, stale: bool) -> pd.DataFrame:
+        ok, bad, summary = self.last.get()
+        return pd.DataFrame({"loop": [loop], "last_success": [pd.Timestamp(ok) if ok else None], "last_error": [pd.Timestamp(bad) if bad else None], "last_summary": [summary], "stale": [stale]}).astype({"last_success": "datetime64[ns]", "last_error": "datetime64[ns]"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ok, bad, summary = self.last.get() if self.last.exists() else (None, None, None)
+        for f in rows:
+            good, failed = f[f["kind"] == "success"], f[f["kind"] == "error"]
+            if len(good) and (ok is None or good["ts"].max() >= ok):
+                newest = good["ts"].idxmax()
+                ok, summary = good["ts"][newest].to_pydatetime(), good["summary"][newest]
+            if len(failed) and (bad is None or failed["ts"].max() >= bad):
+                bad = failed["ts"].max().to_pydatetime()
+        self.last.update((ok, bad, summary))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        newest = max(x for x in (ok, bad) if x is not None)
+        due = int(pd.Timestamp(newest, tz="UTC" if newest.tzinfo is None else None).timestamp() * 1000) + self.limit_ms
+        stale = due <= timerValues.getCurrentProcessingTimeInMs()
+        if not stale:
+            self.handle.registerTimer(due)
+        yield self._row(key[0], stale)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._row(key[0], True)
+
+    def close(self) -> None:
+        pass
+
+
 def liveness(events: DataFrame, stale_after: str = "10 minutes") -> DataFrame:
-    """Each loop's last success, error and summary, updated as events come; a silent loop turns stale (K2)."""
+    """Each loop's last success, error and summary, updated as events come; a silent loop turns stale as the others' events go on (K2).
+
+    Goes by event time, so it can run over what there is and stop; :func:`liveness_by_clock` tells a silent corpus too.
+    """
     limit_ms = int(pd.Timedelta(stale_after).total_seconds() * 1000)
 
     def update(key, frames, state):
@@ -67,6 +116,20 @@ def liveness(events: DataFrame, stale_after: str = "10 minutes") -> DataFrame:
     return timed.groupBy("loop").applyInPandasWithState(update, LIVENESS, "last_success timestamp, last_error timestamp, last_summary string", "update", "EventTimeTimeout")
 
 
+def liveness_by_clock(events: DataFrame, stale_after: str = "10 minutes") -> DataFrame:
+    """Each loop's last success, error and summary, updated as events come; a silent loop turns stale (K2).
+
+    Staleness goes by the clock, not by the events: a timer of each loop fires when its newest event is older than the
+    limit, though no loop sends any more.  Events that are that old when they come are stale at once.  For streams with a
+    processing-time trigger: while timers are set, a stream over what there is would not end.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    limit_ms = int(pd.Timedelta(stale_after).total_seconds() * 1000)
+    rows = events.filter("loop is not null and kind in ('success', 'error') and ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.groupBy("loop").transformWithStateInPandas(Liveness(limit_ms), LIVENESS, "Update", "ProcessingTime")
+
+
 def liveness_at(events: DataFrame, as_of: str, stale_after: str = "10 minutes") -> DataFrame:
     """:func:`liveness` of a table of events at a moment: a loop whose newest event is older than the limit is stale (K2).
 
@@ -96,6 +159,22 @@ def ingest(batch: DataFrame, corpus: Corpus, as_of: str, source: str = "feed") -
     return corpus.with_(entities=entities, aliases=aliases, articles=articles, links=links), ingest_summary(outcomes)
 
 
+def ingest_batch(batch: DataFrame, number: int, path: str, as_of: str, source: str = "feed") -> DataFrame | None:
+    """:func:`ingest` of one batch into the versioned corpus of a folder; None where that batch was committed before (K4).
+
+    To be given to ``foreachBatch``: a batch that is played again, after a loss of the driver between two tables or of the
+    checkpoint, changes nothing that stands.
+    """
+    spark = batch.sparkSession
+    if number <= last_commit(spark, path)[0]:
+        return None
+    before = read_version(spark, path)
+    after, summary = ingest(batch, before, as_of, source)
+    summary = snapshot(summary)
+    commit(before, after, path, number, ("entities", "aliases", "articles", "links"))
+    return summary
+
+
 def retain(events: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """Events of the last days, the boundary included (K3)."""
     return events.filter(F.col("ts") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {days} days"))

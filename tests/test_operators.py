@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pressgrid.operators import aggregates as A, components as C, joins as J, lifecycle as L, resolve, search as X, similarity as S
 from pressgrid.schema import Corpus
-from pressgrid.sources import feeds
+from pressgrid.sources import feeds, versions as VS
 from pressgrid.streaming import jobs as K
 from pressgrid.tables import snapshot
 
@@ -223,6 +223,53 @@ def test_liveness(spark, event_log, tmp_path):
     assert last["b"]["last_summary"] == "1" and last["a"]["last_error"] is not None and set(last) == {"a", "b", "c"}
 
 
+def test_a_silent_loop_turns_stale(spark, tmp_path):
+    """No event comes any more, and yet the stream says so when the time is up."""
+    import time
+
+    now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None) + datetime.timedelta(seconds=10)  # time for the first batch to start
+    old = now - datetime.timedelta(hours=2)
+    schema = "ts timestamp_ntz, kind string, loop string, summary string"
+    spark.createDataFrame([(now, "success", "a", "1"), (now, "other", "a", None), (old, "error", "b", "2")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = []
+    live = K.liveness_by_clock(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "20 seconds")
+    running = live.writeStream.foreachBatch(lambda df, n: got.extend(df.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        end = time.monotonic() + 120
+        while time.monotonic() < end and running.isActive and [r["stale"] for r in got if r["loop"] == "a"][-1:] != [True]:
+            time.sleep(0.5)
+    finally:
+        running.stop()
+    assert [r["stale"] for r in got if r["loop"] == "b"] == [True]
+    mine = [r for r in got if r["loop"] == "a"]
+    assert [r["stale"] for r in mine] == [False, True] and mine[-1]["last_summary"] == "1" and mine[-1]["last_error"] is None
+
+
+FEED = "url string, title string, published_at date, scraped_at timestamp_ntz, domain string, persons array<string>"
+
+
+def test_a_batch_that_dies_and_comes_again(spark, corpus, tmp_path, monkeypatch):
+    """A batch lost between two tables leaves the corpus as it was; played again it is whole, and a third time changes nothing."""
+    path = str(tmp_path / "corpus")
+    VS.commit(Corpus.empty(spark), corpus, path, 0)
+    day = datetime.datetime(2026, 1, 3)
+    batch = spark.createDataFrame([("u10", "again", None, day, "d", ["Grace Hopper"]), ("u99", "new", None, day, "d", ["Grace Hopper", "Ada Lovelace"])], FEED)
+    state = lambda: {k: sorted(map(str, df.collect())) for k, df in VS.read_version(spark, path).items()}
+    start, mark = state(), VS._mark
+    monkeypatch.setattr(VS, "_mark", lambda *a: (_ for _ in ()).throw(OSError("the driver is gone")))
+    with pytest.raises(OSError):
+        K.ingest_batch(batch, 1, path, "2026-01-04")
+    assert state() == start
+    monkeypatch.setattr(VS, "_mark", mark)
+    assert {r["outcome"]: r["n"] for r in K.ingest_batch(batch, 1, path, "2026-01-04").collect()} == {"already": 1, "new": 1}
+    after = state()
+    whole, _ = K.ingest(batch, corpus, "2026-01-04")
+    assert len(after["articles"]) == 3 and len(after["entities"]) == 4 and len(after["links"]) == whole.links.count() and after["images"] == start["images"]
+    assert K.ingest_batch(batch, 1, path, "2026-01-04") is None and state() == after
+    VS.compact(spark, path)
+    assert state() == after and VS.last_commit(spark, path)[0] == 1 and all(len(v) == 1 for v in VS.last_commit(spark, path)[1].values())
+
+
 def test_new_articles(spark, corpus, tmp_path):
     rows_ = corpus.articles.unionByName(corpus.articles)
     rows_.write.parquet(str(tmp_path / "in"))
