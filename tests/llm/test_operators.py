@@ -478,32 +478,74 @@ def test_urls_rules(spark):
     assert url_filter.filter_urls(df.limit(0), none).count() == 0
 
 
-def test_urls_mined_rules_against_brute_force(spark):
+def brute_force_verdicts(items, marks, support=0.002, min_rows=5):
+    """Blocks what holds any combination of up to three items that is frequent, confident and lifted among the labels."""
     from itertools import combinations
 
-    rng = random.Random(9)
-    rows, labels = [], []
-    for i in range(400):
-        host, lang, key = rng.choice(["a", "spam", "c"]), rng.choice(["en", "de"]), rng.choice(["x", "y"])
-        rows.append((i, f"https://{host}.example.net/{lang}/{rng.choice(['buy', 'read'])}?{key}=1"))
-        bad = (host == "spam" and key == "x") or rng.random() < 0.05
-        if i % 2 == 0:
-            labels.append((i, bad))
-    pages = spark.createDataFrame(rows, "page_id bigint, url string")
-    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, spark.createDataFrame(labels, "page_id bigint, bad boolean"), min_support=0.03).collect()}
-    host, path = url_filter.url_host(F.col("url")), url_filter.url_path(F.col("url"))
-    items = {r[0]: set(r[1]) for r in pages.select("page_id", url_filter.url_tokens(host, path, F.col("url"))).collect()}
-    marks, total = dict(labels), len(labels)
-    bads = sum(marks.values())
+    total, bads = len(marks), sum(marks.values())
     count, bad_count = defaultdict(int), defaultdict(int)
     for i, bad in marks.items():
         for n in (1, 2, 3):
             for c in combinations(sorted(items[i]), n):
                 count[c] += 1
                 bad_count[c] += bad
-    rules = [c for c in count if bad_count[c] >= 0.03 * total and bad_count[c] >= 0.5 * count[c] and bad_count[c] / count[c] >= 1.5 * bads / total]
+    least = max(support, min_rows / total) * total - 1e-9
+    rules = [c for c in count if bad_count[c] >= least and bad_count[c] >= 0.5 * count[c] and bad_count[c] / count[c] >= 1.5 * bads / total]
     assert rules
-    assert got == {i: "block" if any(items[i].issuperset(c) for c in rules) else "allow" for i in items}
+    by_item = defaultdict(list)
+    for c in rules:
+        by_item[c[0]].append(set(c))
+    return {i: "block" if any(held.issuperset(c) for x in held for c in by_item.get(x, ())) else "allow" for i, held in items.items()}
+
+
+def assert_verdicts(spark, rows, labels, **least):
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    host, path = url_filter.url_host(F.col("url")), url_filter.url_path(F.col("url"))
+    items = {r[0]: set(r[1]) for r in pages.select("page_id", url_filter.url_tokens(host, path, F.col("url"))).collect()}
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, spark.createDataFrame(labels, "page_id bigint, bad boolean"), **least).collect()}
+    assert got == brute_force_verdicts(items, dict(labels), least.get("min_support", 0.002))
+    return got
+
+
+def random_pages(n=400, seed=9):
+    rng, rows, labels = random.Random(seed), [], []
+    for i in range(n):
+        host, lang, key = rng.choice(["a", "spam", "c"]), rng.choice(["en", "de"]), rng.choice(["x", "y"])
+        rows.append((i, f"https://{host}.example.net/{lang}/{rng.choice(['buy', 'read'])}?{key}=1"))
+        bad = (host == "spam" and key == "x") or rng.random() < 0.05
+        if i % 2 == 0:
+            labels.append((i, bad))
+    return rows, labels
+
+
+def test_urls_mined_rules_against_brute_force(spark):
+    assert_verdicts(spark, *random_pages(), min_support=0.03)
+
+
+def test_urls_level_by_level(spark, monkeypatch):
+    """Where rows are too wide for FP-growth the same rules come from counting by levels."""
+    monkeypatch.setattr(url_filter, "WIDE", 1)
+    assert_verdicts(spark, *random_pages(240, 3), min_support=0.03)
+
+
+def test_urls_items_that_coincide_among_labels_alone(spark):
+    """Items that only the labelled rows have together each stand for themselves on other pages, alone and in pairs."""
+    rows = [(i, f"https://spam.example.net/p/{i}") for i in range(20)] + [(20 + i, f"https://c.example.net/p/{i}") for i in range(20)]
+    labels = [(i, i < 20) for i in range(40)]
+    rows += [(50, "https://spam.other.net/a/7"), (51, "https://c.other.net/a/7"), (52, "https://x.spam.example.net/")]
+    # q and r coincide, and are bad with k alone; a third of both is good.
+    rows += [(100 + i, f"https://h{i}.net/q/r" + ("?k=1" if i < 20 else "")) for i in range(50)] + [(200 + i, f"https://g{i}.net/z?k=1") for i in range(30)]
+    labels += [(100 + i, i < 20) for i in range(50)] + [(200 + i, False) for i in range(30)]
+    rows += [(300, "https://n1.net/q?k=2"), (301, "https://n2.net/r?k=2"), (302, "https://n3.net/q/r"), (303, "https://n4.net/s?k=2")]
+    got = assert_verdicts(spark, rows, labels)
+    assert got[50] == got[300] == got[301] == "block" and got[51] == got[302] == got[303] == "allow"
+
+
+def test_urls_of_fifteen_items(spark):
+    rng = random.Random(2)
+    rows = [(i, "https://w.net/" + "/".join(sorted({f"s{rng.randrange(30)}" for _ in range(15)}))) for i in range(300)]
+    labels = [(i, "s1/" in u and "s2" in u) for i, u in rows if i % 3]
+    assert_verdicts(spark, rows, labels)
 
 
 def test_urls_with_very_many_segments(spark):
