@@ -9,7 +9,9 @@ from ..functions.names import bucket_letter, sort_key
 from ..functions.rules import DEFAULT_PROVIDER, safe_ratio
 from ..functions.vectors import l2_normalize
 from ..schema import Corpus
+from ..tables import sided, snapshot
 from .filters import favorites, live
+from .ranks import ranked
 
 
 def recompute_counts(c: Corpus) -> DataFrame:
@@ -163,12 +165,19 @@ def centroids(images: DataFrame, flags: tuple[str, ...] = ("flagged", "human_fla
 
 
 def composite_vector(images: DataFrame, mode: str = "equal") -> DataFrame:
-    """Weighted mean of an entity's vectors, equal or falling from 1.0 to 0.1 in order of scraped_at and id."""
-    w = W.partitionBy("entity_id")
-    place = F.row_number().over(w.orderBy("scraped_at", "id")) - 1
-    n = F.count("*").over(w)
-    weight = F.lit(1.0) if mode == "equal" else F.when(n > 1, 1.0 - 0.9 * place / (n - 1)).otherwise(1.0)
-    cells = images.filter("vector is not null").withColumn("w", weight).select("entity_id", "w", F.posexplode("vector").alias("pos", "x"))
+    """Weighted mean of an entity's vectors, equal or falling from 1.0 to 0.1 in order of scraped_at and id.
+
+    Places come from :func:`ranked`, so an entity may have any number of images; sums are taken before the shuffle.
+    """
+    rows = images.filter("vector is not null").select("entity_id", "scraped_at", "id", "vector")
+    if mode == "equal":
+        rows = rows.withColumn("w", F.lit(1.0))
+    else:
+        placed = ranked(rows, "entity_id", ["scraped_at", "id"])
+        totals = snapshot(rows.groupBy("entity_id").agg((F.count("*") - 1).alias("last")))
+        met = placed.join(sided(totals.withColumnRenamed("entity_id", "its_entity")), F.col("entity_id").eqNullSafe(F.col("its_entity")))
+        rows = met.withColumn("w", F.when(F.col("last") > 0, 1.0 - 0.9 * (F.col("place") - 1) / F.col("last")).otherwise(1.0))
+    cells = rows.select("entity_id", "w", F.posexplode("vector").alias("pos", "x"))
     sums = cells.groupBy("entity_id", "pos").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("m"))
     return sums.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("vector"))
 

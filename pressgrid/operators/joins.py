@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.names import name_variants, slug
 from ..schema import Corpus
+from ..tables import sided, snapshot
 from .filters import live
 
 
@@ -34,11 +35,16 @@ def orphan_articles(c: Corpus) -> DataFrame:
     return c.articles.join(c.links.select(F.col("article_id").alias("id")), "id", "left_anti")
 
 
-def cooccurrence(links: DataFrame, min_shared: int = 1, pair: tuple[int, int] | None = None, max_entities: int | None = None) -> DataFrame:
+#: Entities of a block of an article that names more than these.
+ARTICLE_BLOCK = 1000
+
+
+def cooccurrence(links: DataFrame, min_shared: int = 1, pair: tuple[int, int] | None = None) -> DataFrame:
     """Shared articles of each two entities, or of one pair.
 
-    One pair is two filtered scans and a count.  All pairs join the links with themselves on the article; an article of
-    n entities gives n * (n - 1) / 2 pairs, and ``max_entities`` can leave articles out that name very many.
+    One pair is two filtered scans and a count.  All pairs join the links with themselves on the article.  An article of very
+    many entities is dealt into blocks, and each two of its blocks meet under a key of their own: its pairs, which are the
+    result, spread over as many tasks, and none is left out.
     """
     links = links.select("article_id", "entity_id").distinct()
     if pair:
@@ -47,11 +53,18 @@ def cooccurrence(links: DataFrame, min_shared: int = 1, pair: tuple[int, int] |
         right = links.filter(F.col("entity_id") == high).select("article_id")
         found = left.join(right, "article_id").agg(F.count("*").alias("shared"))
         return found.select(F.lit(low).alias("entity_a"), F.lit(high).alias("entity_b"), "shared").filter(F.col("shared") >= min_shared)
-    if max_entities:
-        small = links.groupBy("article_id").agg(F.count("*").alias("n")).filter(F.col("n") <= max_entities)
-        links = links.join(small.select("article_id"), "article_id", "left_semi")
-    a, b = links.withColumnRenamed("entity_id", "entity_a"), links.withColumnRenamed("entity_id", "entity_b")
-    pairs = a.join(b, "article_id").filter("entity_a < entity_b")
+    large = links.groupBy(F.col("article_id").alias("large_id")).agg(F.count("*").alias("n")).filter(F.col("n") > ARTICLE_BLOCK)
+    large = snapshot(large.select("large_id", F.ceil(F.col("n") / ARTICLE_BLOCK).cast("int").alias("blocks")))
+    few = large.limit(1).count()
+    plain = links.join(sided(large), F.expr("article_id = large_id"), "left_anti") if few else links
+    a, b = plain.withColumnRenamed("entity_id", "entity_a"), plain.withColumnRenamed("entity_id", "entity_b")
+    pairs = a.join(b, "article_id").filter("entity_a < entity_b").select("entity_a", "entity_b")
+    if few:
+        dealt = links.join(sided(large), F.expr("article_id = large_id")).withColumn("block", F.pmod(F.xxhash64("entity_id"), F.col("blocks")).cast("int"))
+        left = dealt.select("article_id", F.col("entity_id").alias("x"), F.col("block").alias("low"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("high"))
+        right = dealt.select("article_id", F.col("entity_id").alias("y"), F.col("block").alias("high"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("low"))
+        met = left.hint("merge").join(right, ["article_id", "low", "high"]).filter("low < high or x < y")
+        pairs = pairs.unionByName(met.select(F.least("x", "y").alias("entity_a"), F.greatest("x", "y").alias("entity_b")))
     return pairs.groupBy("entity_a", "entity_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
 
 
@@ -89,8 +102,8 @@ def resolve_mentions(mentions: DataFrame, entities: DataFrame, aliases: DataFram
     known = entities.select(F.col("slug").alias("own_slug"), F.col("id").alias("by_slug"))
     owners = aliases.groupBy(F.col("alias").alias("raw_name")).agg(F.max_by("entity_id", "id").alias("by_alias"))
     status = entities.select(F.col("id").alias("entity_id"), "kb_status")
-    found = mentions.withColumn("own_slug", slug(F.col("raw_name"))).join(known, "own_slug", "left").join(owners, "raw_name", "left")
-    found = found.withColumn("entity_id", F.coalesce("by_slug", "by_alias")).join(status, "entity_id", "left")
+    found = mentions.withColumn("own_slug", slug(F.col("raw_name"))).join(known.hint("merge"), "own_slug", "left").join(owners.hint("merge"), "raw_name", "left")
+    found = found.withColumn("entity_id", F.coalesce("by_slug", "by_alias")).join(status.hint("merge"), "entity_id", "left")
     outcome = F.when(F.col("kb_status").eqNullSafe("not_person"), "rejected").when(F.col("by_slug").isNotNull(), "slug").when(F.col("by_alias").isNotNull(), "alias").otherwise("new")
     return found.select(*mentions.columns, "own_slug", "entity_id", outcome.alias("outcome"))
 

@@ -6,17 +6,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.names import tokens
 from ..functions.rules import FLAG, flag_hypothesis
 from ..functions.vectors import cosine_distance
-from ..tables import snapshot
+from ..tables import sided, snapshot
 from .components import components, in_order
 from .filters import live
 
 #: Rows of a block in the all-pairs product.
 BLOCK_ROWS = 2048
+#: Pivots of the blocks of vectors at most.
+PIVOTS = 64
 
 
 def md5_64(token: Column) -> Column:
@@ -155,7 +157,7 @@ def dedup_groups(df: DataFrame, marks: DataFrame, group: str = "entity_id", key:
 def audit(images: DataFrame, centroids: DataFrame, limit: float = 0.55) -> DataFrame:
     """Confirms or flags each image by its distance to its own entity's centroid, decisions of people aside (V4)."""
     open_rows = images.filter("vector is not null and not coalesce(association_status in ('manual', 'human_flagged'), false)")
-    scored = open_rows.join(centroids.select("entity_id", "centroid"), "entity_id").filter("centroid is not null")
+    scored = open_rows.join(centroids.select("entity_id", "centroid").hint("merge"), "entity_id").filter("centroid is not null")
     distance = cosine_distance(F.col("vector"), F.col("centroid"))
     return scored.select("id", "entity_id", F.round(distance, 4).alias("match_score"), F.when(distance <= limit, "confirmed").otherwise(FLAG).alias("association_status"))
 
@@ -182,18 +184,78 @@ def _block_pairs(limit: float):
     return run
 
 
+def _far(pivots: np.ndarray):
+    """Distances of the vectors of a batch to all pivots, and the nearest one."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                v = np.array(list(f["v"]), float)
+                far = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * v @ pivots.T, 0))
+                yield f.assign(cell=far.argmin(1).astype("int32"), far=list(far), norm=(v * v).sum(1))
+
+    return run
+
+
+def _pivots(rows: DataFrame, count: int) -> np.ndarray:
+    """Vectors that lie far from each other, of a sample of fixed size that a hash of the id chooses."""
+    held = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(16 * count).collect()], float)
+    chosen = [0]
+    near = ((held - held[0]) ** 2).sum(1)
+    while len(chosen) < min(count, len(held)) and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((held - held[chosen[-1]]) ** 2).sum(1))
+    return held[chosen]
+
+
+def pivot_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows(id, v)`` in blocks of about ``BLOCK_ROWS``: the cell of the nearest pivot, cut by the distance to it.
+
+    Returns ``block, rows, low, high, norm``: the least and greatest distance of the block to each pivot, and its largest squared norm.
+    """
+    pivots = _pivots(rows, min(PIVOTS, blocks))
+    placed = snapshot(rows.mapInPandas(_far(pivots), "id bigint, v array<double>, cell int, far array<double>, norm double").withColumn("own", F.element_at("far", F.col("cell") + 1)))
+    sizes = placed.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("pieces"), F.min("own").alias("least"), F.max("own").alias("most"))
+    ring = F.least(F.col("pieces") - 1, F.floor((F.col("own") - F.col("least")) / F.when(F.col("most") > F.col("least"), F.col("most") - F.col("least")) * F.col("pieces"))).cast("int")
+    ringed = snapshot(placed.join(sided(snapshot(sizes)), F.expr("cell = c")).withColumn("ring", F.coalesce(ring, F.lit(0))).drop("c", "pieces", "least", "most", "own"))
+    # Rings of unlike sizes are dealt once more, so that a block's size is bounded whatever the vectors are.
+    again = snapshot(ringed.groupBy(F.col("cell").alias("c"), F.col("ring").alias("r")).agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("parts")))
+    dealt = ringed.join(sided(again), F.expr("cell = c and ring = r")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    edge = lambda f: F.array(*[f(F.element_at("far", F.lit(i + 1))) for i in range(len(pivots))])
+    grouped = dealt.groupBy("cell", "ring", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows"), edge(F.min).alias("low"), edge(F.max).alias("high"), F.max("norm").alias("norm"))
+    return snapshot(grouped.withColumn("block", F.monotonically_increasing_id()).drop("cell", "ring", "part"))
+
+
+def meeting_blocks(blocks: DataFrame, limit: float) -> DataFrame:
+    """``left_block, right_block``: the pairs of blocks that may hold two vectors within a cosine distance.
+
+    By the triangle inequality two vectors lie at least as far apart as their distances to any pivot differ, so their
+    inner product is at most half of what their squared norms exceed that gap's square by.  Pairs of blocks are made here, not of rows.
+    """
+    bounds = snapshot(blocks.select("block", "low", "high", "norm").withColumn("nth", F.row_number().over(W.orderBy("block"))))  # a row for each block
+    right = bounds.select(F.col("block").alias("right_block"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("norm").alias("norm2"), "nth")
+    left = bounds.select(F.col("block").alias("left_block"), "low", "high", "norm", F.explode(F.sequence("nth", F.lit(bounds.count()))).alias("nth"))
+    gaps = F.zip_with(F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    dot = (F.col("norm") + F.col("norm2") - F.pow(F.array_max(gaps), 2)) / 2
+    return snapshot(left.hint("merge").join(right, "nth").filter(1 - dot <= limit + 1e-9).select("left_block", "right_block"))
+
+
 def vector_pairs(vectors: DataFrame, limit: float, key: str = "id", vector: str = "centroid") -> DataFrame:
-    """All pairs of unit vectors within a cosine distance (J9): one matrix product for each two blocks of fixed size.
+    """All pairs of unit vectors within a cosine distance (J9): one matrix product for each two blocks that may meet.
 
-    A caller filters before, so that the number of blocks is that of entities which may merge at all.
+    Blocks are cells around pivots, and two blocks whose distances to some pivot differ too much are never multiplied
+    (:func:`meeting_blocks`).  Vectors of one block are one product.
     """
     rows = snapshot(vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")))
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    grouped = snapshot(rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows")))
+    count = max(1, -(-rows.count() // BLOCK_ROWS))
     ids, vs = F.transform("rows", lambda r: r["id"]), F.transform("rows", lambda r: r["v"])
-    left = grouped.select(F.col("block").alias("left_block"), ids.alias("left_ids"), vs.alias("left_vectors"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("right_block"))
+    if count == 1:
+        grouped = snapshot(rows.agg(F.collect_list(F.struct("id", "v")).alias("rows")).filter("size(rows) > 0").select(F.lit(0).alias("block"), "rows"))
+        met = grouped.select(F.col("block").alias("left_block"), ids.alias("left_ids"), vs.alias("left_vectors"), F.col("block").alias("right_block"), ids.alias("right_ids"), vs.alias("right_vectors"))
+        return met.mapInPandas(_block_pairs(limit), "a bigint, b bigint, distance double")
+    grouped = pivot_blocks(rows, count)
+    left = grouped.select(F.col("block").alias("left_block"), ids.alias("left_ids"), vs.alias("left_vectors"))
     right = grouped.select(F.col("block").alias("right_block"), ids.alias("right_ids"), vs.alias("right_vectors"))
-    met = left.hint("merge").join(right, "right_block")
+    met = meeting_blocks(grouped, limit).join(left.hint("merge"), "left_block").join(right.hint("merge"), "right_block")
     return met.mapInPandas(_block_pairs(limit), "a bigint, b bigint, distance double")
 
 

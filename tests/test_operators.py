@@ -332,6 +332,55 @@ def test_components_larger_than_a_row(spark, monkeypatch):
         assert sorted(tuple(r) for r in got) == plain_marks(data, bits)
 
 
+def test_articles_of_many_entities(spark, monkeypatch):
+    """An article with more entities than a block gives all its pairs, over several tasks; small articles beside it."""
+    monkeypatch.setattr(J, "ARTICLE_BLOCK", 20)
+    rng = random.Random(6)
+    links = [(1, e) for e in range(150)] + [(2, e) for e in range(0, 150, 3)] + [(a, rng.randrange(150)) for a in range(3, 40) for _ in range(4)] + [(1, 5), (None, 7)]
+    want = {}
+    for a in {a for a, _ in links if a is not None}:
+        own = sorted({e for x, e in links if x == a})
+        for i, x in enumerate(own):
+            for y in own[i + 1:]:
+                want[x, y] = want.get((x, y), 0) + 1
+    df = spark.createDataFrame(links, "article_id bigint, entity_id bigint")
+    assert {(r[0], r[1]): r[2] for r in J.cooccurrence(df).collect()} == want
+    assert {(r[0], r[1]): r[2] for r in J.cooccurrence(df, 3).collect()} == {k: n for k, n in want.items() if n >= 3}
+
+
+def test_composite_over_parts(spark, monkeypatch):
+    """One entity with nearly all images: its places come from several parts."""
+    from pressgrid.operators import ranks
+
+    monkeypatch.setattr(ranks, "PART_ROWS", 30)
+    rng = random.Random(4)
+    data = [(i, None if i % 17 == 0 else 1 if i % 9 else 2, None if i % 5 == 0 else rng.randrange(40), [rng.random(), float(i)]) for i in range(200)]
+    df = spark.createDataFrame(data, "id bigint, entity_id bigint, scraped_at bigint, vector array<float>")
+    got = {r["entity_id"]: r["vector"] for r in A.composite_vector(df, "linear").collect()}
+    for e in (1, 2, None):
+        own = sorted((r for r in data if r[1] == e), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        w = [1 - 0.9 * k / (len(own) - 1) for k in range(len(own))]
+        assert got[e] == pytest.approx([sum(x * r[3][p] for x, r in zip(w, own)) / sum(w) for p in (0, 1)], rel=1e-5)
+    parts = ranks.ranked(df.drop("vector"), "entity_id", ["scraped_at", "id"])
+    assert sorted(r["place"] for r in parts.filter("entity_id = 1").collect()) == list(range(1, 1 + sum(r[1] == 1 for r in data)))
+
+
+def test_blocks_that_cannot_meet(spark, monkeypatch):
+    """Pairs are those of the whole product, though most pairs of blocks are never multiplied where vectors lie in clusters."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (12, 16))
+    v = np.concatenate([c + rng.normal(0, 0.05, (50, 16)) for c in centres] + [np.repeat(centres[:1], 90, 0)])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, centroid array<double>")
+    far = 1 - v @ v.T
+    want = {(i, j) for i, j in zip(*np.nonzero(far <= 0.1)) if i < j}
+    assert {(r["a"], r["b"]) for r in S.vector_pairs(df, 0.1).collect()} == want
+    blocks = S.pivot_blocks(df.select("id", F.col("centroid").alias("v")), 18)
+    n, met = blocks.count(), S.meeting_blocks(blocks, 0.1).count()
+    assert blocks.agg(F.max(F.size("rows"))).first()[0] <= 80 and met < 0.5 * n * (n + 1) / 2
+
+
 def test_merges_of_components_larger_than_a_row(spark, monkeypatch):
     monkeypatch.setattr(C, "FOLD_ROWS", 5)
     test_centroid_merges_equal_the_sequential_order(spark)
