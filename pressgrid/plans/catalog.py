@@ -607,6 +607,409 @@ REVIEW = """(select * from c_images where association_status in ('flagged', 'hum
 REVIEW_TOTAL = "(select count(*) from c_images where association_status in ('flagged', 'human_flagged')) as total"
 
 
+@query(f"select id, match_score, {REVIEW_TOTAL} from {REVIEW}")
+def t1_review_queue(c, read):
+    return T.review_queue(c.images, 500).select("id", "match_score", "total")
+
+
+@query("select id, (select count(*) from c_articles) as total from c_articles order by published_at desc nulls last, scraped_at desc nulls last, id limit 50 offset 100")
+def t2_article_page(c, read):
+    return T.article_page(c.articles, 50, 100).select("id", "total")
+
+
+@query("select id, name from c_entities where kb_status is distinct from 'not_person' order by name, id limit 40 offset 10")
+def t3_entity_page(c, read):
+    return T.entity_page(c.entities, 40, 10).select("id", "name")
+
+
+@query("select id from c_entities where is_favorite and kb_status is distinct from 'not_person' order by image_count desc nulls last, name, id limit 100")
+def t4_favorite_page(c, read):
+    return T.favorite_page(c.entities).select("id")
+
+
+NEXT = f"""(select id, tier from (select *, case when is_favorite and (last_synced_at is null or last_synced_at < timestamp '{AS_OF}' - interval 7 day) then 1 when last_synced_at is null then 2
+  when last_synced_at < timestamp '{AS_OF}' - interval 30 day then 3 end as tier from c_entities) where tier is not null
+  order by tier, case when tier < 3 then mentions end desc nulls last, case when tier = 3 then last_synced_at end, id limit {{n}})"""
+
+
+@query(f"select * from {NEXT.format(n=60)}")
+def t5_next_batch(c, read):
+    return T.next_batch(c.entities, AS_OF, 60).select("id", "tier")
+
+
+SURNAMES = """(select lower(trim(split_part(name, ',', 1))) as surname, list(id order by image_count desc, name, id) as members, cast(sum(image_count) as bigint) as images from c_entities
+  where kb_status is distinct from 'not_person' group by 1 having count(*) > 1 order by images desc, surname limit 30)"""
+
+
+@query(f"select surname, array_to_string(members, ',') as members, images from {SURNAMES}")
+def t6_surname_groups(c, read):
+    return T.surname_groups(c.entities).select("surname", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "images")
+
+
+# Keys begin with a number of fixed width, so French order is that of the numbers.
+@query("select id, name from c_entities where kb_status is distinct from 'not_person' order by regexp_extract(name, 'Supplier#[0-9]+'), id limit 200")
+def t7_first_name_page(c, read):
+    return T.first_name_page(c.entities).select("id", "name")
+
+
+@query("select id from c_entities where kb_status <> 'not_person'")
+def f2_live_strict(c, read):
+    return P.live(c.entities, strict=True).select("id")
+
+
+@query("select id, 'in' as side from c_images where association_status in ('flagged', 'manual') union all select id, 'out' from c_images where association_status not in ('flagged', 'manual')")
+def f3_status_sets(c, read):
+    return P.status_in(c.images, "flagged", "manual").select("id", F.lit("in").alias("side")).unionByName(P.status_not_in(c.images, "flagged", "manual").select("id", F.lit("out").alias("side")))
+
+
+@query("select id, 'analysis' as kind from (select id from c_images where analysis_status = 'pending' order by id limit 40) union all select id, 'kb_done' from (select id from c_entities where kb_status = 'done' and kb_id is not null order by id limit 40)")
+def f4_backlog(c, read):
+    return P.backlog(c.images, "analysis", 40).select("id", F.lit("analysis").alias("kind")).unionByName(P.backlog(c.entities, "kb_done", 40).select("id", F.lit("kb_done").alias("kind")))
+
+
+@query("select id from c_articles where published_at between date '1997-01-01' and date '1997-12-31'")
+def f5_date_range(c, read):
+    return P.date_range(c.articles, "1997-01-01", "1997-12-31").select("id")
+
+
+@query("select id from c_images where coalesce(provider, 'feed') = 'feed'")
+def f6_provider(c, read):
+    return P.where_provider(c.images, "feed").select("id")
+
+
+@query("select id from c_articles where domain = '1-URGENT' union all select id from c_entities where is_favorite")
+def f6_domain_favorites(c, read):
+    return P.where_domain(c.articles, "1-URGENT").select("id").unionByName(P.favorites(c.entities).select("id"))
+
+
+@query("select id from c_images where starts_with(caption, 'View of R') or source_url ilike '%/17%.png%'")
+def f7_demo_rows(c, read):
+    return P.demo_rows(c.images, ["View of R"], "%/17%.png%").select("id")
+
+
+# ---- joins
+
+@query("select l.article_id, l.entity_id, a.domain, e.name from c_links l join c_articles a on a.id = l.article_id join c_entities e on e.id = l.entity_id")
+def j1_article_mentions(c, read):
+    return J.article_mentions(c).select("article_id", "entity_id", "domain", "name")
+
+
+@query("""select i.id, e.name as entity_name, a.title as article_title, f.pose from c_images i left join c_entities e on e.id = i.entity_id
+  left join c_articles a on a.id = i.article_id left join c_faces f on f.image_id = i.id""")
+def j2_images_wide(c, read):
+    return J.images_wide(c).select("id", "entity_name", "article_title", "pose")
+
+
+@query("select id, title from c_articles where id in (select article_id from c_links where entity_id = 3)")
+def j3_articles_of(c, read):
+    return J.articles_of(c, 3).select("id", "title")
+
+
+@query("select id from c_articles where not exists (select 1 from c_links where article_id = c_articles.id)")
+def j4_orphan_articles(c, read):
+    return J.orphan_articles(c).select("id")
+
+
+@query("select a.entity_id as entity_a, b.entity_id as entity_b, count(*) as shared from c_links a join c_links b on a.article_id = b.article_id and a.entity_id < b.entity_id group by 1, 2")
+def j5_cooccurrence(c, read):
+    return J.cooccurrence(c.links)
+
+
+@query("""select a.id, a.title, l.entity_id, e.name as entity_name from c_articles a left join (select article_id, min(entity_id) as entity_id from c_links group by 1) l on l.article_id = a.id
+  left join c_entities e on e.id = l.entity_id""")
+def j6_first_entity(c, read):
+    return J.first_entity(c)
+
+
+J7_SQL = """select i.id as image_id, arg_min(l.entity_id, l.entity_id) as entity_id from c_images i join c_links l on l.article_id = i.article_id join c_entities e on e.id = l.entity_id
+  where contains(lower('for Nation' || (i.id % 25) || ', Supplier#00000000' || (i.id % 10) || ' ' || i.caption), lower(e.name)) group by 1"""
+
+
+def _captioned(c: Corpus) -> DataFrame:
+    text = F.concat(F.lit("for Nation"), (F.col("id") % 25).cast("string"), F.lit(", Supplier#00000000"), (F.col("id") % 10).cast("string"))
+    return c.images.filter("article_id is not null").select(F.col("id").alias("image_id"), "article_id", text.alias("alt"), "caption")
+
+
+@query(J7_SQL)
+def j7_associate(c, read):
+    own = c.links.select("article_id", "entity_id", F.col("entity_id").alias("entity_pos"))
+    names = c.entities.select(F.col("id").alias("entity_id"), F.lit(0).alias("position"), F.col("name").alias("variant"))
+    return J.associate(_captioned(c), own, names)
+
+
+def _hashed(read) -> DataFrame:
+    return read("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("entity_id"), F.col("vec_id").alias("scraped_at"), V.median_bits(F.col("embedding")).alias("hash64"))
+
+
+#: The 64 bits as text, first number first.
+BITS = """(select vec_id as id, label::bigint as entity_id, array_to_string(list_transform(embedding, lambda x: case when x::double > list_sort(embedding[2:64])[32]::double then '1' else '0' end), '') as b from embeddings)"""
+
+
+@query(f"select id, b as bits from {BITS}")
+def v1_median_bits(c, read):
+    bits = F.reverse(F.lpad(F.bin("hash64"), 64, "0"))
+    return _hashed(read).select("id", bits.alias("bits"))
+
+
+@query(f"select x.entity_id, x.id as a, y.id as b, cast(hamming(x.b, y.b) as int) as bits from {BITS} x join {BITS} y on x.entity_id = y.entity_id and x.id < y.id where hamming(x.b, y.b) <= 20")
+def j8_hamming_pairs(c, read):
+    return S.hamming_pairs(_hashed(read), 20)
+
+
+@query("""select a.vec_id as a, b.vec_id as b, round(1 - list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * b.embedding[i]::double)), 6) as distance
+  from embeddings a join embeddings b on a.vec_id < b.vec_id
+  where 1 - list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * b.embedding[i]::double)) <= 0.6""")
+def j9_vector_pairs(c, read):
+    return S.vector_pairs(read("embeddings"), 0.6, "vec_id", "embedding").select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query("""select m.raw_name, coalesce(e.id, a.entity_id) as entity_id, case when s.kb_status = 'not_person' then 'rejected' when e.id is not null then 'slug' when a.entity_id is not null then 'alias' else 'new' end as outcome
+  from (select c_name as raw_name from customer union all select s_name from supplier) m
+  left join (select id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as slug from c_entities) e on e.slug = trim(regexp_replace(lower(m.raw_name), '[^a-z0-9]+', '-', 'g'), '-')
+  left join (select alias, arg_max(entity_id, id) as entity_id from c_aliases group by 1) a on a.alias = m.raw_name
+  left join c_entities s on s.id = coalesce(e.id, a.entity_id)""")
+def j10_resolve_mentions(c, read):
+    mentions = read("customer").select(F.col("c_name").alias("raw_name")).unionByName(read("supplier").select(F.col("s_name").alias("raw_name")))
+    own = c.entities.withColumn("slug", F.regexp_replace(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
+    return J.resolve_mentions(mentions, own, c.aliases).select("raw_name", "entity_id", "outcome")
+
+
+@query("select i.id, d.source_url as canonical_url from (select id, case when is_duplicate then id - id % 100 + 1 end as of from c_images) i left join c_images d on d.id = i.of")
+def j11_with_canonical(c, read):
+    images = c.images.withColumn("duplicate_of", F.when(F.col("is_duplicate"), F.col("id") - F.col("id") % 100 + 1))
+    return J.with_canonical(images).select("id", "canonical_url")
+
+
+@query("""select s_suppkey as key, array_to_string(list_filter([n.n_name, m.n_name], lambda x: x is not null), ',') as labels from supplier
+  left join nation n on n.n_nationkey = s_nationkey left join nation m on m.n_nationkey = (s_nationkey + 7) % 30""")
+def j12_labels(c, read):
+    q = lambda x: F.concat(F.lit("Q"), x.cast("string"))
+    ids = read("supplier").select(F.col("s_suppkey").alias("key"), F.array(q(F.col("s_nationkey")), q((F.col("s_nationkey") + 7) % 30)).alias("kb_ids"))
+    labels = read("nation").select(q(F.col("n_nationkey")).alias("kb_id"), F.when(F.col("n_nationkey") % 2 == 0, "fr").otherwise("en").alias("lang"), F.col("n_name").alias("label"))
+    return J.resolve_labels(ids, labels).select("key", F.array_join("labels", ",").alias("labels"))
+
+
+@query("select id from c_images where aligned_path is not null and aligned_path not in (select 'a/' || p_partkey from part where p_size > 5)")
+def j13_missing_files(c, read):
+    manifest = read("part").filter("p_size > 5").select(F.concat(F.lit("a/"), F.col("p_partkey").cast("string")).alias("path"))
+    return J.missing_files(c.images.withColumn("local_path", F.col("aligned_path")), manifest).select("id")
+
+
+CLASH = """(select id, name, image_count as n from c_entities where kb_status is null or kb_status <> 'not_person')"""
+J14_SQL = f"""select name as collision_on, case when f then id else owner end as first_id, case when f then owner else id end as second_id from (
+  select a.id, a.name, o.owner, a.n > b.n or (a.n = b.n and a.name <= b.name) as f, row_number() over (partition by least(a.id, o.owner), greatest(a.id, o.owner) order by a.id) as k
+  from {CLASH} a join (select alias, arg_max(entity_id, id) as owner from c_aliases group by 1) o on o.alias = a.name and o.owner <> a.id join {CLASH} b on b.id = o.owner) where k = 1"""
+
+
+@query(J14_SQL)
+def j14_alias_collisions(c, read):
+    return J.alias_collisions(c.entities, c.aliases)
+
+
+# ---- aggregates
+
+COUNTS = """(select e.*, coalesce(i.n, 0) as images, coalesce(i.u, 0) as uniques, coalesce(l.n, 0) as articles, coalesce(e.first_seen, l.t) as seen from c_entities e
+  left join (select entity_id, count(*) as n, count(*) filter (where is_duplicate = false) as u from c_images group by 1) i on i.entity_id = e.id
+  left join (select entity_id, count(distinct article_id) as n, min(a.scraped_at) as t from c_links left join c_articles a on a.id = article_id group by 1) l on l.entity_id = e.id)"""
+
+
+@query(f"select id, articles as article_count, images as image_count, uniques as unique_image_count, cast(cast(seen as date) as varchar) as first_seen from {COUNTS}")
+def a1_a2_recompute_counts(c, read):
+    return A.recompute_counts(c).select("id", "article_count", "image_count", "unique_image_count", F.col("first_seen").cast("date").cast("string").alias("first_seen"))
+
+
+@query("""select entity_id, coalesce(f.pose, 'unknown') as pose, count(*) as n from c_images i left join c_faces f on f.image_id = i.id group by 1, 2
+  union all select null, coalesce(f.pose, 'unknown'), count(*) from c_images i left join c_faces f on f.image_id = i.id group by 2""")
+def a3_pose_distribution(c, read):
+    return A.pose_distribution(c, per_entity=True).unionByName(A.pose_distribution(c).withColumn("entity_id", F.lit(None).cast("bigint")))
+
+
+IMAGE_ARTICLES = "c_images i join c_articles a on a.id = i.article_id"
+
+
+@query(f"select i.entity_id, a.domain, count(distinct i.id) as n from {IMAGE_ARTICLES} group by 1, 2")
+def a4_source_distribution(c, read):
+    return A.source_distribution(c)
+
+
+@query(f"select i.entity_id, min(a.published_at)::varchar as first_day, max(a.published_at)::varchar as last_day from {IMAGE_ARTICLES} group by 1")
+def a5_coverage_range(c, read):
+    return A.coverage_range(c).select("entity_id", *date_text("first_day", "last_day"))
+
+
+TIMELINE = f"(select l.entity_id, a.published_at as day, count(distinct l.article_id) as n from c_links l join c_articles a on a.id = l.article_id where a.published_at between date '{AS_OF}' - 365 and date '{AS_OF}' group by 1, 2)"
+
+
+@query(f"select entity_id, day::varchar as day, n from {TIMELINE}")
+def a6_timeline(c, read):
+    return A.timeline(c, AS_OF).select("entity_id", *date_text("day"), "n")
+
+
+@query(f"""select i.entity_id, printf('%04d-W%02d', isoyear(a.published_at), weekofyear(a.published_at)) as period, count(*) as n from {IMAGE_ARTICLES} where a.published_at is not null group by 1, 2""")
+def a7_media_timeline(c, read):
+    return A.media_timeline(c, "week")
+
+
+@query("""select (select count(*) from c_entities) as entities, (select count(*) from c_articles) as articles, count(*) as images, count(aligned_path) as aligned,
+  count(*) filter (where is_duplicate) as duplicates, round(count(aligned_path) / count(*)::double, 3) as alignment_rate from c_images""")
+def a8_corpus_stats(c, read):
+    return A.corpus_stats(c)
+
+
+@query("select id, name, image_count from c_entities where kb_status is distinct from 'not_person' order by image_count desc nulls last, id limit 10")
+def a8_top_entities(c, read):
+    return A.top_entities(c.entities)
+
+
+SORT_KEY = "(case when contains(name, ',') then trim(split_part(name, ',', 2)) || ' ' || trim(split_part(name, ',', 1)) else name end)"
+
+
+@query(f"select 'name' as by, {LETTER.format('name')} as letter, count(*) as n from c_entities where kb_status is distinct from 'not_person' group by 2 union all select 'first', {LETTER.format(SORT_KEY)}, count(*) from c_entities where kb_status is distinct from 'not_person' group by 2")
+def a9_letter_histogram(c, read):
+    return A.letter_histogram(c.entities).withColumn("by", F.lit("name")).unionByName(A.letter_histogram(c.entities, "first").withColumn("by", F.lit("first")))
+
+
+@query(f"""select f.*, t.total, e.name, round(f.flagged / t.total::double, 3) as ratio from (select i.entity_id, count(*) as flagged, round(avg(match_score), 4) as mean_score, min(published_at)::varchar as first_day, max(published_at)::varchar as last_day
+  from {IMAGE_ARTICLES} where association_status = 'flagged' and published_at between date '1996-01-01' and date '1999-12-31' group by 1) f
+  join (select entity_id, count(*) as total from c_images group by 1) t on t.entity_id = f.entity_id join c_entities e on e.id = f.entity_id order by flagged desc, f.entity_id limit 20""")
+def a10_flagged_by_period(c, read):
+    return A.flagged_by_period(c, "1996-01-01", "1999-12-31").select("entity_id", "flagged", "mean_score", *date_text("first_day", "last_day"), "total", "name", "ratio")
+
+
+GAUGES = """select (select count(*) from c_entities) as entities, (select count(*) from c_entities where kb_status = 'not_person') as tombstones, count(*) as images,
+  count(*) filter (where association_status in ('flagged', 'human_flagged')) as flagged, round(count(*) filter (where association_status in ('flagged', 'human_flagged')) / count(*)::double, 6) as flagged_ratio from c_images"""
+
+
+@query(GAUGES)
+def a11_gauges(c, read):
+    return A.gauges(c)
+
+
+@query("select coalesce(provider, 'feed') as provider, count(*) as n from c_images group by 1")
+def a12_by_provider(c, read):
+    return A.by_provider(c.images)
+
+
+@query("select count(*) filter (where scrape_status = 'downloaded') as downloaded, count(*) filter (where scrape_status = 'failed') as failed, count(*) filter (where analysis_status = 'pending') as pending, count(*) filter (where analysis_status = 'done') as done, count(*) as total from c_images")
+def a13_queue_status(c, read):
+    return A.queue_status(c.images)
+
+
+SYNC = f"""(select count(*) as total, count(last_synced_at) as ever_synced, count(*) - count(last_synced_at) as never_synced,
+  count(*) filter (where is_favorite and (last_synced_at is null or last_synced_at < timestamp '{AS_OF}' - interval 7 day)) as favorites_due,
+  count(*) filter (where last_synced_at < timestamp '{AS_OF}' - interval 30 day) as stale from c_entities)"""
+
+
+@query(f"select * from {SYNC}")
+def a14_sync_status(c, read):
+    return A.sync_status(c.entities, AS_OF)
+
+
+ARTICLE_COUNTS = """(select a.id, (coalesce(l.n, 0)) as entities, coalesce(i.n, 0) as images from c_articles a left join (select article_id, count(distinct entity_id) as n from c_links group by 1) l on l.article_id = a.id
+  left join (select article_id, count(*) as n from c_images group by 1) i on i.article_id = a.id)"""
+
+
+@query(f"select * from {ARTICLE_COUNTS}")
+def a15_article_counts(c, read):
+    return A.article_counts(c)
+
+
+@query("select kb_id, count(*) as members from c_entities where kb_id is not null and kb_status is distinct from 'not_person' group by 1 having count(*) > 1")
+def a16_same_kb_groups(c, read):
+    return A.same_kb_groups(c.entities)
+
+
+@query("select entity_id, string_agg(alias, ' ' order by alias) as alias_text from c_aliases group by 1")
+def a17_alias_text(c, read):
+    return A.alias_text(c.aliases)
+
+
+def _vectors(read) -> DataFrame:
+    status = F.when(F.col("vec_id") % 7 == 0, "flagged").when(F.col("vec_id") % 11 == 0, "human_flagged").when(F.col("vec_id") % 13 == 0, "manual").when(F.col("vec_id") % 3 == 0, "auto")
+    return read("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("entity_id"), F.col("embedding").alias("vector"), status.alias("association_status"), F.col("vec_id").alias("scraped_at"))
+
+
+VECTORS = "(select vec_id as id, label::bigint as entity_id, embedding as vector, case when vec_id % 7 = 0 then 'flagged' when vec_id % 11 = 0 then 'human_flagged' when vec_id % 13 = 0 then 'manual' when vec_id % 3 = 0 then 'auto' end as association_status from embeddings)"
+MEANS = f"(select entity_id, k, avg(vector[k]::double) as m, count(*) as n from {VECTORS}, (select unnest(range(1, 65)) as k) where association_status is null or association_status not in ('flagged', 'human_flagged') group by 1, 2)"
+CENTROIDS = f"(select entity_id, list(m order by k) as v, sqrt(sum(m * m)) as size, max(n) as n from {MEANS} group by 1)"
+
+
+@query(f"select entity_id, n as centroid_n, round(v[1] / size, 6) as x1, round(v[64] / size, 6) as x64 from {CENTROIDS}")
+def a18_centroids(c, read):
+    return A.centroids(_vectors(read)).select("entity_id", "centroid_n", F.round(F.col("centroid")[0], 6).alias("x1"), F.round(F.col("centroid")[63], 6).alias("x64"))
+
+
+@query(f"select entity_id, count(*) as n, round(coalesce((select avg(hamming(x.b, y.b)) / 64 from {BITS} x join {BITS} y on x.id < y.id where x.entity_id = z.entity_id and y.entity_id = z.entity_id), 0), 4) as diversity from {BITS} z group by 1")
+def a19_diversity(c, read):
+    return S.diversity(_hashed(read))
+
+
+@query("select entity_id, count(*) filter (where is_duplicate) as duplicates from c_images group by 1")
+def a20_duplicate_count(c, read):
+    return A.duplicate_count(c.images)
+
+
+@query("select count(*) as entities, cast(sum(article_count) as bigint) as article_count, cast(sum(image_count) as bigint) as image_count, cast(sum(unique_image_count) as bigint) as unique_image_count from c_entities")
+def a22_recompute_summary(c, read):
+    return A.recompute_summary(c.entities)
+
+
+@query(f"select entity_id, count(*) as active_days, cast(sum(n) as bigint) as total, max(n) as peak from {TIMELINE} group by 1")
+def a23_timeline_summary(c, read):
+    return A.timeline_summary(A.timeline(c, AS_OF))
+
+
+@query("select count(distinct entity_id) as entities, count(*) filter (where association_status = 'confirmed') as confirmed, count(*) filter (where association_status = 'flagged') as flagged from c_images")
+def a24_audit_summary(c, read):
+    return A.audit_summary(c.images)
+
+
+@query("""select entity_id, round(sum(w * vector[1]::double) / sum(w), 6) as x1 from (select *, 1.0 - 0.9 * (row_number() over (partition by entity_id order by id) - 1) / (count(*) over (partition by entity_id) - 1)::double as w from """ + VECTORS + ") group by 1")
+def a25_composite_vector(c, read):
+    return A.composite_vector(_vectors(read), "linear").select("entity_id", F.round(F.col("vector")[0], 6).alias("x1"))
+
+
+# ---- windows and pages
+
+RANKED = """(select kb_id, id, image_count, kb_score, row_number() over (partition by kb_id order by image_count desc nulls last, length(name) desc, first_seen asc nulls first, id) as place, count(*) over (partition by kb_id) as members
+  from c_entities where kb_id is not null)"""
+
+
+@query(f"select kb_id, id, cast(place as int) as place from {RANKED} where members > 1")
+def w1_elect_canonical(c, read):
+    return resolve.elect_canonical(c.entities).select("kb_id", "id", "place")
+
+
+@query("""select loop, strftime(max(ts) filter (where kind = 'success'), '%Y-%m-%d %H:%M:%S') as last_success, strftime(max(ts) filter (where kind = 'error'), '%Y-%m-%d %H:%M:%S') as last_error,
+  arg_max(summary, ts) filter (where kind = 'success') as last_summary from c_events where loop is not null and kind in ('success', 'error') group by 1""")
+def w2_last_run(c, read):
+    text = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x)
+    return A.last_run(c.events).select("loop", text("last_success"), text("last_error"), "last_summary")
+
+
+@query("""select entity_id, cast(place as int) as place, id from (select entity_id, id, row_number() over (partition by entity_id order by scraped_at, id) as place from c_images
+  where aligned_path is not null and is_duplicate = false and association_status is distinct from 'flagged') where place <= 24""")
+def w5_contact_sheet(c, read):
+    return A.contact_sheet(c.images)
+
+
+@query("select l_orderkey as image_id, max(l_quantity * l_extendedprice) as area, count(*) as faces from lineitem group by 1")
+def w6_primary_detection(c, read):
+    boxes = read("lineitem").select(F.col("l_orderkey").alias("image_id"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("l_quantity").alias("x2"), F.col("l_extendedprice").alias("y2"))
+    return A.primary_detection(boxes).select("image_id", (F.col("box.x2") * F.col("box.y2")).alias("area"), "faces")
+
+
+@query("select kb_id, array_to_string(list(id order by image_count desc, name, id), ',') as members, cast(sum(image_count) as bigint) as images from c_entities where kb_id is not null group by 1")
+def w7_ordered_members(c, read):
+    return A.ordered_members(c.entities.filter("kb_id is not null"), "kb_id").select("kb_id", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "images")
+
+
+REVIEW = """(select * from c_images where association_status in ('flagged', 'human_flagged') order by case when provider is null then 0 when provider <> 'feed' then 1 else 2 end, match_score desc nulls last, id limit 200)"""
+
+
+REVIEW_TOTAL = "(select count(*) from c_images where association_status in ('flagged', 'human_flagged')) as total"
+
+
 @query(f"select id, match_score, {REVIEW_TOTAL} from {REVIEW}")
 def t1_review_queue(c, read):
     return T.review_queue(c.images, 500).select("id", "match_score", "total")
@@ -818,11 +1221,14 @@ def m3_upsert_links(c, read):
     return L.upsert_links(read("orders").select(F.col("o_orderkey").alias("article_id"), (F.col("o_custkey") % 100).alias("entity_id")), c.links).select("article_id", "entity_id")
 
 
+VARIANTS_SQL = J7_SQL.replace("join c_entities e on e.id = l.entity_id", "join (select id, name from c_entities union all select entity_id, alias from c_aliases) e on e.id = l.entity_id")
+
+
 @query(f"""select i.id as image_id, coalesce(n.entity_id, o.entity_id) as entity_id, case when n.entity_id is not null then 'named' when o.entity_id is not null then 'only_person' else 'ignored' end as outcome
-  from c_images i left join ({J7_SQL}) n on n.image_id = i.id left join (select article_id, min(entity_id) as entity_id from c_links group by 1 having count(distinct entity_id) = 1) o on o.article_id = i.article_id where i.article_id is not null""")
+  from c_images i left join ({VARIANTS_SQL}) n on n.image_id = i.id left join (select article_id, min(entity_id) as entity_id from c_links group by 1 having count(distinct entity_id) = 1) o on o.article_id = i.article_id where i.article_id is not null""")
 def m4_attribute_images(c, read):
     own = c.links.select("article_id", "entity_id", F.col("entity_id").alias("entity_pos"))
-    return L.attribute_images(_captioned(c), own, c.entities.withColumn("name", F.col("name")), c.aliases.limit(0))
+    return L.attribute_images(_captioned(c), own, c.entities, c.aliases)
 
 
 @query("select count(*) as n, count(distinct source_url) as urls from (select source_url from c_images union all select distinct 'https://img.example/' || p_partkey || '/2.jpeg' as u from part where 'https://img.example/' || p_partkey || '/2.jpeg' not in (select source_url from c_images))")
@@ -1084,8 +1490,111 @@ def s3_extract_links(c, read):
 
 @query("select count(*) as n, count(distinct user_id) as users, strftime(min(ts), '%Y-%m-%d') as first_day from events where event_type = 'error'")
 def s6_read_events(c, read):
-    events = read("events")
-    return events.filter("event_type = 'error'").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_day"))
+    events, path = read("events"), _folder(read)
+    feeds.append_events(events.filter("event_type = 'error'"), path)
+    log = feeds.read_events(events.sparkSession, path, schema=events.schema.simpleString()[7:-1].replace(":", " "))
+    return log.agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_day"))
+
+
+def _folder(read) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(read('region').sparkSession)}/{uuid.uuid4().hex}"
+
+
+@query("""select trim(p_name) as name, case when p_partkey % 4 = 0 then 0 else p_size end as mentions, case when p_partkey % 3 = 0 then 'https://p/' || p_partkey end as url
+  from part where p_partkey % 5 <> 0 and trim(p_name) <> ''""")
+def s1_read_entity_feed(c, read):
+    """A feed of lines with some parts each, as persons and as other things."""
+    part, path = read("part"), _folder(read)
+    image = F.when(F.col("p_partkey") % 3 == 0, F.struct(F.concat(F.lit("https://p/"), F.col("p_partkey").cast("string")).alias("url"), F.lit(3).alias("width")))
+    entity = F.struct(
+        F.when(F.col("p_partkey") % 5 == 0, "ORG").otherwise("PERSON").alias("type"), F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("value"),
+        F.when(F.col("p_partkey") % 4 > 0, F.col("p_size")).alias("mentions"), image.alias("image"))
+    part.groupBy(F.floor(F.col("p_partkey") / 50)).agg(F.collect_list(entity).alias("entities")).select(F.to_json(F.struct("entities"))).write.text(path)
+    return feeds.read_entity_feed(part.sparkSession, path, lines=True).select("name", "mentions", F.col("image.url").alias("url"))
+
+
+@query("""select case when o_orderkey % 7 = 0 then 'no_url' when o_orderkey % 11 = 0 then 'no_person' else 'ok' end as outcome, count(*) as n,
+  sum(case when o_orderkey % 11 <> 0 then 2 - cast(o_custkey % 2 = 0 as int) else 0 end)::bigint as persons from orders group by 1""")
+def s2_read_article_feed(c, read):
+    """A feed of lines: single articles, lists, and objects with articles."""
+    orders, path = read("orders"), _folder(read)
+    url = F.when(F.col("o_orderkey") % 7 == 0, " ").otherwise(F.concat(F.lit("https://a/"), F.col("o_orderkey").cast("string")))
+    persons = F.when(F.col("o_orderkey") % 11 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit(" A "), F.when(F.col("o_custkey") % 2 == 0, "").otherwise("B")))
+    article = F.to_json(F.struct(url.alias("URL"), F.struct(persons.alias("PERSON")).alias("entities")))
+    line = F.when(F.col("o_orderkey") % 3 == 0, article).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("["), article, F.lit("]"))).otherwise(F.concat(F.lit('{"articles":['), article, F.lit("]}")))
+    orders.select(line).write.text(path)
+    ok, rejected = feeds.read_article_feed(orders.sparkSession, path, lines=True)
+    rows = ok.select(F.lit("ok").alias("outcome"), "persons").unionByName(rejected.select(F.col("reason").alias("outcome"), "persons"))
+    return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.sum(F.size("persons").cast("bigint")).alias("persons"))
+
+
+@query("""select p_partkey, array_to_string(list_filter(['https://i/' || p_partkey || '|' || case when p_size % 2 = 0 then p_type else p_brand end, case when p_size % 3 = 0 then 'http://j|' || p_brand end], lambda x: x is not null), ';') as found from part""")
+def p37_feed_candidates(c, read):
+    image = lambda url, title: F.struct(url.alias("url"), F.col("p_brand").alias("alt"), title.alias("title"))
+    own = image(F.concat(F.lit("https://i/"), F.col("p_partkey").cast("string")), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(""))
+    other = image(F.when(F.col("p_size") % 3 == 0, "http://j").otherwise("ftp://j"), F.lit(None).cast("string"))
+    found = R.feed_candidates(F.array(own, other, image(F.lit(None).cast("string"), F.lit("x"))))
+    return read("part").select("p_partkey", F.array_join(F.transform(found, lambda x: F.concat_ws("|", x["src"], x["caption"])), ";").alias("found"))
+
+
+def _statements(nation, key):
+    """Statements of a knowledge base about a row, as JSON values: ids, numbers, structs and dates of all kinds."""
+    json = lambda *parts: F.parse_json(F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts]))
+    text = lambda x: x.cast("string")
+    return F.create_map(
+        F.lit("P31"), F.array(F.when(nation % 5 == 0, json('"Q43229"')).otherwise(json('"Q5"')), json("17")),
+        F.lit("P19"), F.array(json('"Q', text(nation), '"'), json('{"id": "Q1"}')), F.lit("P27"), F.array(json('"Q', text(nation), '"'), json('"x"'), json('"Q', text(key % 7), '"')),
+        F.lit("P569"), F.array(json('{"time": "+19', F.lpad(text(key % 100), 2, "0"), '-00-01T00:00:00Z"}'), json('{"time": "+1950-', F.lpad(text(1 + key % 12), 2, "0"), '-31T00:00:00Z"}'), json("null")))
+
+
+@query("""select s_suppkey, 'Q' || s_nationkey || ',Q' || (s_suppkey % 7) as ids, case when (1 + s_suppkey % 12) in (1, 3, 5, 7, 8, 10, 12) then '1950-' || lpad((1 + s_suppkey % 12)::varchar, 2, '0') || '-31' else '' end as dates from supplier""")
+def p33_statements(c, read):
+    held = read("supplier").withColumn("s", _statements(F.col("s_nationkey"), F.col("s_suppkey")))
+    dates = F.array_join(F.transform(R.statement_dates(F.col("s"), "P569"), lambda d: d.cast("string")), ",")
+    return held.select("s_suppkey", F.array_join(R.statement_ids(F.col("s"), "P27"), ",").alias("ids"), dates.alias("dates"))
+
+
+@query("select s_suppkey, case when s_nationkey = s_suppkey % 7 then 'Q' || s_nationkey else 'Q' || s_nationkey || ',Q' || (s_suppkey % 7) end as ids from supplier")
+def u4_label_ids(c, read):
+    held = read("supplier").withColumn("s", _statements(F.col("s_nationkey"), F.col("s_suppkey")))
+    return held.select("s_suppkey", F.array_join(L.label_ids(F.col("s")), ",").alias("ids"))
+
+
+@query("""select id, case when gone then 'not_person' else kb_status end as kb_status, case when gone then 0 else image_count end as image_count, (select count(*) from c_links l join c_entities x on x.id = l.entity_id where not (x.kb_status is not distinct from 'done' and x.kb_id is not null and substr(x.kb_id, 2)::int % 5 = 0)) as links_left
+  from (select *, kb_status is not distinct from 'done' and kb_id is not null and substr(kb_id, 2)::int % 5 = 0 as gone from c_entities)""")
+def m16_recheck(c, read):
+    kb = read("nation").select(F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")).alias("kb_id"), _statements(F.col("n_nationkey"), F.col("n_nationkey")).alias("statements"))
+    after = L.recheck(c, kb)
+    left = after.links.join(c.entities.select(F.col("id").alias("entity_id")).hint("merge"), "entity_id", "left_semi").agg(F.count("*").alias("links_left"))
+    return after.entities.select("id", "kb_status", "image_count").join(F.broadcast(left))
+
+
+@query("""select raw_name, entity_id, outcome from (select m.raw_name, coalesce(e.id, a.entity_id) as entity_id, case when s.kb_status = 'not_person' then 'rejected' when e.id is not null then 'slug' when a.entity_id is not null then 'alias' else 'new' end as outcome
+  from (select c_name as raw_name from customer union all select s_name from supplier) m
+  left join (select id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as slug from c_entities) e on e.slug = trim(regexp_replace(lower(m.raw_name), '[^a-z0-9]+', '-', 'g'), '-')
+  left join (select alias, arg_max(entity_id, id) as entity_id from c_aliases group by 1) a on a.alias = m.raw_name
+  left join c_entities s on s.id = coalesce(e.id, a.entity_id)) where outcome <> 'rejected'""")
+def k5_resolved_stream(c, read):
+    """A stream of names, run to its end, against the tables as they are."""
+    mentions = read("customer").select(F.col("c_name").alias("raw_name")).unionByName(read("supplier").select(F.col("s_name").alias("raw_name")))
+    spark, path = mentions.sparkSession, _folder(read)
+    mentions.write.parquet(f"{path}/in")
+    own = c.entities.withColumn("slug", F.regexp_replace(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
+    owners = c.aliases.groupBy(F.col("alias")).agg(F.max_by("entity_id", "id").alias("entity_id"), F.max("id").alias("id"))
+    K.run_available(K.resolved_stream(spark.readStream.schema("raw_name string").parquet(f"{path}/in"), own, owners), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("raw_name", "entity_id", "outcome")
+
+
+@query("select count(*) as n, count(distinct o_custkey) as customers from orders")
+def k6_run_cycle(c, read):
+    """A backlog of files, some a cycle; what each cycle has is added, and the sums are taken after the last."""
+    orders, path = read("orders").select("o_orderkey", "o_custkey"), _folder(read)
+    orders.repartition(3).write.parquet(f"{path}/in")
+    spark = orders.sparkSession
+    backlog = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    K.run_cycle(backlog, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
 
 
 METRICS = f"""(select 'corpus_' || k as metric, '' as labels, v::double as value from (select unnest(['entities', 'tombstones', 'images', 'flagged', 'flagged_ratio']) as k, unnest([entities::double, tombstones, images, flagged, flagged_ratio]) as v from ({GAUGES}))

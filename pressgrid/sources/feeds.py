@@ -17,24 +17,31 @@ ARTICLE = "URL string, title string, published string, images array<struct<url s
 MAX_BLOB = 5 * 1024 * 1024
 
 
-def read_entity_feed(spark: SparkSession, path: str) -> DataFrame:
+def read_entity_feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Persons of an entity feed: ``name, mentions, image``.
 
-    Names are trimmed and empty ones dropped, null mentions are 0, and an image that isn't an object is null.
+    Names are trimmed and empty ones dropped, null mentions are 0, and an image that isn't an object is null.  A feed of
+    ``lines`` has a document a line, so one file may be many tasks; otherwise a file is one document and one task.
     """
-    rows = spark.read.schema(ENTITY_FEED).option("multiLine", True).json(path).select(F.explode("entities").alias("e"))
+    rows = spark.read.schema(ENTITY_FEED).option("multiLine", not lines).json(path).select(F.explode("entities").alias("e"))
     image = F.from_json("e.image", "url string, width int, height int")
     return rows.filter("e.type = 'PERSON'").select(
         F.trim("e.value").alias("name"), F.coalesce("e.mentions", F.lit(0)).alias("mentions"),
         F.when(F.trim("e.image").startswith("{"), image).alias("image")).filter("name <> ''")
 
 
-def read_article_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Articles of a feed, a bare list or an object with ``articles``; and what is rejected, with the reason."""
-    raw = spark.read.text(path, wholetext=True)
+def read_article_feed(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Articles of a feed, a bare list or an object with ``articles``; and what is rejected, with the reason.
+
+    A feed of ``lines`` has on each line a list, such an object, or one article: its files are split over tasks.  Otherwise a
+    file is one document and one task.
+    """
+    raw = spark.read.text(path, wholetext=not lines)
     bare = F.from_json("value", f"array<struct<{_struct(ARTICLE)}>>")
     inside = F.from_json("value", f"struct<articles:array<struct<{_struct(ARTICLE)}>>>")["articles"]
-    parsed = raw.select(F.when(F.ltrim("value").startswith("["), bare).otherwise(inside).alias("a"))
+    if lines:
+        inside = F.coalesce(inside, F.array(F.from_json("value", f"struct<{_struct(ARTICLE)}>")))
+    parsed = raw.select(F.when(F.ltrim("value").startswith("["), bare).when(F.trim("value") != "", inside).alias("a"))
     rows = parsed.select(F.explode("a").alias("a")).select("a.*")
     persons = F.filter(F.transform(F.coalesce("entities.PERSON", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.select(F.col("URL").alias("url"), "title", "published", F.coalesce("images", F.array()).alias("images"), persons.alias("persons"))
