@@ -226,7 +226,7 @@ def enrich(entities: DataFrame, hits: DataFrame, statements: DataFrame, labels:
     for column, ids in wanted.items():
         named_ids = resolve_labels(out.select(F.col("id").alias("key"), F.coalesce(ids, F.array().cast("array<string>")).alias("kb_ids")), labels, languages)
         value = F.col("labels") if column in lists else F.try_element_at("labels", F.lit(1))
-        out = out.drop(column).join(named_ids.select(F.col("key").alias("id"), value.alias(column)), "id", "left")
+        out = out.drop(column).join(named_ids.select(F.col("key").alias("id"), value.alias(column)).hint("merge"), "id", "left")
     return out.select(*dict.fromkeys([*entities.columns, "birth_date", "death_date", "kb_synced_at", *wanted]))
 
 

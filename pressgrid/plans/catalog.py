@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +11,7 @@ from ..operators import aggregates as A, filters as P, index as I, joins as J, l
 from ..schema import Corpus
 from ..sources import feeds
 from ..streaming import jobs as K
-from ..tables import shared_folder
+from ..tables import scratch
 from . import reports
 from .binding import AS_OF, EVENTS_AS_OF, corpus, table, with_tables
 
@@ -1434,7 +1433,7 @@ def x7_search_entities(c, read):
 @query(f"select term, count(*) as n from (select doc_id, term from {TERMS} where doc_id % 5 <> 0 union all select doc_id, unnest(['moved', 'alias']) from documents where doc_id % 10 = 0) group by 1")
 def x8_refresh_index(c, read):
     docs = read("documents")
-    index = I.branch(docs.sparkSession, _standing(read), f"{shared_folder(docs.sparkSession)}/{uuid.uuid4().hex}")  # later queries find the index as it was
+    index = I.branch(docs.sparkSession, _standing(read), scratch(docs.sparkSession))  # later queries find the index as it was
     now = X.documents(docs.filter("doc_id % 10 <> 5").withColumn("text", F.when(F.col("doc_id") % 10 == 0, "Moved alias").otherwise(F.col("text"))), ["text"], "doc_id")
     return I.vocabulary(docs.sparkSession, I.refresh(index, docs.filter("doc_id % 5 = 0").select("doc_id"), now)).select("term", "n")
 
@@ -1498,7 +1497,7 @@ def s6_read_events(c, read):
 
 def _folder(read) -> str:
     """A new place in the shared folder."""
-    return f"{shared_folder(read('region').sparkSession)}/{uuid.uuid4().hex}"
+    return scratch(read("region").sparkSession)
 
 
 @query("""select trim(p_name) as name, case when p_partkey % 4 = 0 then 0 else p_size end as mentions, case when p_partkey % 3 = 0 then 'https://p/' || p_partkey end as url

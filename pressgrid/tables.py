@@ -25,14 +25,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pressgrid"
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where this application's tables of one job are written: see :func:`clear_scratch`."""
+    return f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path for a table of this application."""
+    return f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def snapshot(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application has written between its steps; to be called when its results are written.
+
+    Results that weren't written, and still read such tables, are lost.  Indexes and corpora stand elsewhere and stay.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sided(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hints how to join with ``small``, a table that was written: broadcast if it is small by measure, else sort-merge."""
     size = int(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

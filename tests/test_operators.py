@@ -166,6 +166,23 @@ def test_feeds(spark, tmp_path):
         assert sorted(r["reason"] for r in bad.collect()) == ["no_person", "no_url"]
 
 
+def test_feeds_of_lines_are_split(spark, tmp_path):
+    """One file of many lines is several tasks, with the same rows and rejects as a file that is one document."""
+    items = [{"URL": f"u{i}" if i % 7 else "", "title": "t" * 200, "entities": {"PERSON": ["Ada"] if i % 5 else []}} for i in range(600)]
+    (tmp_path / "whole.json").write_text(json.dumps(items))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(x) if i % 3 else json.dumps([x]) if i % 2 else json.dumps({"articles": [x]}) for i, x in enumerate(items)) + "\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        split = feeds.read_article_feed(spark, str(tmp_path / "lines.json"), lines=True)
+        parts = split[0].select(F.spark_partition_id()).distinct().count()
+        got = [sorted(str(r) for r in df.collect()) for df in split]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert parts > 3 and got == [sorted(str(r) for r in df.collect()) for df in feeds.read_article_feed(spark, str(tmp_path / "whole.json"))]
+    assert len(got[1]) == len([x for x in items if not x["URL"] or not x["entities"]["PERSON"]])
+
+
 def test_media(spark):
     html = """<img src="/a.jpg" alt="A"><figure><img data-src="b.png"><figcaption> The <b>caption</b> </figcaption></figure><img src="data:x"><img><img src="/a.jpg">"""
     got = feeds.extract_media(spark.createDataFrame([(1, "https://h/p/", html), (2, None, None)], "page_id bigint, url string, html string")).orderBy("position").collect()
@@ -332,6 +349,20 @@ def test_components_larger_than_a_row(spark, monkeypatch):
         assert sorted(tuple(r) for r in got) == plain_marks(data, bits)
 
 
+def test_scratch_is_cleared(spark):
+    """What an application wrote between steps goes at once, and nothing else; later steps write anew."""
+    from pathlib import Path
+
+    from pressgrid.tables import clear_scratch, scratch_folder, shared_folder
+
+    first = snapshot(spark.range(5))
+    other = Path(shared_folder(spark).removeprefix("file://")) / "index-of-another"
+    other.mkdir(parents=True)
+    assert first.count() == 5 and Path(scratch_folder(spark).removeprefix("file://")).exists()
+    clear_scratch(spark)
+    assert not Path(scratch_folder(spark).removeprefix("file://")).exists() and other.exists() and snapshot(spark.range(3)).count() == 3
+
+
 def test_articles_of_many_entities(spark, monkeypatch):
     """An article with more entities than a block gives all its pairs, over several tasks; small articles beside it."""
     monkeypatch.setattr(J, "ARTICLE_BLOCK", 20)
