@@ -564,6 +564,21 @@ def test_urls_with_very_many_segments(spark):
 
 # ---- toxicity
 
+def plain_features(text):
+    """Hashed features of a text, written apart from the module: different words, and their first 4, 5 and 6 letters."""
+    import xxhash
+
+    words, word = set(), ""
+    for c in (text or "").lower() + " ":
+        if c.isalnum() and not c.isdecimal():
+            word += c
+        else:
+            words.add(word)
+            word = ""
+    parts = [{"w" + w} | {"p" + w[:n] for n in (4, 5, 6) if len(w) >= n} for w in words - {""}]
+    return [xxhash.xxh32(x.encode()).intdigest() % (1 << 22) for own in parts for x in own]
+
+
 def test_toxicity_scores_by_hand(spark):
     """Every row's expected severity from the model's weights and thresholds, in plain Python."""
     import math
@@ -573,10 +588,33 @@ def test_toxicity_scores_by_hand(spark):
     assert model.weights
     got = {r["doc_id"]: r["expected_severity"] for r in docs.select("doc_id", "text").mapInArrow(toxicity._score(model), "doc_id bigint, severity int, expected_severity double").collect()}
     for r in docs.collect():
-        score = sum(model.weights.get(f, 0.0) for w in toxicity.words_of(r["text"]) for f in toxicity.word_features(w))
+        score = sum(model.weights.get(f, 0.0) for f in plain_features(r["text"]))
         assert got[r["doc_id"]] == pytest.approx(sum(1 / (1 + math.exp(min(40, max(-40, t - score)))) for t in model.thresholds), abs=2e-6)
 
 
+def test_toxicity_gradient():
+    """The first step of the fit is that of the numeric gradient of the cumulative-link likelihood, for weights and thresholds."""
+    rng = np.random.default_rng(1)
+    rows = [rng.choice(12, rng.integers(0, 6)) for _ in range(50)]
+    grades = rng.integers(0, 4, 50)
+    start = np.linspace(1.0, 3.0, 3)
+
+    def loss(w, theta):
+        total = 0.0
+        for r, g in zip(rows, grades):
+            above = [1.0, *(1 / (1 + np.exp(t - w[r].sum())) for t in theta), 0.0]
+            total -= np.log(above[g] - above[g + 1])
+        return total / len(rows)
+
+    def numeric(f, x):
+        steps = np.eye(len(x)) * 1e-6
+        return np.array([(f(x + d) - f(x - d)) / 2e-6 for d in steps])
+
+    weights, theta = toxicity.OrdinalModel._ascend(rows, grades, rounds=1, rate=0.1, decay=0.0, seed=5)
+    for moved, gradient in ((-weights[:12], numeric(lambda w: loss(w, start), np.zeros(12))), (start - theta, numeric(lambda t: loss(np.zeros(12), t), start))):
+        assert moved == pytest.approx(0.1 * gradient / np.sqrt(1e-6 + gradient ** 2), abs=1e-4)
+
+
 def test_toxicity_held_out(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
