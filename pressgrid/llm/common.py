@@ -1,39 +1,23 @@
-"""Helpers that the training-data operators share: scratch tables, checked broadcasts, text scans."""
+"""Helpers that the training-data operators share: written tables, checked broadcasts, text scans."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..tables import scratch, sided
+
 #: White space of the contracts: blank and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side is broadcast only when it was written, counted, and has at most this many narrow rows.
-BROADCAST_ROWS = 1_000_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only where none is set, as in local tests, is a
-    temporary one taken, and kept in the session for the next call.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='pressgrid-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pressgrid/{uuid.uuid4().hex}"
-
-
 #: Spark's setting to drop the shuffle files of a query that has ended.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -53,15 +37,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: And at most this many bytes by the statistics of the written files (packed, so several times that in memory).
-BROADCAST_BYTES = 64 << 20
-
-
-def sided(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints how to join with ``small``, a table that was written: broadcast if it has few rows and bytes, else sort-merge."""
-    size = int(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    few = size <= BROADCAST_BYTES and small.limit(limit + 1).count() <= limit
-    return small.hint("broadcast" if few else "merge")
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that a Python worker has few texts as objects of its own at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
 
 def row_key(docs: DataFrame) -> list[Column]:

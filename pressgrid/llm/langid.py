@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fraction_filter
+from .common import fraction_filter, slices
 
 #: Length of the vectors.
 DIMENSIONS = 1024
@@ -71,7 +71,7 @@ def _sums(dimensions: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 vector = _unit(bundle(*trigrams(text), dimensions))
                 sums[lang] = sums.get(lang, 0) + vector.astype(np.float64)
@@ -107,7 +107,7 @@ def _predict(profiles: dict[str, list[float]], dimensions: int):
     matrix = np.array([profiles[x] for x in names], np.float32).reshape(len(names), dimensions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
                 codes, counts = trigrams(text)
@@ -152,7 +152,7 @@ def _told(profiles: dict[str, list[float]], dimensions: int, text_at: int):
     predict = _predict(profiles, dimensions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             text = batch.column(text_at)
             for found in predict(iter([pa.RecordBatch.from_arrays([text, text], names=["doc_id", "text"])])):
                 yield batch.filter(pa.array([x != UNKNOWN for x in found.column(1).to_pylist()], pa.bool_()))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, sided
+from .common import materialize, sided, slices
 from .graph import connected_components
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -79,7 +79,7 @@ def _sketch(size: int, bands: int, rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_print", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, prints, keys, bits = [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 found = shingle_set(text, size)
@@ -101,7 +101,7 @@ def _sets(size: int):
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(x, size).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
