@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import materialize
 
-#: Rows of a block of candidates, and of a block of queries.
-CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 512
+#: Rows of a block of candidates, and of a block of queries: alike, so that neither side is copied much more often than the other.
+CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 8192
 
 
 def quantized(vectors: DataFrame, scale: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
