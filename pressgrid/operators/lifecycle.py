@@ -191,7 +191,7 @@ def enrich(entities: DataFrame, hits: DataFrame, statements: DataFrame, labels:
     """Facts from a snapshot of the knowledge base.
 
     ``hits(query, lang, rank, kb_id, label)`` give an id to entities without one, in the first language that has any; a
-    known id without a score gets one from its label.  Types other than people make a tombstone with no facts.
+    known id without a score gets one from its label.  Types other than people make a tombstone, which gets no facts.
     Summaries come from ``pages(title, lang, type, extract)``, by label and then by name, disambiguations aside.
     """
     rank = F.lit(len(languages))
@@ -223,10 +223,15 @@ def enrich(entities: DataFrame, hits: DataFrame, statements: DataFrame, labels:
         "death_date": F.when(done, F.try_element_at(statement_dates(F.col("statements"), DEATH), F.lit(1))),
         "kb_synced_at": F.lit(as_of).cast("timestamp_ntz"),
     })
-    for column, ids in wanted.items():
-        named_ids = resolve_labels(out.select(F.col("id").alias("key"), F.coalesce(ids, F.array().cast("array<string>")).alias("kb_ids")), labels, languages)
-        value = F.col("labels") if column in lists else F.try_element_at("labels", F.lit(1))
-        out = out.drop(column).join(named_ids.select(F.col("key").alias("id"), value.alias(column)).hint("merge"), "id", "left")
+    # The ids of all columns meet the labels at once, and come back as a column each; only people get facts.
+    asked_of = F.create_map(*[x for k, ids in wanted.items() for x in (F.lit(k), F.when(done, F.coalesce(ids, F.array().cast("array<string>"))))])
+    out = snapshot(out.withColumn("_wanted", asked_of))
+    asked = out.select("id", F.explode("_wanted").alias("column", "kb_ids")).filter("kb_ids is not null").select(F.struct("id", "column").alias("key"), "kb_ids")
+    found = resolve_labels(asked, labels, languages)
+    value = lambda k: F.max(F.when(F.col("key.column") == k, F.col("labels")))
+    told = found.groupBy(F.col("key.id").alias("id")).agg(*[(value(k) if k in lists else F.try_element_at(value(k), F.lit(1))).alias(f"_{k}") for k in wanted])
+    before = {k: F.col(k) if k in entities.columns else F.lit(None).cast("array<string>" if k in lists else "string") for k in wanted}
+    out = out.join(told.hint("merge"), "id", "left").withColumns({k: F.when(F.col("kb_status") == "done", F.col(f"_{k}")).otherwise(before[k]) for k in wanted})
     return out.select(*dict.fromkeys([*entities.columns, "birth_date", "death_date", "kb_synced_at", *wanted]))
 
 

@@ -1569,6 +1569,31 @@ def m16_recheck(c, read):
     return after.entities.select("id", "kb_status", "image_count").join(F.broadcast(left))
 
 
+QUERY_NAME = "case when name like '%,%' then trim(split_part(name, ',', 2)) || ' ' || trim(split_part(name, ',', 1)) else name end"
+
+
+@query(f"""select * from (with e as (select *, {QUERY_NAME} as q from c_entities),
+  h as (select e.*, case when kb_id is null and id % 3 = 0 then 'Q' || (id % 25) else kb_id end as k, kb_id is null and id % 3 = 0 as found from e),
+  l as (select h.*, n_nationkey as n, n_name, case when found then case when id % 2 = 0 then upper(q) else 'Other ' || id end when kb_score is null then n_name end as label from h left join nation on k = 'Q' || n_nationkey),
+  s as (select *, case when k is null then 'not_found' when n % 5 = 0 then 'not_person' else 'done' end as status from l)
+  select id, k as kb_id, case when found or kb_score is null then case when label is null then null when lower(label) = lower(q) then 1.0 else 0.7 end else kb_score end::double as kb_score, status as kb_status,
+    case when status = 'done' then coalesce(case when id % 4 = 0 then 'About ' || id end, summary) else summary end as summary, case when status = 'done' then n_name end as birth_place,
+    case when status = 'done' and 1 + n % 12 in (1, 3, 5, 7, 8, 10, 12) then '1950-' || lpad((1 + n % 12)::varchar, 2, '0') || '-31' end as birth_date from s)""")
+def m18_enrich(c, read):
+    """Entities against a snapshot of a knowledge base made of the nations: hits for some without an id, labels, pages."""
+    entities = c.entities.withColumns({k: F.lit(None).cast(t) for k, t in (("birth_place", "string"), ("death_place", "string"), ("occupations", "array<string>"), ("employer", "string"), ("kb_synced_at", "timestamp_ntz"))})
+    name = F.coalesce(N.inverted_name(F.col("name")), F.col("name"))
+    hits = c.entities.filter("id % 3 = 0").select(
+        name.alias("query"), F.lit("fr").alias("lang"), F.lit(1).alias("rank"), F.concat(F.lit("Q"), (F.col("id") % 25).cast("string")).alias("kb_id"),
+        F.when(F.col("id") % 2 == 0, F.upper(name)).otherwise(F.concat(F.lit("Other "), F.col("id").cast("string"))).alias("label"))
+    kb_id = F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")).alias("kb_id")
+    statements = read("nation").select(kb_id, _statements(F.col("n_nationkey"), F.col("n_nationkey")).alias("statements"))
+    labels = read("nation").select(kb_id, F.lit("en").alias("lang"), F.col("n_name").alias("label"))
+    pages = c.entities.filter("id % 4 = 0").select(name.alias("title"), F.lit("fr").alias("lang"), F.lit("standard").alias("type"), F.concat(F.lit("About "), F.col("id").cast("string")).alias("extract"))
+    found = L.enrich(entities, hits, statements, labels, pages, AS_OF)
+    return found.select("id", "kb_id", "kb_score", "kb_status", "summary", "birth_place", F.col("birth_date").cast("string").alias("birth_date"))
+
+
 @query("""select raw_name, entity_id, outcome from (select m.raw_name, coalesce(e.id, a.entity_id) as entity_id, case when s.kb_status = 'not_person' then 'rejected' when e.id is not null then 'slug' when a.entity_id is not null then 'alias' else 'new' end as outcome
   from (select c_name as raw_name from customer union all select s_name from supplier) m
   left join (select id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as slug from c_entities) e on e.slug = trim(regexp_replace(lower(m.raw_name), '[^a-z0-9]+', '-', 'g'), '-')
