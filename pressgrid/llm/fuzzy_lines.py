@@ -1,29 +1,23 @@
-"""Near-duplicate lines by MinHash over character shingles.
-
-Signatures and exact similarities are taken in numpy, batch by batch; all grouping and joining is Spark's.
-"""
+"""Near-duplicate lines by MinHash over character shingles, with DataFrame functions alone."""
 
 from __future__ import annotations
 
 import random
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize, sided
 from .graph import connected_components
-from .shingles import chunks, hashes, sets
+from .rare import further_links
 
 #: White space at a line's ends besides blanks.
 OTHER_BLANKS = "\t\x0b\x0c\r"
 #: Coordinates come in three groups of ``TURNS``; a band takes one of each group.
 GROUPS, TURNS = 3, 5
-#: Coordinates that lines of a pair must agree on at least; at a similarity of 0.8 fewer agree with a chance of 0.0001.
-AGREE = 6
-#: Numbers of 64 bits in the bitmap of what a line has or lacks against its leader.
-MAP_WORDS = 4
+#: Shingles that a row of the signature scan holds.
+BLOCK = 8
+#: Coordinates that a line and its leader must agree on at least; at a similarity of 0.8 fewer agree with a chance of 1e-6.
+AGREE = 4
 COORDINATES = [f"m{i}" for i in range(GROUPS * TURNS)]
 
 
@@ -56,36 +50,42 @@ def _constants(seed: int) -> list[list[int]]:
     return [[(begin << 29 | rng.getrandbits(29)) - (1 << 31) for begin in rng.sample(range(8), TURNS)] for _ in range(GROUPS)]
 
 
-def _sign(width: int, seed: int):
-    """Signatures over all shingles of each line of a batch; a long line comes in pieces, a row each."""
-    constants = _constants(seed)
+def _points(line: Column) -> Column:
+    """Two bytes for each character (four for those beyond the basic plane), so that a shingle is cut out in constant time."""
+    return F.encode(line, "UTF-16BE")
+
+
+def _last(points: Column, width: int) -> Column:
+    """Where the last shingle begins in the points, counted in bytes from 1."""
+    return (F.greatest(F.octet_length(points) - 2 * width, F.lit(0)) + 1).cast("int")
+
 
-    def run(batches):
-        for batch in batches:
-            names = pd.DataFrame({"k1": batch.column("k1").to_numpy(), "k2": batch.column("k2").to_numpy()})
-            new = ~names.duplicated().to_numpy()
-            names = names[new].to_numpy()
-            for part in chunks(batch.column("line").filter(pa.array(new)).to_pylist(), width):
-                found, begins = hashes([piece for _, piece in part], width)
-                rows = names[[i for i, _ in part]]
-                least = []
-                for g in range(GROUPS):
-                    word = (found >> np.uint64(32 - 16 * g)).astype(np.uint32).view(np.int32)
-                    least += [np.minimum.reduceat(word ^ np.int32(c), begins) for c in constants[g]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), *[pa.array(x) for x in least]], names=["k1", "k2", *COORDINATES])
+def _shingle_set(line: Column, width: int) -> Column:
+    """Hashes of the different shingles of a line; the list of one binds the points, which would else be made anew for each shingle."""
+    def hashed(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), _last(p, width), F.lit(2)), lambda i: F.xxhash64(F.substring(p, i, F.lit(2 * width))))
 
-    return run
+    return F.transform(F.array(_points(line)), lambda p: F.array_distinct(hashed(p)))[0]
 
 
 def _signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """``k1, k2`` and the coordinates of a signature over all shingles, for each different line.
 
     A shingle's hash is cut into three numbers of 32 bits, one for each group of coordinates.  A coordinate is the
-    minimum after XOR with its constant, a permutation of these numbers.
+    minimum after XOR with its constant, a permutation of these numbers.  A row of the scan holds several shingles (the
+    last one is repeated at a line's end, which changes no minimum): they share the look-up of their line.
     """
-    lines = _keyed(lines_of(docs)).select("k1", "k2", "line")
-    signed = lines.mapInArrow(_sign(width, seed), ", ".join(["k1 bigint", "k2 int", *[f"{c} int" for c in COORDINATES]]))
-    return signed.groupBy("k1", "k2").agg(*[F.min(c).alias(c) for c in COORDINATES])
+    lines = _keyed(lines_of(docs)).select("k1", "k2", _points(F.col("line")).alias("points"))
+    lines = lines.select("k1", "k2", "points", _last(F.col("points"), width).alias("last"))
+    blocks = lines.select("k1", "k2", "points", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * BLOCK))).alias("at"))
+    hashed = blocks.select("k1", "k2", *[
+        F.xxhash64(F.substring("points", F.expr(f"if(at + {2 * j} > last, last, at + {2 * j})"), F.lit(2 * width))).alias(f"x{j}") for j in range(BLOCK)])
+    words = hashed.select("k1", "k2", *[
+        F.shiftright(F.shiftleft(f"x{j}", 16 * g), 32).cast("int").alias(f"x{j}_{g}") for j in range(BLOCK) for g in range(GROUPS)])
+    least = [
+        F.min(F.least(*[F.col(f"x{j}_{g}").bitwiseXOR(F.lit(c)) for j in range(BLOCK)])).alias(COORDINATES[g * TURNS + turn])
+        for g, group in enumerate(_constants(seed)) for turn, c in enumerate(group)]
+    return words.groupBy("k1", "k2").agg(*least)
 
 
 def _bucket_keys(count: int) -> Column:
@@ -97,73 +97,16 @@ def _agree(mine: str = "my_") -> Column:
     return sum((F.when(F.col(c) == F.col(mine + c), 1).otherwise(0) for c in COORDINATES), F.lit(0)) >= AGREE
 
 
-def _joined(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` of nodes with their lines ``left`` and ``right``."""
-    left = texts.select(F.col("node").alias("a"), F.col("line").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("line").alias("right"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-
-
-def _reaching(width: int, percent: int):
-    """The pairs of a batch whose full shingle sets reach the similarity."""
-    def run(batches):
-        for batch in batches:
-            reach = []
-            for l, r in zip(sets(batch.column("left").to_pylist(), width), sets(batch.column("right").to_pylist(), width)):
-                shared = len(np.intersect1d(l, r, assume_unique=True)) if len(l) * 100 >= len(r) * percent and len(r) * 100 >= len(l) * percent else 0
-                reach.append(shared * 100 >= (len(l) + len(r) - shared) * percent)
-            yield batch.select(["a", "b"]).filter(pa.array(reach, pa.bool_()))
-
-    return run
-
-
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` of nodes whose full shingle sets reach the similarity."""
-    return _joined(pairs, texts).select("a", "b", "left", "right").mapInArrow(_reaching(width, percent), "a bigint, b bigint")
-
-
-def _bitmap(found: np.ndarray) -> list[int]:
-    """The hashes, each as one of 64 * MAP_WORDS bits."""
-    bits = np.zeros(64 * MAP_WORDS, np.uint8)
-    bits[(found % np.uint64(len(bits))).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
-
-
-BITMAPS = [f"{name}{i}" for name in ("lost", "more") for i in range(MAP_WORDS)]
-
-
-def _compare(width: int):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for l, r in zip(sets(batch.column("left").to_pylist(), width), sets(batch.column("right").to_pylist(), width)):
-                kept, new = np.isin(l, r, assume_unique=True), ~np.isin(r, l, assume_unique=True)
-                rows.append((len(r), int(kept.sum()), len(l) - int(kept.sum()), *_bitmap(l[~kept]), *_bitmap(r[new])))
-            told = list(zip(*rows)) or [()] * (3 + len(BITMAPS))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(x, pa.int64()) for x in told]], names=["leader", "node", "n", "inside", "lack", *BITMAPS])
-
-    return run
-
-
-def _against_leader(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """What line b of ``pairs(a, b)`` shares with its leader a, lacks and has besides: counts, and bitmaps of the last two."""
-    found = _joined(pairs, texts).select("a", "b", "left", "right")
-    return materialize(found.mapInArrow(_compare(width), ", ".join(f"{k} bigint" for k in ("leader", "node", "n", "inside", "lack", *BITMAPS))))
-
-
-def _may_link(percent: int) -> Column:
-    """Whether two members of a bucket can be linked, by what each shares with the leader.
-
-    Both lack what either lacks of the leader's set, and share besides it at most what each has besides; bitmaps bound
-    how much of that is not common.  No pair that reaches the similarity is ruled out.
-    """
-    def only(name: str, mine: str, other: str) -> Column:
-        return sum((F.bit_count(F.col(f"{mine}{name}{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}{name}{i}")))) for i in range(MAP_WORDS)), F.lit(0))
-
-    size, own_more, more = F.col("inside") + F.col("lack"), F.col("my_n") - F.col("my_inside"), F.col("n") - F.col("inside")
-    lacking = F.greatest(F.col("my_lack") + only("lost", "", "my_"), F.col("lack") + only("lost", "my_", ""))
-    common = size - lacking + F.least(own_more - only("more", "my_", ""), more - only("more", "", "my_"))
-    return common * 100 >= (F.col("n") + F.col("my_n") - common) * percent
+    left = texts.select(F.col("node").alias("a"), F.col("line").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("line").alias("right"))
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    # A list of one pair of sets: exploded, each set is made once.
+    both = F.array(F.struct(_shingle_set(F.col("left"), width).alias("l"), _shingle_set(F.col("right"), width).alias("r")))
+    met = met.select("a", "b", F.explode(both).alias("s"))
+    met = met.select("a", "b", F.size("s.l").alias("n"), F.size("s.r").alias("m"), F.size(F.array_intersect("s.l", "s.r")).alias("shared"))
+    return met.filter(F.col("shared") * 100 >= (F.col("n") + F.col("m") - F.col("shared")) * percent).select("a", "b")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -195,26 +138,22 @@ def line_links(docs: DataFrame, width: int, percent: int, count: int, seed: int)
     weighed = materialize(held.drop("held").join(weight.hint("merge"), "node"))
     first = weighed.groupBy("bucket").agg(F.max("weight").alias("weight"))
     first = weighed.join(first.hint("merge"), ["bucket", "weight"], "left_semi").groupBy("bucket").agg(F.min("node").alias("leader"))
-    members = materialize(weighed.drop("weight").join(first.hint("merge"), "bucket"))
+    members = materialize(weighed.join(first.hint("merge"), "bucket"))
     pairs = _alike(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes)
     links = materialize(_links(pairs, texts, width, percent))
 
-    # Buckets whose lines are in several components: members outside the leader's against members of others.
+    # Buckets whose lines are in several components: members outside the leader's may be linked with members of others.
     comps = connected_components(links.toDF("src", "dst"))
     part = comps.select(F.col("id").alias("node"), F.col("component").alias("part"))
     home = comps.select(F.col("id").alias("leader"), F.col("component").alias("home"))
     placed = members.filter("node <> leader").join(part.hint("merge"), "node", "left").join(home.hint("merge"), "leader", "left")
-    placed = materialize(placed.select("bucket", "leader", "node", F.coalesce("part", "node").alias("part"), F.coalesce("home", "leader").alias("home")))
+    placed = materialize(placed.select("bucket", "node", "weight", F.coalesce("part", "node").alias("part"), F.coalesce("home", "leader").alias("home")))
     crowded = placed.groupBy("bucket").agg(F.count_if(F.expr("part <> home")).alias("strays"), F.count("*").alias("n")).filter("strays > 0 and n > 1").select("bucket")
-    rows = materialize(placed.join(crowded.hint("merge"), "bucket", "left_semi").join(nodes.select("node", *COORDINATES).hint("merge"), "node"))
-    mine = rows.filter("part <> home").select("bucket", *[F.col(k).alias(f"my_{k}") for k in ("node", "part", *COORDINATES)])
-    met = mine.hint("merge").join(rows, "bucket").filter("my_part <> part").filter(_agree())
-    met = met.select("leader", F.least("my_node", "node").alias("a"), F.greatest("my_node", "node").alias("b")).groupBy("a", "b").agg(F.min("leader").alias("leader"))
-    met = materialize(met.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti"))
-    told = _against_leader(met.select(F.col("leader").alias("a"), F.explode(F.array("a", "b")).alias("b")).distinct(), texts, width)
-    mine = told.select(F.col("node").alias("a"), "leader", *[F.col(k).alias(f"my_{k}") for k in told.columns[2:]])
-    rest = met.join(mine.hint("merge"), ["a", "leader"]).join(told.withColumnRenamed("node", "b").hint("merge"), ["b", "leader"]).filter(_may_link(percent))
-    links = materialize(links.unionByName(_links(materialize(rest.select("a", "b")), texts, width, percent)))
+    left_open = placed.join(crowded.hint("merge"), "bucket", "left_semi").groupBy("node").agg(F.first("weight").alias("weight"), F.first("part").alias("part"))
+    left_open = materialize(left_open)
+    if left_open.limit(1).count():
+        sets = materialize(texts.join(left_open.hint("merge"), "node", "left_semi").select("node", _shingle_set(F.col("line"), width).alias("shingles")))
+        links = links.unionByName(further_links(left_open, sets, percent, links, lambda pairs: _links(pairs, texts, width, percent)))
     return occurrences.drop("line"), nodes.select("node", "k1", "k2"), links
 
 
@@ -223,9 +162,9 @@ def fuzzy_lines(docs: DataFrame, width: int = 8, percent: int = 80, count: int =
 
     Lines end at a line feed and lose white space at both ends.  A line's set is its different shingles of
     ``width`` characters (UTF-16 units); a shorter line is one shingle.  Equal lines are one node.  Every line is
-    signed by all its shingles.  In each of its ``count`` buckets a line is compared with the bucket's leader, then members
-    outside the leader's component with those of other components, unless an exact bound rules a link out.
-    Pairs whose signatures agree on fewer than 6 of 15 coordinates are left out.
+    signed by all its shingles.  In each of its ``count`` buckets a line is compared with the bucket's leader, unless their
+    signatures agree on fewer than 4 of 15 coordinates (a chance of 1e-6 at 0.8).  Buckets with members outside the leader's component
+    go on to :func:`~pressgrid.llm.rare.further_links`, which finds the links among their lines by rare shingles, exactly.
     A link holds if 100 * shared >= percent * union on full sets; components are found by a
     distributed union-find.  With the defaults a pair of similarity 0.8 is met with a chance of about 0.995, one of
     0.9 with 0.9999.

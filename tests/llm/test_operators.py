@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pressgrid.llm import exact_dedup, fuzzy_lines, langid, minhash, mixing, packing, queries, shingles, topk, toxicity, url_filter, warc
+from pressgrid.llm import exact_dedup, fuzzy_lines, langid, minhash, mixing, packing, queries, rare, shingles, topk, toxicity, url_filter, warc
 from pressgrid.llm.graph import connected_components
 from tests.conftest import SMALL
 from tests.helpers import assert_same
@@ -353,6 +353,59 @@ def test_lines_template_with_unlinked_variants(spark):
     assert np.mean([got[k] == want[k] for k in want]) >= 0.99
 
 
+def test_lines_of_a_large_unlinked_group(spark):
+    """2,000 lines with a stem in common, of a similarity of about 0.6, and some of them with a near copy: no all-pairs comparison."""
+    rng = random.Random(13)
+    stem = " ".join(f"stem{i}" for i in range(30))
+    word = lambda: f"v{rng.randrange(10**8):08d}"
+    lines = [" ".join([stem, *(word() for _ in range(7))]) for _ in range(2000)]
+    lines += [x + " x" for x in lines[:200]]
+    rows = list(enumerate(lines))
+    got = {r["doc_id"]: r["class_doc"] for r in fuzzy_lines.fuzzy_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[2000 + i] == i for i in range(200)) >= 199
+    assert all(got[i] == i for i in range(2000))
+
+
+def test_rare_shingles_leave_no_link_out(spark):
+    rng = random.Random(14)
+    bases = [rng.sample(range(400), 60) for _ in range(6)]
+    sets = [sorted({x if rng.random() > 0.08 else rng.randrange(10**6) for x in rng.choice(bases)}) for _ in range(150)] + [[5], [5, 6], [6]]
+    frame = spark.createDataFrame(list(enumerate(sets)), "node bigint, shingles array<bigint>")
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (n := len(set(sets[i]) & set(sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - n)}
+    near = frame.sparkSession.createDataFrame(sorted(want), "a bigint, b bigint")
+    alone = frame.select("node", F.lit(1).cast("bigint").alias("weight"), F.col("node").alias("part"))
+    none = near.limit(0)
+    asked = []
+
+    def verify(pairs):
+        asked.extend((r["a"], r["b"]) for r in pairs.collect())
+        return pairs.join(near, ["a", "b"])
+
+    found = {(r["a"], r["b"]) for r in rare.further_links(alone, frame, 80, none, verify).collect()}
+    group = brute_groups(range(len(sets)), found)
+    assert found <= want and len(want) > 100 and group == brute_groups(range(len(sets)), want)
+    assert len(asked) == len(set(asked))
+    assert rare.further_links(alone.limit(0), frame.limit(0), 80, none, verify).count() == 0
+
+
+def brute_groups(ids, links):
+    least = {i: i for i in ids}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_lines_run_without_python(spark):
+    """No signature, verification or decision leaves the JVM: nothing of the plans asks for a Python worker."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    occurrences, nodes, links = fuzzy_lines.line_links(docs, 8, 80, 10, 11)
+    plans = [fuzzy_lines._signatures(docs, 8, 11), fuzzy_lines._links(links, nodes.withColumn("line", F.lit("x")), 8, 80), fuzzy_lines.fuzzy_lines(docs)]
+    for df in plans:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
+
+
 def test_lines_taken_out_of_odd_tables(spark):
     rows = [(1, "a line to keep\nsecond line"), (1, "other text of the id\nsecond line"), (None, "a line to keep\nno id"), (2, None), (3, "a line to keep")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("meta.url", F.lit("clash")).withColumn("gone", F.lit("clash")).withColumn("kept", F.lit("clash"))
