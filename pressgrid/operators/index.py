@@ -21,10 +21,14 @@ from .search import B, K1, query_terms
 
 #: Documents of a block at most, about; a block's documents are of like length, so that bounds tell blocks apart.
 BLOCK_DOCS = 1024
+#: Tokens of a block at most, about: one task packs a block.
+BLOCK_TOKENS = 1_000_000
 #: Lengths of a block lie within this factor.
 LENGTH_STEP = 1.25
 #: Tokens of a file of postings, about.
 FILE_TOKENS = 2_000_000
+#: A row of at least so many postings goes to the files of such rows.
+DENSE_POSTINGS = 32
 
 MANIFEST = "segment string, tombstones string, docs bigint, tokens bigint"
 
@@ -77,29 +81,31 @@ def _write_terms(spark: SparkSession, folder: str) -> None:
 def _write_segment(docs: DataFrame, folder: str) -> tuple[int, int]:
     """Writes ``docs(doc_id, texts)`` as a segment; returns its documents and tokens.  Ids are unique, empty documents count.
 
-    A document's tokens are counted in its own row first; then postings meet by range of term and block, so that a term
-    of every document is as many rows as there are blocks, over several files.
+    Texts are taken apart once: their tokens are written as plain text.  A block's documents then meet in one task, which
+    counts and packs its postings, and packed rows alone are sorted by range of term: rows of few postings and rows of many in
+    files of their own, so that a file's bytes follow its number of rows.
     """
     spark, segment = docs.sparkSession, _name(folder)
     words = docs.select("doc_id", tokens(F.array_join(F.transform("texts", lambda t: F.coalesce(t, F.lit(""))), " ")).alias("words"))
-    step = F.floor(F.log(F.size("words") + 1.0) / math.log(LENGTH_STEP)).cast("int")
-    words.select("doc_id", F.size("words").cast("bigint").alias("length"), step.alias("step")).write.mode("overwrite").parquet(f"{folder}/sizes")
-    sizes = spark.read.parquet(f"{folder}/sizes")
-    pieces = {r["step"]: (-(-r["n"] // BLOCK_DOCS), r["n"], r["sum"]) for r in sizes.groupBy("step").agg(F.count("*").alias("n"), F.sum("length").alias("sum")).collect()}  # a row for each order of length
-    many = F.create_map(*[F.lit(x) for k, (n, _, _) in pieces.items() for x in (k, n)]) if pieces else F.create_map(F.lit(0), F.lit(1))
+    spelled = snapshot(words.select("doc_id", F.size("words").cast("bigint").alias("length"), F.array_join("words", " ").alias("text")))
+    step = F.floor(F.log(F.col("length") + 1.0) / math.log(LENGTH_STEP)).cast("int")
+    sizes = spelled.select("doc_id", "length", step.alias("step"))
+    orders = sizes.groupBy("step").agg(F.count("*").alias("n"), F.sum("length").alias("sum")).collect()  # a row for each order of length
+    pieces = {r["step"]: max(-(-r["n"] // BLOCK_DOCS), -(-r["sum"] // BLOCK_TOKENS)) for r in orders}
+    many = F.create_map(*[F.lit(x) for k, n in pieces.items() for x in (k, n)]) if pieces else F.create_map(F.lit(0), F.lit(1))
     block = F.col("step") * 1_000_000 + F.pmod(F.xxhash64("doc_id"), F.try_element_at(many, F.col("step"))).cast("int")
-    held = sum(n for _, n, _ in pieces.values())
-    size = sum(t for _, _, t in pieces.values())
-
-    placed = words.select("doc_id", F.size("words").cast("bigint").alias("length"), step.alias("step"), F.explode("words").alias("term"))
-    counted = placed.withColumn("block", block).groupBy("term", "block", "doc_id", "length").agg(F.count("*").cast("int").alias("tf"))
-    files = max(1, -(-size // FILE_TOKENS))
-    posting = F.struct("doc_id", "tf", "length")
-    lists = counted.repartitionByRange(files, "term", "block").groupBy("term", "block").agg(F.array_sort(F.collect_list(posting)).alias("p"))
-    rows = lists.sortWithinPartitions("term", "block").select(
-        "term", F.lit(segment).alias("segment"), "block", F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.length").alias("min_length"),
-        F.aggregate("p.tf", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("tokens"), F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
-    rows.write.mode("overwrite").parquet(f"{folder}/postings")
+    held, size = sum(r["n"] for r in orders), sum(r["sum"] for r in orders)
+
+    met = spelled.select("doc_id", "length", "text", step.alias("step")).withColumn("block", block).drop("step").repartition(max(1, -(-size // FILE_TOKENS)), "block")
+    counted = met.select("block", "doc_id", "length", F.explode(F.split("text", " ")).alias("term")).filter("term <> ''").groupBy("block", "term", "doc_id", "length").agg(F.count("*").cast("int").alias("tf"))
+    lists = counted.groupBy("block", "term").agg(
+        F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.sum("tf").alias("tokens"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("p"))
+    packed = snapshot(lists.select("term", F.lit(segment).alias("segment"), "block", "n", "max_tf", "min_length", "tokens", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths")))
+    dense = F.col("n") >= DENSE_POSTINGS
+    share = packed.agg(F.coalesce(F.sum(F.when(dense, F.col("tokens"))), F.lit(0)).alias("dense")).first()["dense"]
+    for mode, rows, own in (("overwrite", packed.filter(~dense), size - share), ("append", packed.filter(dense), share)):
+        if own or mode == "overwrite":
+            rows.repartitionByRange(max(1, -(-own // FILE_TOKENS)), "term", "block").sortWithinPartitions("term", "block").write.mode(mode).parquet(f"{folder}/postings")
     _write_terms(spark, folder)
     sizes.select("doc_id", "length", block.alias("block"), F.lit(segment).alias("segment")).write.mode("overwrite").parquet(f"{folder}/docs")
     return held, size

@@ -128,3 +128,20 @@ def test_best_window(spark):
     cells = F.array(F.lit("the theatre"), F.col("t"), F.lit(None).cast("string"))
     assert df.limit(1).select(X.best_snippet(cells, "thea hero", 6)).first()[0] == got[0]
     assert df.limit(1).select(X.best_snippet(F.array(F.lit("x")), "thea", 6)).first()[0] is None
+
+
+def test_blocks_and_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Long documents make more blocks, and rows of few postings lie in other files than rows of many."""
+    monkeypatch.setattr(I, "BLOCK_TOKENS", 20_000)
+    rng = random.Random(5)
+    rows = [(i, [" ".join([f"rare{i}", *(rng.choice(WORDS) for _ in range(500))])]) for i in range(200)]
+    index = I.create_index(spark.createDataFrame(rows, "doc_id bigint, texts array<string>"), str(tmp_path / "long"))
+    sizes = [r["n"] for r in index.table(spark, "docs").groupBy("block").agg(F.sum("length").alias("n")).collect()]
+    assert sum(sizes) == index.tokens == 200 * 501 and len(sizes) > 3 and max(sizes) < 40_000
+    files = index.table(spark, "postings").groupBy(F.col("_metadata.file_name")).agg(F.min("n").alias("low"), F.max("n").alias("high")).collect()
+    assert len(files) > 1 and all(r["high"] < I.DENSE_POSTINGS or r["low"] >= I.DENSE_POSTINGS for r in files)
+    assert I.top(spark, index, "rare7 the", 3).total == plain_total(index, spark, "rare7")
+
+
+def plain_total(index, spark, prefix):
+    return I.matches(spark, index, prefix).count()
