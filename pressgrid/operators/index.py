@@ -29,6 +29,8 @@ LENGTH_STEP = 1.25
 FILE_TOKENS = 2_000_000
 #: A row of at least so many postings goes to the files of such rows.
 DENSE_POSTINGS = 32
+#: Parts of a block's tombstones, by hash: a posting is looked up in one of them.
+DEAD_PARTS = 64
 
 MANIFEST = "segment string, tombstones string, docs bigint, tokens bigint"
 
@@ -186,10 +188,13 @@ def _alive(spark: SparkSession, index: Index, rows: DataFrame) -> DataFrame:
     dead = _dead(spark, index)
     if dead is None:
         return rows
-    gone = snapshot(dead.groupBy("segment", "block").agg(F.collect_set("doc_id").alias("gone")))  # no more than a block's documents
+    part = lambda x: F.pmod(F.hash(x), F.lit(DEAD_PARTS))
+    parts = dead.groupBy("segment", "block", part("doc_id").alias("part")).agg(F.collect_set("doc_id").alias("ids"))
+    held = parts.groupBy("segment", "block").agg(F.map_from_entries(F.collect_list(F.struct("part", "ids"))).alias("held"))  # no more than a block's documents
+    gone = snapshot(held.select("segment", "block", F.transform(F.sequence(F.lit(0), F.lit(DEAD_PARTS - 1)), lambda i: F.try_element_at("held", i)).alias("gone")))
     lists = ["docs", "tfs", "lengths"]
     met = rows.join(sided(gone), ["segment", "block"], "left").withColumn("p", F.arrays_zip(*lists))
-    kept = met.withColumn("p", F.when(F.col("gone").isNull(), F.col("p")).otherwise(F.filter("p", lambda x: ~F.array_contains("gone", x["docs"]))))
+    kept = met.withColumn("p", F.when(F.col("gone").isNull(), F.col("p")).otherwise(F.filter("p", lambda x: ~F.coalesce(F.array_contains(F.get("gone", part(x["docs"])), x["docs"]), F.lit(False)))))
     again = {
         "n": F.size("p"), "max_tf": F.coalesce(F.array_max("p.tfs"), F.lit(0)), "min_length": F.coalesce(F.array_min("p.lengths"), F.lit(0).cast("bigint")),
         "tokens": F.aggregate("p.tfs", F.lit(0).cast("bigint"), lambda a, x: a + x), **{k: F.col(f"p.{k}") for k in lists}}

@@ -145,3 +145,14 @@ def test_blocks_and_files_are_bounded(spark, tmp_path, monkeypatch):
 
 def plain_total(index, spark, prefix):
     return I.matches(spark, index, prefix).count()
+
+
+def test_tombstones_are_looked_up_by_parts(spark, base, tmp_path):
+    """Postings of the dead leave rows of any length, and a row's other postings stay."""
+    docs, first = base
+    index = I.branch(spark, first, str(tmp_path / "own"))
+    gone = docs.filter("doc_id % 3 = 0").select("doc_id")
+    after = I.refresh(index, gone, X.documents(docs.filter("doc_id < 0"), ["text"], "doc_id"))
+    want = X.build_index(X.documents(docs.filter("doc_id % 3 <> 0"), ["text"], "doc_id"))[0].groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    assert sorted(I.vocabulary(spark, after).collect()) == sorted(want.collect())
+    assert "array_contains(gone," not in I._alive(spark, after, after.table(spark, "postings"))._jdf.queryExecution().analyzed().toString()
