@@ -109,9 +109,13 @@ def resolve_mentions(mentions: DataFrame, entities: DataFrame, aliases: DataFram
 
 
 def with_canonical(images: DataFrame) -> DataFrame:
-    """Each duplicate with the URL of what it duplicates."""
-    base = images.select(F.col("id").alias("duplicate_of"), F.col("source_url").alias("canonical_url"))
-    return images.join(base, "duplicate_of", "left")
+    """Each duplicate with the URL of what it duplicates.
+
+    Images that duplicate nothing come under their own id, where they match nothing: null keys would all meet in one task.
+    """
+    base = images.select(F.col("id").alias("_of"), F.col("source_url").alias("canonical_url"))
+    met = images.withColumn("_key", F.coalesce("duplicate_of", "id")).join(base.hint("merge"), F.expr("_key = _of and duplicate_of is not null"), "left")
+    return met.drop("_key", "_of")
 
 
 def resolve_labels(ids: DataFrame, labels: DataFrame, languages: tuple[str, ...] = ("fr", "en")) -> DataFrame:

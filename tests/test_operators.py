@@ -497,3 +497,19 @@ def test_recheck_and_label_ids(spark, corpus):
 def test_resolved_mentions(spark, corpus):
     mentions = spark.createDataFrame([("Ada Lovelace", "x"), ("Orchid", "x"), ("Nobody Known", "x")], "raw_name string, source string")
     assert rows(K.resolved_stream(mentions, corpus.entities, corpus.aliases), "raw_name", "outcome") == [("Ada Lovelace", "slug"), ("Nobody Known", "new")]
+
+
+def test_images_without_a_canonical_spread(spark):
+    """Images that duplicate nothing are the most, and no task gets them all."""
+    df = spark.range(2000).select("id", F.when(F.col("id") % 10 == 3, F.col("id") - 3).alias("duplicate_of"), F.concat(F.lit("u"), F.col("id")).alias("source_url"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = J.with_canonical(df).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["id"], r["canonical_url"]) for r in got) == [(i, f"u{i - 3}" if i % 10 == 3 else None) for i in range(2000)]
+    tasks = [r["task"] for r in got]
+    assert max(tasks.count(t) for t in set(tasks)) < 1200
