@@ -29,11 +29,13 @@ def md5_64(token: Column) -> Column:
 def simhashes(df: DataFrame, keys: list[str], text: str, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``keys, hash64``: the 64-bit SimHash of a text's tokens; texts without a token have no row.
 
-    Bit i is set where more token hashes have it than not: 64 sums over the exploded tokens.
+    Bit i is set where more token hashes have it than not: 32 sums over the exploded tokens, each of bit i and, 32 places higher, bit i + 32.
     """
     hashes = df.select(*keys, F.explode(tokens(F.col(text))).alias("token")).select(*keys, hashed(F.col("token")).alias("h"))
-    counts = hashes.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.getbit("h", F.lit(i)).cast("bigint")).alias(f"b{i}") for i in range(64)])
-    bits = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("bigint") for i in range(64)]
+    both = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1 << 32 | 1))
+    counts = hashes.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(both(i)).alias(f"b{i}") for i in range(32)])
+    ones = [F.col(f"b{i}").bitwiseAND(F.lit((1 << 32) - 1)) if i < 32 else F.shiftrightunsigned(f"b{i - 32}", 32) for i in range(64)]
+    bits = [F.when(x * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("bigint") for i, x in enumerate(ones)]
     return counts.select(*keys, sum(bits[1:], bits[0]).alias("hash64"))
 
 

@@ -11,7 +11,7 @@ from ..operators import aggregates as A, filters as P, index as I, joins as J, l
 from ..schema import Corpus
 from ..sources import feeds
 from ..streaming import jobs as K
-from ..tables import scratch
+from ..tables import scratch, snapshot
 from . import reports
 from .binding import AS_OF, EVENTS_AS_OF, corpus, table, with_tables
 
@@ -1285,7 +1285,7 @@ DOCUMENTS_SQL = V2_SQL.replace(BITS, SIMHASH).replace("<= 22", "<= 5").replace("
 
 def _documents_hashed(read) -> DataFrame:
     docs = read("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("entity_id"), F.col("doc_id").alias("scraped_at"), "text")
-    return S.simhashes(docs, ["id", "entity_id", "scraped_at"], "text", S.md5_64)
+    return snapshot(S.simhashes(docs, ["id", "entity_id", "scraped_at"], "text", S.md5_64))  # read more than once
 
 
 @query(DOCUMENTS_SQL)

@@ -99,3 +99,19 @@ def test_statements(spark):
     s = df.select(F.from_json("j", "map<string, array<variant>>").alias("s"))
     got = s.select(R.statement_ids(F.col("s"), "P31").alias("ids"), R.statement_ids(F.col("s"), "P9").alias("none"), R.statement_dates(F.col("s"), "P569").alias("days")).first()
     assert got["ids"] == ["Q5"] and got["none"] == [] and got["days"] == [datetime.date(1955, 2, 24), datetime.date(1956, 1, 2)]
+
+
+def test_simhash_takes_32_sums(spark):
+    """Two bits a sum, each as if counted alone, also where every token or none has it."""
+    from pressgrid.operators.similarity import simhashes
+
+    for hashes in ([-1, -1, -1], [0, 0], [-(1 << 63), 1 << 31, -1], [1 << 32, 1, 1 << 32 | 1], [(1 << 31) - 1] * 5):
+        df = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(len(hashes))))], "id bigint, text string")
+        own = F.create_map(*[F.lit(x) for i, h in enumerate(hashes) for x in (f"t{i}", h)])
+        found = simhashes(df, ["id"], "text", lambda token: own[token].cast("bigint"))
+        want = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+        assert found.first()["hash64"] == (want - (1 << 64) if want >> 63 else want)
+        plan = found._jdf.queryExecution().analyzed()
+        while plan.nodeName() != "Aggregate":
+            plan = plan.children().head()
+        assert plan.aggregateExpressions().size() <= 34  # the id, the count and 32 sums
