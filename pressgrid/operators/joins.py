@@ -37,6 +37,8 @@ def orphan_articles(c: Corpus) -> DataFrame:
 
 #: Entities of a block of an article that names more than these.
 ARTICLE_BLOCK = 1000
+#: Links whose pairs one task makes, about: more links are more tasks, not larger ones.
+LINKS_OF_TASK = 200_000
 
 
 def cooccurrence(links: DataFrame, min_shared: int = 1, pair: tuple[int, int] | None = None) -> DataFrame:
@@ -47,6 +49,8 @@ def cooccurrence(links: DataFrame, min_shared: int = 1, pair: tuple[int, int] |
     result, spread over as many tasks, and none is left out.
     """
     links = links.select("article_id", "entity_id").distinct()
+    if not pair:
+        links = snapshot(links)  # counted and read several times
     if pair:
         low, high = sorted(pair)
         left = links.filter(F.col("entity_id") == low).select("article_id")
@@ -58,7 +62,8 @@ def cooccurrence(links: DataFrame, min_shared: int = 1, pair: tuple[int, int] |
     few = large.limit(1).count()
     plain = links.join(sided(large), F.expr("article_id = large_id"), "left_anti") if few else links
     a, b = plain.withColumnRenamed("entity_id", "entity_a"), plain.withColumnRenamed("entity_id", "entity_b")
-    pairs = a.join(b, "article_id").filter("entity_a < entity_b").select("entity_a", "entity_b")
+    tasks = max(1, -(-links.count() // LINKS_OF_TASK))
+    pairs = a.repartition(tasks, "article_id").hint("merge").join(b.repartition(tasks, "article_id"), "article_id").filter("entity_a < entity_b").select("entity_a", "entity_b")
     if few:
         dealt = links.join(sided(large), F.expr("article_id = large_id")).withColumn("block", F.pmod(F.xxhash64("entity_id"), F.col("blocks")).cast("int"))
         left = dealt.select("article_id", F.col("entity_id").alias("x"), F.col("block").alias("low"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("high"))

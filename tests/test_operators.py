@@ -513,3 +513,19 @@ def test_images_without_a_canonical_spread(spark):
     assert sorted((r["id"], r["canonical_url"]) for r in got) == [(i, f"u{i - 3}" if i % 10 == 3 else None) for i in range(2000)]
     tasks = [r["task"] for r in got]
     assert max(tasks.count(t) for t in set(tasks)) < 1200
+
+
+def test_more_links_are_more_tasks(spark, monkeypatch):
+    """The pairs of an article's entities are made by as many tasks as there are links for."""
+    monkeypatch.setattr(J, "LINKS_OF_TASK", 100)
+    links = spark.createDataFrame([(i % 200, i // 200 + i % 3) for i in range(1000)], "article_id bigint, entity_id bigint")
+    own = {}
+    for r in links.distinct().collect():
+        own.setdefault(r["article_id"], set()).add(r["entity_id"])
+    want = {}
+    for es in own.values():
+        for p in ((a, b) for a in es for b in es if a < b):
+            want[p] = want.get(p, 0) + 1
+    found = J.cooccurrence(links)
+    assert {(r["entity_a"], r["entity_b"]): r["shared"] for r in found.collect()} == want
+    assert "RepartitionByExpression [article_id" in found._jdf.queryExecution().optimizedPlan().toString()
