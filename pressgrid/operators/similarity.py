@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import tokens
 from ..functions.rules import FLAG, flag_hypothesis
@@ -227,38 +227,42 @@ def pivot_blocks(rows: DataFrame, blocks: int) -> DataFrame:
     return snapshot(grouped.withColumn("block", F.monotonically_increasing_id()).drop("cell", "ring", "part"))
 
 
-def meeting_blocks(blocks: DataFrame, limit: float) -> DataFrame:
-    """``left_block, right_block``: the pairs of blocks that may hold two vectors within a cosine distance.
+def _blocks_that_meet(blocks: DataFrame, limit: float) -> DataFrame:
+    """Each two ``blocks`` (or one twice) that may hold two vectors within a cosine distance, as ``left_...`` and ``right_...`` columns.
 
     By the triangle inequality two vectors lie at least as far apart as their distances to any pivot differ, so their
-    inner product is at most half of what their squared norms exceed that gap's square by.  Pairs of blocks are made here, not of rows.
+    inner product is at most half of what their squared norms exceed that gap's square by.  The blocks were written, and each
+    task reads its two shares of them: a shuffle would send a block once for each block that it meets, which grows with the square.
     """
-    bounds = snapshot(blocks.select("block", "low", "high", "norm").withColumn("nth", F.row_number().over(W.orderBy("block"))))  # a row for each block
-    right = bounds.select(F.col("block").alias("right_block"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("norm").alias("norm2"), "nth")
-    left = bounds.select(F.col("block").alias("left_block"), "low", "high", "norm", F.explode(F.sequence("nth", F.lit(bounds.count()))).alias("nth"))
-    gaps = F.zip_with(F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    dot = (F.col("norm") + F.col("norm2") - F.pow(F.array_max(gaps), 2)) / 2
-    return snapshot(left.hint("merge").join(right, "nth").filter(1 - dot <= limit + 1e-9).select("left_block", "right_block"))
+    left, right = (blocks.select(*[F.col(k).alias(f"{side}_{k}") for k in blocks.columns]) for side in ("left", "right"))
+    gap = lambda low, high: F.zip_with(low, high, lambda x, y: x - y)
+    gaps = F.zip_with(gap("left_low", "right_high"), gap("right_low", "left_high"), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    dot = (F.col("left_norm") + F.col("right_norm") - F.pow(F.array_max(gaps), 2)) / 2
+    return left.hint("shuffle_replicate_nl").join(right, (F.col("left_block") <= F.col("right_block")) & (1 - dot <= limit + 1e-9))
+
+
+def meeting_blocks(blocks: DataFrame, limit: float) -> DataFrame:
+    """``left_block, right_block``: the pairs of blocks that :func:`vector_pairs` multiplies."""
+    return _blocks_that_meet(blocks.drop("rows"), limit).select("left_block", "right_block")
 
 
 def vector_pairs(vectors: DataFrame, limit: float, key: str = "id", vector: str = "centroid") -> DataFrame:
     """All pairs of unit vectors within a cosine distance (J9): one matrix product for each two blocks that may meet.
 
     Blocks are cells around pivots, and two blocks whose distances to some pivot differ too much are never multiplied
-    (:func:`meeting_blocks`).  Vectors of one block are one product.
+    (:func:`meeting_blocks`).  Vectors of one block are one product.  What is shuffled and written is the vectors a few times
+    and the pairs found; the products grow with the square of the vectors.
     """
     rows = snapshot(vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")))
     count = max(1, -(-rows.count() // BLOCK_ROWS))
-    ids, vs = F.transform("rows", lambda r: r["id"]), F.transform("rows", lambda r: r["v"])
+    part = lambda side, k: F.transform(f"{side}_rows", lambda r: r[k])
     if count == 1:
         grouped = snapshot(rows.agg(F.collect_list(F.struct("id", "v")).alias("rows")).filter("size(rows) > 0").select(F.lit(0).alias("block"), "rows"))
-        met = grouped.select(F.col("block").alias("left_block"), ids.alias("left_ids"), vs.alias("left_vectors"), F.col("block").alias("right_block"), ids.alias("right_ids"), vs.alias("right_vectors"))
-        return met.mapInPandas(_block_pairs(limit), "a bigint, b bigint, distance double")
-    grouped = pivot_blocks(rows, count)
-    left = grouped.select(F.col("block").alias("left_block"), ids.alias("left_ids"), vs.alias("left_vectors"))
-    right = grouped.select(F.col("block").alias("right_block"), ids.alias("right_ids"), vs.alias("right_vectors"))
-    met = meeting_blocks(grouped, limit).join(left.hint("merge"), "left_block").join(right.hint("merge"), "right_block")
-    return met.mapInPandas(_block_pairs(limit), "a bigint, b bigint, distance double")
+        met = grouped.select(F.col("block").alias("left_block"), F.col("rows").alias("left_rows"), F.col("block").alias("right_block"), F.col("rows").alias("right_rows"))
+    else:
+        met = _blocks_that_meet(pivot_blocks(rows, count), limit)
+    sides = [F.col("left_block"), F.col("right_block"), *[part(side, k).alias(f"{side}_{name}") for side in ("left", "right") for k, name in (("id", "ids"), ("v", "vectors"))]]
+    return met.select(*sides).mapInPandas(_block_pairs(limit), "a bigint, b bigint, distance double")
 
 
 def candidate_pairs(entities: DataFrame, limit: float = 0.45, least_images: int = 5, auto_distance: float = 0.20) -> DataFrame:

@@ -412,6 +412,17 @@ def test_blocks_that_cannot_meet(spark, monkeypatch):
     assert blocks.agg(F.max(F.size("rows"))).first()[0] <= 80 and met < 0.5 * n * (n + 1) / 2
 
 
+def test_blocks_are_not_shuffled_to_meet(spark, monkeypatch):
+    """Blocks are read where they meet: a shuffle would send each once for each block that it meets."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", 40)
+    v = np.random.default_rng(5).normal(0, 1, (200, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    found = S.vector_pairs(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, centroid array<double>"), 0.3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(i, j) for i, j in zip(*np.nonzero(1 - v @ v.T <= 0.3)) if i < j}
+
+
 def test_merges_of_components_larger_than_a_row(spark, monkeypatch):
     monkeypatch.setattr(C, "FOLD_ROWS", 5)
     test_centroid_merges_equal_the_sequential_order(spark)
