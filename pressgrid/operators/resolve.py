@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.rules import caption_rule
 from ..schema import Corpus
-from ..tables import snapshot
+from ..tables import sided, snapshot
 from .aggregates import recompute_counts, reset_centroids
 from .components import components, in_order
 
@@ -60,11 +60,33 @@ def plan_kb_merges(entities: DataFrame) -> DataFrame:
 def plan_centroid_merges(pairs: DataFrame, max_distance: float = 0.20) -> DataFrame:
     """Merges of near centroids in order of distance; a pair of which a member is gone is skipped (M8).
 
-    ``pairs`` as of candidate_pairs, whose verdicts stand.  Pairs of different components of the pair graph can't meet, so
+    ``pairs`` as of candidate_pairs, whose verdicts stand.  A pair is a merge for certain once no earlier open pair removes one of its two;
+    rounds of all such pairs strike the later ones of what they remove, as long as a round settles a quarter of what is open.
+    Where pairs wait for each other in long chains, the open rest is folded: pairs of different components of the pair graph can't meet, so
     each component is folded by itself in that order; a very large one block by block, where what is gone strikes later pairs.
     """
-    at = F.struct("distance", "canonical_id", "duplicate_id").alias("at")
-    able = snapshot(pairs.filter((F.col("distance") <= max_distance) & F.col("can_auto")).select("canonical_id", "duplicate_id", at).distinct())
+    order = ["distance", "canonical_id", "duplicate_id"]
+    at = F.struct(*order).alias("at")
+    able = snapshot(pairs.filter((F.col("distance") <= max_distance) & F.col("can_auto")).select(*order).distinct())
+    merges, left = able.limit(0), able.count()
+    while left:
+        firsts = snapshot(able.groupBy(F.col("duplicate_id").alias("gone")).agg(F.min(at).alias("since")))
+        sooner = firsts.toDF("canonical_id", "sooner")
+        now = firsts.join(sooner.hint("merge"), F.col("since.canonical_id") == F.col("canonical_id"), "left").filter("sooner is null or sooner >= since")
+        now = snapshot(now.select("gone", "since"))
+        merges = merges.unionByName(now.select("since.*"))
+        gone, before = sided(now), left
+        for k in ("canonical_id", "duplicate_id"):
+            able = able.join(gone, (F.col(k) == F.col("gone")) & (at >= F.col("since")), "left_anti")
+        able = snapshot(able)
+        left = able.count()
+        if left * 4 > before * 3:
+            break
+    return merges.unionByName(_folded_merges(able.withColumn("at", at)) if left else able).select("canonical_id", "duplicate_id", "distance")
+
+
+def _folded_merges(able: DataFrame) -> DataFrame:
+    """What :func:`plan_centroid_merges` takes of the open pairs ``able(canonical_id, duplicate_id, at)``, component by component."""
     labels = components(able.select(F.col("canonical_id").alias("a"), F.col("duplicate_id").alias("b")))
     placed = able.join(labels.withColumnRenamed("id", "canonical_id").hint("merge"), "canonical_id")
 

@@ -273,8 +273,8 @@ def candidate_pairs(entities: DataFrame, limit: float = 0.45, least_images: int
     """
     rows = live(entities, strict=True).filter(F.col("image_count") >= least_images)
     pairs = vector_pairs(rows, limit)
-    side = rows.select("id", "kb_id", "image_count")
-    met = pairs.join(side.toDF("a", "kb_a", "images_a").hint("merge"), "a").join(side.toDF("b", "kb_b", "images_b").hint("merge"), "b").filter("kb_a is null or kb_b is null or kb_a <> kb_b")
+    side = snapshot(rows.select("id", "kb_id", "image_count"))
+    met = pairs.join(sided(side.toDF("a", "kb_a", "images_a")), "a").join(sided(side.toDF("b", "kb_b", "images_b")), "b").filter("kb_a is null or kb_b is null or kb_a <> kb_b")
     swap = F.col("images_b") > F.col("images_a")
     c, d = F.greatest("images_a", "images_b"), F.least("images_a", "images_b")
     reason = safe_auto(c, d, F.col("distance"), auto_distance)

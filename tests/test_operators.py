@@ -428,6 +428,24 @@ def test_merges_of_components_larger_than_a_row(spark, monkeypatch):
     test_centroid_merges_equal_the_sequential_order(spark)
 
 
+def test_merges_in_rounds(spark, monkeypatch):
+    """Pairs of which none waits long are settled by rounds alone, whatever the component's size; a chain's open rest is folded."""
+    rng = random.Random(4)
+    for n, chain in ((80, False), (60, True)):
+        some = {tuple(rng.sample(range(n), 2)) for _ in range(4 * n)}
+        pairs = [(i / 1000, i, i + 1) for i in range(n)] if chain else sorted((round(rng.random() / 5, 2), *p) for p in some)
+        folded = []
+        monkeypatch.setattr(resolve, "in_order", lambda *a: folded.append(1) or C.in_order(*a))
+        gone, want = set(), []
+        for x, c, d in pairs:
+            if c not in gone and d not in gone:
+                gone.add(d)
+                want.append((c, d, x))
+        df = spark.createDataFrame([(c, d, x, True) for x, c, d in pairs], "canonical_id bigint, duplicate_id bigint, distance double, can_auto boolean")
+        assert rows(resolve.plan_centroid_merges(df), "canonical_id", "duplicate_id", "distance") == sorted(want)
+        assert bool(folded) == chain
+
+
 def test_dedup_of_groups(spark):
     data = [(1, 1, 0), (2, 1, 1), (3, 1, (1 << 20) - 1), (4, 2, 5), (5, 3, 7), (6, 3, 7)]
     df = spark.createDataFrame([(i, g, i, h) for i, g, h in data], "id bigint, entity_id bigint, scraped_at bigint, hash64 bigint")
