@@ -13,14 +13,23 @@ from ..tables import sided, snapshot
 from .filters import favorites, live
 from .ranks import ranked
 
+#: Links that one task of :func:`recompute_counts` takes, about.
+LINKS_OF_TASK = 200_000
+
 
 def recompute_counts(c: Corpus) -> DataFrame:
-    """Entities with fresh counters, and first_seen from the earliest linked article where it is null (A1, A2)."""
+    """Entities with fresh counters, and first_seen from the earliest linked article where it is null (A1, A2).
+
+    Links meet their articles in as many tasks as there are links for, each with a bounded number of them.
+    """
     im = c.images.groupBy(F.col("entity_id").alias("id")).agg(
         F.count("*").alias("n_images"), F.count_if(F.col("is_duplicate").eqNullSafe(False)).alias("n_unique"))
-    seen = c.links.join(c.articles.select(F.col("id").alias("article_id"), "scraped_at"), "article_id", "left")
-    ar = seen.groupBy(F.col("entity_id").alias("id")).agg(F.countDistinct("article_id").alias("n_articles"), F.min("scraped_at").alias("earliest"))
-    joined = c.entities.join(im, "id", "left").join(ar, "id", "left")
+    links = snapshot(c.links.select("article_id", "entity_id").distinct())
+    tasks = max(1, -(-links.count() // LINKS_OF_TASK))
+    times = c.articles.select(F.col("id").alias("article_id"), "scraped_at").repartition(tasks, "article_id").groupBy("article_id").agg(F.min("scraped_at").alias("scraped_at"))
+    seen = links.repartition(tasks, "article_id").hint("merge").join(times, "article_id", "left")
+    ar = seen.groupBy(F.col("entity_id").alias("id")).agg(F.count("article_id").alias("n_articles"), F.min("scraped_at").alias("earliest"))
+    joined = c.entities.join(im.hint("merge"), "id", "left").join(ar.hint("merge"), "id", "left")
     zero = lambda x: F.coalesce(x, F.lit(0).cast("bigint"))
     return joined.withColumns({
         "image_count": zero("n_images"), "unique_image_count": zero("n_unique"), "article_count": zero("n_articles"), "first_seen": F.coalesce("first_seen", "earliest"),

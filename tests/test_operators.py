@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -42,6 +43,14 @@ def test_counts(corpus):
     assert rows(again, "id", "image_count") == rows(A.recompute_counts(corpus), "id", "image_count")
 
 
+def test_counts_take_as_many_tasks_as_links_ask_for(corpus, monkeypatch):
+    monkeypatch.setattr(A, "LINKS_OF_TASK", 1)
+    links = corpus.links.unionByName(corpus.links)
+    found = A.recompute_counts(corpus.with_(links=links))
+    assert re.search(r"hashpartitioning\(article_id#\d+L?, 3\)", found._jdf.queryExecution().executedPlan().toString())
+    assert rows(found, "id", "article_count") == [(1, 1), (2, 2), (3, 0)]
+
+
 def test_merge_and_split(spark, corpus):
     edges = spark.createDataFrame([(2, 1), (3, 3), (9, 1)], "duplicate_id bigint, canonical_id bigint")
     after = resolve.apply_merges(corpus, edges)
