@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import fold, tokens
 from ..schema import Corpus
-from ..tables import snapshot
+from ..tables import sided, snapshot
 from .filters import live
 from .pages import with_total
 
@@ -21,9 +21,9 @@ def documents(table: DataFrame, columns: list[str], key: str = "id") -> DataFram
 
 
 def build_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings ``term, doc_id, col, pos`` and sizes ``doc_id, length``."""
+    """Postings ``term, doc_id, col, pos`` and sizes ``doc_id, length`` (X1); words are written once for both."""
     cells = docs.select("doc_id", F.posexplode("texts").alias("col", "text"))
-    words = cells.select("doc_id", "col", tokens(F.col("text")).alias("words"))
+    words = snapshot(cells.select("doc_id", "col", tokens(F.col("text")).alias("words")))
     postings = words.select("doc_id", "col", F.posexplode("words").alias("pos", "term"))
     lengths = words.groupBy("doc_id").agg(F.sum(F.size("words")).alias("length"))
     return postings.select("term", "doc_id", "col", "pos"), lengths
@@ -157,7 +157,9 @@ def search(
             if known is None:
                 top = top.withColumns({"entity_id": F.lit(None).cast("bigint"), "name": F.lit(None).cast("string"), "snippet": F.lit(None).cast("string")})
             else:
-                top = top.join(known.hint("merge"), "doc_id", "left").withColumn("snippet", best_snippet(F.col("texts"), query)).drop("texts")
+                top = snapshot(top)
+                few = known.join(sided(top.select("doc_id")), "doc_id", "left_semi")
+                top = top.join(few.hint("merge"), "doc_id", "left").withColumn("snippet", best_snippet(F.col("texts"), query)).drop("texts")
             top = top.select("scope", "doc_id", "score", "total", "entity_id", "name", "snippet")
         found = top if found is None else found.unionByName(top)
     return found
@@ -166,7 +168,8 @@ def search(
 def global_search(c: Corpus, query: str, scope: str = "all", limit: int = 20) -> DataFrame:
     """Search over entities, articles and images of a corpus, each hit with its entity and a snippet.
 
-    Tombstones are neither hits nor in the total.  An article's entity is that with the lowest id.
+    Tombstones are neither hits nor in the total.  An article's entity is that with the lowest id.  What is searched of a table
+    is written once: postings, lengths and hits' texts come from there.
     """
     def has(df: DataFrame, *names: str) -> list[str]:
         return [k for k in names if k in df.columns]
@@ -174,14 +177,15 @@ def global_search(c: Corpus, query: str, scope: str = "all", limit: int = 20) ->
     aliases = c.aliases.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), " ").alias("alias_text"))
     entities = c.entities.join(aliases.hint("merge"), F.expr("id = entity_id"), "left").drop("entity_id")
     columns = {"entities": has(entities, "name", "alias_text", "summary", "birth_place", "death_place", "occupations", "employer"), "articles": has(c.articles, "title", "domain"), "images": has(c.images, "caption", "alt_text", "copyright")}
-    tables = {"entities": entities, "articles": c.articles, "images": c.images}
+    tables = {"entities": entities.select("id", *columns["entities"]), "articles": c.articles.select("id", *columns["articles"]), "images": c.images.select("id", "entity_id", *columns["images"])}
     if scope != "all" and scope not in tables:
         raise ValueError(f"unknown scope {scope}: all, {', '.join(tables)}")
     who = c.entities.select(F.col("id").alias("entity_id"), "name")
-    owner = {"entities": c.entities.select(F.col("id").alias("doc_id"), F.col("id").alias("entity_id")), "articles": c.links.groupBy(F.col("article_id").alias("doc_id")).agg(F.min("entity_id").alias("entity_id")), "images": c.images.select(F.col("id").alias("doc_id"), "entity_id")}
-    docs = {k: documents(df, columns[k]) for k, df in tables.items() if scope in ("all", k)}
+    tables = {k: snapshot(df) for k, df in tables.items() if scope in ("all", k)}
+    owner = {"entities": lambda: c.entities.select(F.col("id").alias("doc_id"), F.col("id").alias("entity_id")), "articles": lambda: c.links.groupBy(F.col("article_id").alias("doc_id")).agg(F.min("entity_id").alias("entity_id")), "images": lambda: tables["images"].select(F.col("id").alias("doc_id"), "entity_id")}
+    docs = {k: documents(df, columns[k]) for k, df in tables.items()}
     scopes = {k: build_index(df) for k, df in docs.items()}
-    about = {k: df.select("doc_id", "texts").join(owner[k].hint("merge"), "doc_id", "left").join(who.hint("merge"), "entity_id", "left") for k, df in docs.items()}
+    about = {k: df.select("doc_id", "texts").join(owner[k]().hint("merge"), "doc_id", "left").join(who.hint("merge"), "entity_id", "left") for k, df in docs.items()}
     return search(scopes, query, scope, limit, {"entities": live(c.entities).select(F.col("id").alias("doc_id"))}, about)
 
 

@@ -51,6 +51,20 @@ def test_counts_take_as_many_tasks_as_links_ask_for(corpus, monkeypatch):
     assert rows(found, "id", "article_count") == [(1, 1), (2, 2), (3, 0)]
 
 
+def test_search_reads_a_table_once(spark, corpus):
+    """The images are made once, not for postings, lengths and texts each."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    images = corpus.images.mapInPandas(count, corpus.images.schema)
+    hits = X.global_search(corpus.with_(images=images), "Ada", "images", 5).collect()
+    assert sorted(h["doc_id"] for h in hits) == [100, 101] and {h["total"] for h in hits} == {2} and made.value == 3
+
+
 def test_merge_and_split(spark, corpus):
     edges = spark.createDataFrame([(2, 1), (3, 3), (9, 1)], "duplicate_id bigint, canonical_id bigint")
     after = resolve.apply_merges(corpus, edges)
