@@ -91,11 +91,12 @@ def associate(candidates: DataFrame, article_entities: DataFrame, variants: Data
     """The entity that an image's texts name: first in the article's order, then in the variants' order.
 
     ``candidates(image_id, article_id, alt, caption)``, ``article_entities(article_id, entity_id, entity_pos)``.
-    An equality join on the article bounds the text comparison to its own entities.
+    An equality join on the article bounds the text comparison to its own entities.  Variants are broadcast if few by measure:
+    a merge would send an image's texts once for each entity of its article.
     """
     text = F.lower(F.trim(F.concat_ws(" ", F.when(F.col("alt") != "", F.col("alt")), F.when(F.col("caption") != "", F.col("caption")))))
     texts = candidates.select("image_id", "article_id", text.alias("words")).filter("words <> ''")
-    met = texts.join(article_entities, "article_id").join(variants.hint("merge"), "entity_id").filter(F.contains("words", F.lower("variant")))
+    met = texts.hint("merge").join(article_entities, "article_id").join(sided(snapshot(variants)), "entity_id").filter(F.contains("words", F.lower("variant")))
     return met.groupBy("image_id").agg(F.min_by("entity_id", F.struct("entity_pos", "position")).alias("entity_id"))
 
 

@@ -68,6 +68,7 @@ def upsert_links(incoming: DataFrame, links: DataFrame) -> DataFrame:
 
 def attribute_images(candidates: DataFrame, article_entities: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """``image_id, entity_id, outcome``: named in the text, else the article's only person, else ignored (M4)."""
+    candidates = snapshot(candidates.select("image_id", "article_id", "alt", "caption"))  # read for the names and for all images
     named = associate(candidates, article_entities, variants_table(entities, aliases)).withColumnRenamed("entity_id", "named_id")
     only = article_entities.groupBy("article_id").agg(F.min("entity_id").alias("only_id"), F.countDistinct("entity_id").alias("persons")).filter("persons = 1")
     met = candidates.join(named.hint("merge"), "image_id", "left").join(only.hint("merge"), "article_id", "left")

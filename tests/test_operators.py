@@ -65,6 +65,22 @@ def test_search_reads_a_table_once(spark, corpus):
     assert sorted(h["doc_id"] for h in hits) == [100, 101] and {h["total"] for h in hits} == {2} and made.value == 3
 
 
+def test_attribution_makes_images_once_and_copies_no_texts(spark, corpus):
+    """The images are made once, and their texts aren't shuffled once more for each entity of their article."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    asked = corpus.images.select(F.col("id").alias("image_id"), "article_id", F.lit("").alias("alt"), F.when(F.col("id") == 101, "Lovelace").otherwise("nobody").alias("caption"))
+    own = corpus.links.withColumn("entity_pos", F.col("entity_id"))
+    found = L.attribute_images(asked.mapInPandas(count, asked.schema), own, corpus.entities, corpus.aliases.limit(0))
+    assert rows(found, "image_id", "entity_id", "outcome") == [(100, None, "ignored"), (101, 2, "named"), (102, 2, "only_person")]
+    assert made.value == 3 and "BroadcastHashJoin [entity_id" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merge_and_split(spark, corpus):
     edges = spark.createDataFrame([(2, 1), (3, 3), (9, 1)], "duplicate_id bigint, canonical_id bigint")
     after = resolve.apply_merges(corpus, edges)
