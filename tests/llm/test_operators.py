@@ -366,6 +366,39 @@ def test_lines_of_a_large_unlinked_group(spark):
     assert all(got[i] == i for i in range(2000))
 
 
+def families(rng, count, copies):
+    """Texts that share some 0.5 to 0.95 of their shingles with others, several repeating themselves."""
+    rows = []
+    for _ in range(count):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([3, 20, 60]))] * rng.choice([1, 1, 3])
+        rows += [" ".join(w if rng.random() > rng.choice([0.01, 0.03, 0.06]) else f"n{rng.randrange(10**6)}" for w in words) for _ in range(copies)]
+    return rows
+
+
+def test_lines_that_share_a_bucket_are_all_decided(spark, monkeypatch):
+    """Lines outside their leader's component are compared inside their buckets, not by shingles that the whole table may share."""
+    def refused(*_):
+        raise AssertionError("no bucket is large")
+
+    monkeypatch.setattr(fuzzy_lines, "further_links", refused)
+    rows = list(enumerate(families(random.Random(15), 8, 20)))
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"]) for r in fuzzy_lines.fuzzy_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute_lines(rows)
+    assert np.mean([got[k] == want[k] for k in want]) >= 0.99
+
+
+def test_maps_rule_no_link_out(spark):
+    lines = families(random.Random(16), 10, 10)
+    sets = [{x[a:a + 8] for a in range(max(1, len(x) - 7))} for x in lines]
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    texts = spark.createDataFrame(list(enumerate(lines)), "node bigint, line string")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))], "a bigint, b bigint")
+    kept = fuzzy_lines._alike(pairs, fuzzy_lines._maps(texts, 8), 80)
+    found = {(r["a"], r["b"]) for r in kept.collect()}
+    assert links <= found and len(found) < pairs.count() / 2
+    assert {(r["a"], r["b"]) for r in fuzzy_lines._links(kept, texts, 8, 80).collect()} == links
+
+
 def test_rare_shingles_leave_no_link_out(spark):
     rng = random.Random(14)
     bases = [rng.sample(range(400), 60) for _ in range(6)]
