@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import tokens
 from ..functions.rules import FLAG, flag_hypothesis
 from ..functions.vectors import cosine_distance
 from ..tables import sided, snapshot
-from .components import components, in_order
 from .filters import live
+from .ranks import ranked
 
 #: Rows of a block in the all-pairs product.
 BLOCK_ROWS = 2048
 #: Pivots of the blocks of vectors at most.
 PIVOTS = 64
+#: Hashes of a group that are folded in one task, and those that meet a block's leaders in one task.
+FOLD_ITEMS, SHARE_ITEMS = 1 << 17, 1 << 15
 
 
 def md5_64(token: Column) -> Column:
@@ -85,52 +89,126 @@ def mark_duplicates(df: DataFrame, max_bits: int = 5, group: str = "entity_id",
 
 
 def mark_duplicates_large(df: DataFrame, max_bits: int = 5, group: str = "entity_id", order: str = "scraped_at", key: str = "id", bits: str = "hash64") -> DataFrame:
-    """:func:`mark_duplicates` for groups of any size, by components of the pairs that are near (V2, V3).
+    """:func:`mark_duplicates` for groups of any size, without making the pairs that are near (V2, V3).
 
     A null group is a group like others.  Equal hashes of a group are one item, its earliest: a later copy is a duplicate of the same leader, or of the
-    first copy where that is one.  An item can only be a duplicate within its component, so each component is folded by itself, in one
-    row up to a bounded size; a larger one block by block in order (:func:`in_order`), where each block's leaders strike
-    all their later neighbours.
+    first copy where that is one.  A group's items go in order, in blocks of ``FOLD_ITEMS``: what a leader of an earlier block is near to is struck, and the rest of
+    the block is folded by itself.  So hashes are compared with leaders alone, and a task holds a block's leaders and a share of another block at most.
     """
     rows = snapshot(df.filter(F.col(bits).isNotNull()).select(F.struct(F.col(group).alias("v")).alias("g"), F.col(key).alias("id"), F.struct(F.col(order).alias("t"), F.col(key).alias("k")).alias("at"), F.col(bits).alias("hash64")))
-    firsts = snapshot(rows.groupBy("g", "hash64").agg(F.min("at").alias("at")).select("g", "hash64", "at", F.col("at.k").alias("id")))
-    pairs = snapshot(hamming_pairs(firsts, max_bits, group="g").select("a", "b"))
-    placed = snapshot(firsts.join(components(pairs).hint("merge"), "id"))
-
-    def fold(items: DataFrame) -> DataFrame:
-        told = mark_duplicates(items, max_bits, group="component", order=("at",))
-        return told.select("component", "id", F.col("duplicate_of").alias("of"))
-
-    def strike(rest: DataFrame, decided: DataFrame) -> DataFrame:
-        return rest.join(_struck(pairs, decided, rest).select("id").hint("merge"), "id", "left_anti")
-
-    told = snapshot(in_order(placed, fold, strike))
-    # Items that a leader of an earlier block struck aren't folded: their leader is the earliest of their neighbours that is one.
-    leaders = told.filter("of is null").select("id")
-    struck = snapshot(placed.join(told.select("id").hint("merge"), "id", "left_anti"))
-    of = _leader_of(pairs, leaders, struck, placed)
-    decided = told.select("id", "of").unionByName(of)
-    found = snapshot(firsts.select("g", "hash64", F.col("id").alias("first_id")).join(decided.withColumnRenamed("id", "first_id").hint("merge"), "first_id", "left"))
+    firsts = snapshot(rows.groupBy("g", "hash64").agg(F.min("at").alias("at")))
+    groups = snapshot(firsts.select("g").distinct().withColumn("gid", F.monotonically_increasing_id()))
+    numbered = ranked(firsts.join(sided(groups), "g").select("gid", "at", "hash64"), "gid", ["at"])
+    placed = snapshot(numbered.select("gid", "place", F.col("at.k").cast("bigint").alias("id"), "hash64", F.floor((F.col("place") - 1) / FOLD_ITEMS).cast("int").alias("block")))
+    told = _fold_blocks(placed, max_bits).join(sided(groups), "gid")
+    found = told.select("g", "hash64", F.col("id").alias("first_id"), "of")
     met = rows.join(found.hint("merge"), ["g", "hash64"])
     leader = F.coalesce("of", F.when(F.col("id") != F.col("first_id"), F.col("first_id")))
     return met.select(F.col("g.v").alias(group), F.col("id").alias(key), leader.isNotNull().alias("is_duplicate"), leader.alias("duplicate_of"))
 
 
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("near"), F.col("b").alias("id")).unionByName(pairs.select(F.col("b").alias("near"), F.col("a").alias("id")))
+def _fold_blocks(placed: DataFrame, max_bits: int) -> DataFrame:
+    """``gid, place, id, hash64, of`` of ``placed(gid, place, id, hash64, block)``: the earliest leader near each item, null for leaders."""
+    sizes = snapshot(placed.groupBy("gid").agg(F.max("place").alias("n")))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    blocks = max(1, -(-(most or 0) // FOLD_ITEMS))
+    done, leaders = [], None
+    for block in range(blocks):
+        rest = placed.filter(F.col("block") == block).drop("block")
+        if block:
+            struck = snapshot(rest.join(_struck(rest, leaders, sizes, block, max_bits), ["gid", "place"]))
+            done.append(struck)
+            rest = rest.join(struck.select("gid", "place").hint("merge"), ["gid", "place"], "left_anti")
+        tasks = max(1, -(-(rest.count() if block else total or 0) // SHARE_ITEMS))
+        told = snapshot(rest.repartition(tasks, "gid").sortWithinPartitions("gid", "place").mapInArrow(_folded(max_bits), "gid bigint, place bigint, id bigint, hash64 bigint, of bigint"))
+        done.append(told)
+        if block + 1 < blocks:
+            goes_on = snapshot(sizes.filter(F.col("n") > (block + 1) * FOLD_ITEMS).select("gid"))
+            own = snapshot(told.filter("of is null").join(sided(goes_on), "gid", "left_semi").select("gid", "place", "id", "hash64", F.lit(block).alias("led")))
+            leaders = own if leaders is None else leaders.unionByName(own)
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def _struck(rest: DataFrame, leaders: DataFrame, sizes: DataFrame, block: int, max_bits: int) -> DataFrame:
+    """``gid, place, of``: items of a block that a leader of an earlier one is near to, and the earliest such leader.
+
+    Each share of the block meets each earlier block's leaders in one task.
+    """
+    left = sizes.filter(F.col("n") > block * FOLD_ITEMS).select("gid", F.ceil(F.least(F.col("n") - block * FOLD_ITEMS, F.lit(FOLD_ITEMS)) / SHARE_ITEMS).cast("int").alias("shares"))
+    shares = snapshot(left)
+    tasks = max(1, block * (shares.agg(F.sum("shares")).first()[0] or 0))
+    share = F.floor((F.col("place") - 1) % FOLD_ITEMS / SHARE_ITEMS).cast("int")
+    items = rest.select("gid", "place", "hash64", share.alias("share"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("led"))
+    sent = leaders.join(sided(shares), "gid").select("gid", "place", "id", "hash64", "led", F.explode(F.expr("sequence(0, shares - 1)")).alias("share"))
+    keys = ["gid", "led", "share"]
+    met = items.repartition(tasks, *keys).groupBy(*keys).cogroup(sent.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(_strikes(max_bits), "gid bigint, place bigint, leader bigint, of bigint")
+    return met.groupBy("gid", "place").agg(F.min_by("of", "leader").alias("of"))
+
+
+def first_near(items: np.ndarray, leaders: np.ndarray, max_bits: int) -> np.ndarray:
+    """The number of the first of ``leaders`` within ``max_bits`` of each item, -1 where none is; both are unsigned 64-bit hashes."""
+    of, left = np.full(len(items), -1, np.int64), np.arange(len(items))
+    for a in range(0, len(leaders), 4096):
+        for b in range(0, len(left), 16):
+            at = left[b:b + 16]
+            near = np.bitwise_count(items[at, None] ^ leaders[a:a + 4096]) <= max_bits
+            hit = near.any(1)
+            of[at[hit]] = a + near[hit].argmax(1)
+        left = left[of[left] < 0]
+    return of
+
+
+def fold_hashes(hashes: np.ndarray, max_bits: int) -> np.ndarray:
+    """The number of the first leader near each of the ``hashes``, -1 for the leaders; each is a leader if no earlier one is near."""
+    of, places, leaders, n = np.full(len(hashes), -1, np.int64), np.empty(len(hashes), np.int64), np.empty_like(hashes), 0
+    for i, h in enumerate(hashes):
+        near = np.bitwise_count(leaders[:n] ^ h) <= max_bits
+        first = int(near.argmax()) if n else 0
+        if n and near[first]:
+            of[i] = places[first]
+        else:
+            leaders[n], places[n], n = h, i, n + 1
+    return of
+
+
+def _folded(max_bits: int):
+    """:func:`fold_hashes` of each group of rows that come in order of ``gid`` and ``place``."""
+    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        gid, ids, hashes = (rows[k].to_numpy() for k in ("gid", "id", "hash64"))
+        of = np.full(len(gid), -1, np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(gid)) + 1).tolist(), len(gid)]
+        for a, b in zip(edges, edges[1:]):
+            near = fold_hashes(hashes[a:b].view(np.uint64), max_bits)
+            of[a:b] = np.where(near < 0, -1, near + a)
+        column = pa.array(ids[of], pa.int64(), mask=of < 0)
+        yield from rows.append_column("of", column).to_batches(max_chunksize=65536)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None  # rows of the group that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid = batch.column("gid").to_numpy()
+            if held and gid[-1] != last:
+                cut = int(np.searchsorted(gid, gid[-1]))
+                yield from told(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
+                held, batch = [], batch.slice(cut)
+            held.append(batch)
+            last = gid[-1]
+        if held:
+            yield from told(pa.Table.from_batches(held).combine_chunks())
 
+    return run
 
-def _struck(pairs: DataFrame, decided: DataFrame, rest: DataFrame) -> DataFrame:
-    """Ids of ``rest`` that have a leader of ``decided`` for a neighbour; all of those stand earlier."""
-    leaders = decided.filter("of is null").select(F.col("id").alias("near"))
-    return _both_ways(pairs).join(leaders.hint("merge"), "near", "left_semi").select("id").distinct().join(rest.select("id").hint("merge"), "id", "left_semi")
 
+def _strikes(max_bits: int):
+    def run(items: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        leaders = leaders.sort_values("place")
+        near = first_near(items["hash64"].to_numpy().view(np.uint64), leaders["hash64"].to_numpy().view(np.uint64), max_bits)
+        hit, by = items[near >= 0], leaders.iloc[near[near >= 0]]
+        return pd.DataFrame({"gid": hit["gid"].to_numpy(), "place": hit["place"].to_numpy(), "leader": by["place"].to_numpy(), "of": by["id"].to_numpy()})
 
-def _leader_of(pairs: DataFrame, leaders: DataFrame, items: DataFrame, placed: DataFrame) -> DataFrame:
-    """``id, of``: the earliest neighbour of each item that is a leader and stands before it."""
-    near = _both_ways(pairs).join(leaders.select(F.col("id").alias("near")).hint("merge"), "near", "left_semi").join(items.select("id", "at").hint("merge"), "id")
-    timed = near.join(placed.select(F.col("id").alias("near"), F.col("at").alias("near_at")).hint("merge"), "near").filter("near_at < at")
-    return timed.groupBy("id").agg(F.min_by("near", "near_at").alias("of"))
+    return run
 
 
 def diversity(df: DataFrame, group: str = "entity_id", bits: str = "hash64") -> DataFrame:

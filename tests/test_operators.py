@@ -388,6 +388,51 @@ def test_components_larger_than_a_row(spark, monkeypatch):
         assert sorted(tuple(r) for r in got) == plain_marks(data, bits)
 
 
+def test_duplicates_are_found_without_pairs(spark, monkeypatch):
+    """Every hash within three bits of one: a billion pairs, and one leader."""
+    import itertools
+
+    def no_pairs(*_, **__):
+        raise AssertionError("pairs of near hashes grow with the square of a cluster")
+
+    monkeypatch.setattr(S, "hamming_pairs", no_pairs)
+    near = [sum(1 << i for i in c) for k in range(4) for c in itertools.combinations(range(64), k)]
+    df = spark.createDataFrame([(i, 1, 0, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(near)], HASHED)
+    got = S.mark_duplicates_large(df, 6).groupBy("is_duplicate", "duplicate_of").count().collect()
+    assert sorted((r[0], r[1], r[2]) for r in got) == [(False, None, 1), (True, 0, len(near) - 1)]
+
+
+def test_blocks_of_hashes_give_what_a_fold_gives(spark, monkeypatch):
+    """Groups of several blocks and shares, of one and of none; copies, null groups and null hashes."""
+    monkeypatch.setattr(S, "FOLD_ITEMS", 48)
+    monkeypatch.setattr(S, "SHARE_ITEMS", 16)
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    data = []
+    for i in range(260):
+        h = rng.choice(base)
+        for _ in range(rng.randrange(8)):
+            h ^= 1 << rng.randrange(64)
+        data.append((i, rng.choice([1, 1, 1, 2, None, i]), rng.randrange(90), h - (1 << 64) if h >> 63 else h))
+    data += [(1000 + i, 7, t, h) for i, _, t, h in chain(70)]
+    for bits in (5, 22):
+        got = S.mark_duplicates_large(spark.createDataFrame([*data, (5000, 1, 0, None)], HASHED), bits).select("id", "is_duplicate", "duplicate_of").collect()
+        assert sorted(tuple(r) for r in got) == plain_marks(data, bits)
+    assert S.mark_duplicates_large(spark.createDataFrame([], HASHED), 5).count() == 0
+
+
+def test_first_near_over_many_leaders():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    leaders = rng.integers(0, 1 << 64, 9000, np.uint64)
+    at = rng.integers(0, 9000, 50)
+    items = leaders[at] ^ np.uint64(1 << 63 | 1)
+    leaders[8999] = items[7]
+    assert S.first_near(items, leaders, 2).tolist() == at.tolist() and set(S.first_near(items, leaders, 1).tolist()) == {-1, 8999}
+    assert S.first_near(items, leaders[:0], 2).tolist() == [-1] * 50
+
+
 def test_scratch_is_cleared(spark):
     """What an application wrote between steps goes at once, and nothing else; later steps write anew."""
     from pathlib import Path
