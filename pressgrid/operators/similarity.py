@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.names import tokens
 from ..functions.rules import FLAG, flag_hypothesis
@@ -21,6 +23,8 @@ from .ranks import ranked
 BLOCK_ROWS = 2048
 #: Pivots of the blocks of vectors at most.
 PIVOTS = 64
+#: Tokens whose hashes a worker holds at a time, about.
+BATCH_TOKENS = 1 << 21
 #: Hashes of a group that are folded in one task, and those that meet a block's leaders in one task.
 FOLD_ITEMS, SHARE_ITEMS = 1 << 17, 1 << 15
 
@@ -33,16 +37,55 @@ def md5_64(token: Column) -> Column:
 def simhashes(df: DataFrame, keys: list[str], text: str, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``keys, hash64``: the 64-bit SimHash of a text's tokens; texts without a token have no row.
 
-    Bit i is set where more token hashes have it than not: 32 sums over the exploded tokens, each of bit i and, 32 places higher, bit i + 32.
+    Bit i is set where more token hashes have it than not: 32 sums, each of bit i and, 32 places higher, bit i + 32.  A text's sums are made in one
+    step from its list of tokens, and added up where several rows have the same keys.  :func:`md5_64` is taken once for each token that a batch holds.
     """
-    hashes = df.select(*keys, F.explode(tokens(F.col(text))).alias("token")).select(*keys, hashed(F.col("token")).alias("h"))
-    both = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1 << 32 | 1))
-    counts = hashes.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(both(i)).alias(f"b{i}") for i in range(32)])
+    found = tokens(F.col(text))
+    by_word = hashed is md5_64
+    lists = df.select(*keys, (found if by_word else F.transform(found, lambda x: hashed(x))).alias("_tokens"))
+    sums = T.StructType([*lists.schema.fields[:-1], *[T.StructField(k, T.LongType()) for k in ("_n", *[f"_b{i}" for i in range(32)])]])
+    counts = lists.mapInArrow(_bit_sums(by_word), sums).groupBy(*keys).agg(F.sum("_n").alias("n"), *[F.sum(f"_b{i}").alias(f"b{i}") for i in range(32)])
     ones = [F.col(f"b{i}").bitwiseAND(F.lit((1 << 32) - 1)) if i < 32 else F.shiftrightunsigned(f"b{i - 32}", 32) for i in range(64)]
     bits = [F.when(x * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("bigint") for i, x in enumerate(ones)]
     return counts.select(*keys, sum(bits[1:], bits[0]).alias("hash64"))
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the unsigned 64-bit ``hashes`` have each bit, in four lanes of 16 bits at a time."""
+    lanes, total = np.arange(16, dtype=np.uint64)[:, None], np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 32768):  # what a lane holds, and few numbers at a time
+        sums = ((hashes[a:a + 32768] >> lanes) & np.uint64(0x0001000100010001)).sum(1)
+        total += np.concatenate([(sums >> np.uint64(16 * k)) & np.uint64(0xFFFF) for k in range(4)]).astype(np.int64)
+    return total
+
+
+def _bit_sums(by_word: bool):
+    """``keys, n, b0 to b31`` of batches of keys and lists, of words or of their hashes."""
+    def counts(values: pa.Array, sizes: np.ndarray) -> np.ndarray:
+        if by_word:
+            coded = values.dictionary_encode()
+            digests = b"".join([hashlib.md5(w, usedforsecurity=False).digest() for w in coded.dictionary.cast(pa.binary()).to_pylist()])
+            hashes = np.frombuffer(digests, ">u8")[::2].astype(np.uint64)[coded.indices.to_numpy()]
+        else:
+            hashes = pc.fill_null(values, 0).to_numpy().view(np.uint64)
+        ends = np.cumsum(sizes).tolist()
+        return np.array([bit_counts(hashes[a:b]) for a, b in zip([0, *ends], ends)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column("_tokens")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            batch, sizes = batch.filter(pa.array(sizes > 0)), sizes[sizes > 0]
+            starts = (np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_TOKENS)) + 1).tolist()
+            for a, b in zip([0, *starts], [*starts, len(sizes)]):
+                part = batch.slice(a, b - a)
+                if part.num_rows:
+                    ones = counts(part.column("_tokens").flatten(), sizes[a:b])
+                    sums = ones[:, :32] + (ones[:, 32:] << 32)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes[a:b]), *[pa.array(np.ascontiguousarray(x)) for x in sums.T]], names=[*part.schema.names[:-1], "_n", *[f"_b{i}" for i in range(32)]])
+
+    return run
+
+
 def _bands(bits: Column, pieces: int) -> Column:
     """``pieces`` slices of the 64 bits, as even as can be."""
     edges = [64 * i // pieces for i in range(pieces + 1)]

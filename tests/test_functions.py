@@ -115,3 +115,30 @@ def test_simhash_takes_32_sums(spark):
         while plan.nodeName() != "Aggregate":
             plan = plan.children().head()
         assert plan.aggregateExpressions().size() <= 34  # the id, the count and 32 sums
+
+
+def test_simhash_makes_no_row_per_token(spark, monkeypatch):
+    """A text's sums come from its list of tokens; rows of the same keys, texts without tokens and long ones count as ever."""
+    import hashlib
+
+    from pressgrid.operators import similarity
+
+    monkeypatch.setattr(similarity, "BATCH_TOKENS", 300)
+    words = ["Été", "ada", "ADA", "x1", "日本", *[f"w{i}" for i in range(60)]]
+    data = [(i, None if i % 4 == 3 else "s", " - ".join(words[k * (i + 3) % len(words)] for k in range(i))) for i in range(40)]
+    data += [(5, "s", "more of five"), (90, "s", None), (91, "s", " .,- "), (92, "s", "many words " * 40000 + "two two"), (5, "s", None)]
+    bags = {}
+    for i, s, text in data:
+        bags.setdefault((i, s), []).extend((text or "").lower().replace("é", "e").replace(" - ", " ").replace(" .,- ", "").split())
+
+    def plain(bag):
+        hashes = [int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") for w in bag]
+        bits = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+        return bits - (1 << 64) if bits >> 63 else bits
+
+    want = {k: plain(bag) for k, bag in bags.items() if bag}
+    df = spark.createDataFrame(data, "id bigint, source string, text string").repartition(3)
+    for hashed in (similarity.md5_64, lambda token: similarity.md5_64(token)):
+        found = similarity.simhashes(df, ["id", "source"], "text", hashed)
+        assert {(r["id"], r["source"]): r["hash64"] for r in found.collect()} == want and len(want) == 40
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
