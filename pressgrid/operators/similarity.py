@@ -27,6 +27,8 @@ PIVOTS = 64
 BATCH_TOKENS = 1 << 21
 #: Hashes of a group that are folded in one task, and those that meet a block's leaders in one task.
 FOLD_ITEMS, SHARE_ITEMS = 1 << 17, 1 << 15
+#: Bits of a slice that tell buckets apart at most, and pairs that are compared in the time that going through buckets takes by itself.
+SLICE_BITS, SLICED_PAIRS = 12, 200_000_000
 
 
 def md5_64(token: Column) -> Column:
@@ -189,7 +191,16 @@ def _struck(rest: DataFrame, leaders: DataFrame, sizes: DataFrame, block: int, m
 
 
 def first_near(items: np.ndarray, leaders: np.ndarray, max_bits: int) -> np.ndarray:
-    """The number of the first of ``leaders`` within ``max_bits`` of each item, -1 where none is; both are unsigned 64-bit hashes."""
+    """The number of the first of ``leaders`` within ``max_bits`` of each item, -1 where none is; both are unsigned 64-bit hashes.
+
+    Two hashes that differ in at most k bits agree on one of k + 1 slices: where their buckets hold far fewer pairs than there are, only those are compared.
+    """
+    edges = [64 * i // (max_bits + 1) for i in range(max_bits + 2)]
+    cut = lambda hashes, lo, hi: ((hashes >> np.uint64(lo)) & np.uint64((1 << min(hi - lo, SLICE_BITS)) - 1)).astype(np.int32)
+    cuts = [(cut(items, lo, hi), cut(leaders, lo, hi)) for lo, hi in zip(edges, edges[1:])]
+    met = sum(int(np.bincount(x, minlength=1 << SLICE_BITS) @ np.bincount(y, minlength=1 << SLICE_BITS)) for x, y in cuts)
+    if 2 * met + SLICED_PAIRS < len(items) * len(leaders):
+        return _near_in_slices(items, leaders, cuts, max_bits)
     of, left = np.full(len(items), -1, np.int64), np.arange(len(items))
     for a in range(0, len(leaders), 4096):
         for b in range(0, len(left), 16):
@@ -201,6 +212,24 @@ def first_near(items: np.ndarray, leaders: np.ndarray, max_bits: int) -> np.ndar
     return of
 
 
+def _near_in_slices(items: np.ndarray, leaders: np.ndarray, cuts: list[tuple[np.ndarray, np.ndarray]], max_bits: int) -> np.ndarray:
+    of = np.full(len(items), len(leaders), np.int64)
+    for own, others in cuts:
+        at, by = np.argsort(own, kind="stable"), np.argsort(others, kind="stable")
+        values, starts = np.unique(own[at], return_index=True)
+        lows, highs = np.searchsorted(others[by], values), np.searchsorted(others[by], values, side="right")
+        mine, theirs = items[at], leaders[by]
+        for a, b, low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], lows.tolist(), highs.tolist()):
+            step = max(1, 65536 // max(1, high - low))  # pairs at a time, about
+            for x in range(a, b if low < high else a, step):
+                near = np.bitwise_count(mine[x:min(b, x + step), None] ^ theirs[low:high]) <= max_bits
+                hit = near.any(1)
+                if hit.any():
+                    found = at[x:min(b, x + step)][hit]
+                    of[found] = np.minimum(of[found], by[low + near[hit].argmax(1)])
+    return np.where(of < len(leaders), of, -1)
+
+
 def fold_hashes(hashes: np.ndarray, max_bits: int) -> np.ndarray:
     """The number of the first leader near each of the ``hashes``, -1 for the leaders; each is a leader if no earlier one is near."""
     of, places, leaders, n = np.full(len(hashes), -1, np.int64), np.empty(len(hashes), np.int64), np.empty_like(hashes), 0

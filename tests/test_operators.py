@@ -433,6 +433,27 @@ def test_first_near_over_many_leaders():
     assert S.first_near(items, leaders[:0], 2).tolist() == [-1] * 50
 
 
+def test_first_near_in_slices(monkeypatch):
+    """Buckets of slices give what all comparisons give, also where many leaders are near or slices are wider than their buckets' numbers."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, 40, np.uint64)
+    flip = lambda n: base[rng.integers(0, 40, n)] ^ (np.uint64(1) << rng.integers(0, 64, n, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n, np.uint64))
+    items, leaders = flip(400), flip(700)
+    whole = S.first_near
+    for bits in (5, 4, 1, 0):
+        near = np.bitwise_count(items[:, None] ^ leaders) <= bits
+        want = np.where(near.any(1), near.argmax(1), -1).tolist()
+        assert bits < 4 or len({*want}) > 20
+        assert whole(items, leaders, bits).tolist() == want
+        with monkeypatch.context() as m:
+            m.setattr(S, "SLICED_PAIRS", 0)
+            taken, sliced = [], S._near_in_slices
+            m.setattr(S, "_near_in_slices", lambda *a: taken.append(1) or sliced(*a))
+            assert whole(items, leaders, bits).tolist() == want and taken
+
+
 def test_scratch_is_cleared(spark):
     """What an application wrote between steps goes at once, and nothing else; later steps write anew."""
     from pathlib import Path
