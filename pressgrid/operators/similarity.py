@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.names import tokens
+from ..functions.names import fold, tokens
 from ..functions.rules import FLAG, flag_hypothesis
 from ..functions.vectors import cosine_distance
 from ..tables import sided, snapshot
@@ -40,18 +40,27 @@ def simhashes(df: DataFrame, keys: list[str], text: str, hashed: Callable[[Colum
     """``keys, hash64``: the 64-bit SimHash of a text's tokens; texts without a token have no row.
 
     Bit i is set where more token hashes have it than not: 32 sums, each of bit i and, 32 places higher, bit i + 32.  A text's sums are made in one
-    step from its list of tokens, and added up where several rows have the same keys.  :func:`md5_64` is taken once for each token that a batch holds.
+    step from all its tokens, and added up where several rows have the same keys.  :func:`md5_64` is taken once for each token that a batch holds.
     """
-    found = tokens(F.col(text))
     by_word = hashed is md5_64
-    lists = df.select(*keys, (found if by_word else F.transform(found, lambda x: hashed(x))).alias("_tokens"))
-    sums = T.StructType([*lists.schema.fields[:-1], *[T.StructField(k, T.LongType()) for k in ("_n", *[f"_b{i}" for i in range(32)])]])
-    counts = lists.mapInArrow(_bit_sums(by_word), sums).groupBy(*keys).agg(F.sum("_n").alias("n"), *[F.sum(f"_b{i}").alias(f"b{i}") for i in range(32)])
+    sent = df.select(*keys, (spaced(F.col(text)) if by_word else F.transform(tokens(F.col(text)), lambda x: hashed(x))).alias("_tokens"))
+    sums = T.StructType([*sent.schema.fields[:-1], *[T.StructField(k, T.LongType()) for k in ("_n", *[f"_b{i}" for i in range(32)])]])
+    counts = sent.mapInArrow(_bit_sums(_word_hashes if by_word else _sent_hashes), sums).groupBy(*keys).agg(F.sum("_n").alias("n"), *[F.sum(f"_b{i}").alias(f"b{i}") for i in range(32)])
     ones = [F.col(f"b{i}").bitwiseAND(F.lit((1 << 32) - 1)) if i < 32 else F.shiftrightunsigned(f"b{i - 32}", 32) for i in range(64)]
     bits = [F.when(x * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("bigint") for i, x in enumerate(ones)]
     return counts.select(*keys, sum(bits[1:], bits[0]).alias("hash64"))
 
 
+def spaced(text: Column) -> Column:
+    """A text whose tokens are what :func:`_word_hashes` finds: plain ASCII as it is, which needs no tables of letters, else the tokens between spaces."""
+    plain = F.is_valid_utf8(text) & (F.octet_length(text) == F.char_length(text))
+    return F.when(plain, text).otherwise(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " "))
+
+
+#: Each byte as a token holds it: ASCII letters in lower case, digits, a space for other ASCII; parts of other letters as they are.
+_LOWER = np.array([b if b > 127 or chr(b).isalnum() and not chr(b).isupper() else b + 32 if chr(b).isupper() else 32 for b in range(256)], np.uint8)
+
+
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the unsigned 64-bit ``hashes`` have each bit, in four lanes of 16 bits at a time."""
     lanes, total = np.arange(16, dtype=np.uint64)[:, None], np.zeros(64, np.int64)
@@ -61,29 +70,42 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def _bit_sums(by_word: bool):
-    """``keys, n, b0 to b31`` of batches of keys and lists, of words or of their hashes."""
-    def counts(values: pa.Array, sizes: np.ndarray) -> np.ndarray:
-        if by_word:
-            coded = values.dictionary_encode()
-            digests = b"".join([hashlib.md5(w, usedforsecurity=False).digest() for w in coded.dictionary.cast(pa.binary()).to_pylist()])
-            hashes = np.frombuffer(digests, ">u8")[::2].astype(np.uint64)[coded.indices.to_numpy()]
-        else:
-            hashes = pc.fill_null(values, 0).to_numpy().view(np.uint64)
-        ends = np.cumsum(sizes).tolist()
-        return np.array([bit_counts(hashes[a:b]) for a, b in zip([0, *ends], ends)], np.int64)
+def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`md5_64` of all tokens of :func:`spaced` texts, and how many tokens each text has."""
+    data = texts.buffers()[2]
+    lower = np.take(_LOWER, np.frombuffer(data, np.uint8)) if data else np.empty(0, np.uint8)
+    spaced_texts = pa.Array.from_buffers(texts.type, len(texts), [*texts.buffers()[:2], pa.py_buffer(lower)], offset=texts.offset)
+    lists = pc.ascii_split_whitespace(spaced_texts)
+    words = lists.flatten()
+    real = pc.not_equal(words, "")  # a text that begins or ends with a space has an empty word there
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    sizes = np.diff(np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[np.append(0, ends)])
+    coded = words.filter(real).dictionary_encode()
+    digests = b"".join([hashlib.md5(w, usedforsecurity=False).digest() for w in coded.dictionary.cast(pa.binary()).to_pylist()])
+    return np.frombuffer(digests, ">u8")[::2].astype(np.uint64)[coded.indices.to_numpy()], sizes
+
+
+def _sent_hashes(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False).view(np.uint64), sizes
+
 
+def _bit_sums(hashes_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+    """``keys, n, b0 to b31`` of batches of keys and tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.fill_null(pc.list_value_length(batch.column("_tokens")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            batch, sizes = batch.filter(pa.array(sizes > 0)), sizes[sizes > 0]
-            starts = (np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_TOKENS)) + 1).tolist()
-            for a, b in zip([0, *starts], [*starts, len(sizes)]):
-                part = batch.slice(a, b - a)
-                if part.num_rows:
-                    ones = counts(part.column("_tokens").flatten(), sizes[a:b])
-                    sums = ones[:, :32] + (ones[:, 32:] << 32)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes[a:b]), *[pa.array(np.ascontiguousarray(x)) for x in sums.T]], names=[*part.schema.names[:-1], "_n", *[f"_b{i}" for i in range(32)]])
+            held = batch.column("_tokens")
+            size = pc.binary_length(held) if pa.types.is_string(held.type) else pc.multiply(pc.list_value_length(held), 8)
+            filled = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // (8 * BATCH_TOKENS)
+            starts = (np.flatnonzero(np.diff(filled)) + 1).tolist()
+            for a, b in zip([0, *starts], [*starts, batch.num_rows]):
+                hashes, sizes = hashes_of(held.slice(a, b - a))
+                keys = batch.slice(a, b - a).filter(pa.array(sizes > 0)).columns[:-1]
+                sizes = sizes[sizes > 0]
+                ends = np.cumsum(sizes).tolist()
+                ones = np.array([bit_counts(hashes[x:y]) for x, y in zip([0, *ends], ends)], np.int64).reshape(-1, 64)
+                sums = ones[:, :32] + (ones[:, 32:] << 32)
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(sizes, pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in sums.T]], names=[*batch.schema.names[:-1], "_n", *[f"_b{i}" for i in range(32)]])
 
     return run
 

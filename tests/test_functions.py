@@ -142,3 +142,17 @@ def test_simhash_makes_no_row_per_token(spark, monkeypatch):
         found = similarity.simhashes(df, ["id", "source"], "text", hashed)
         assert {(r["id"], r["source"]): r["hash64"] for r in found.collect()} == want and len(want) == 40
         assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_simhash_takes_plain_texts_apart_as_tokens_are(spark):
+    """All characters of the first planes, broken UTF-8, and texts of nothing but separators: numpy's tokens are those of ``tokens``."""
+    from pressgrid.operators import similarity
+
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"x{chr(c)}Y{chr(c)} {chr(c)}q" for c in points[i:i + 64]) for i in range(0, len(points), 64)]
+    texts += [chr(c) for c in range(128)] + ["", "  ", "A", " a B.c\n", "\x00A\x00", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    df = df.unionByName(spark.sql("select -id as id, cast(unhex(h) as string) as text from values (1L, '41FF62'), (2L, '618062'), (3L, 'C3'), (4L, '41C3A9FF'), (5L, 'FF') as t(id, h)"))
+    own, plain = (similarity.simhashes(df, ["id"], "text", h) for h in (similarity.md5_64, lambda token: similarity.md5_64(token)))
+    assert (found := {tuple(r) for r in own.collect()}) == {tuple(r) for r in plain.collect()} and len(found) > 3000
+    assert df.filter("text = 'A'").select(similarity.spaced(df["text"])).first()[0] == "A"  # sent as it is
